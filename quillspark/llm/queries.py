@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from quillspark.llm.bpe import op2_bpe
+from quillspark.llm.quality import op9_quality
 
 
 def queries() -> dict[str, Callable]:
-    return {"op2_bpe": op2_bpe}
+    return {"op2_bpe": op2_bpe, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
