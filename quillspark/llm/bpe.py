@@ -112,6 +112,23 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     )
 
 
+def checked(encoded: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+    """``encoded`` as it is, failing at a row whose ids do not decode to its text."""
+
+    def make() -> Callable:
+        enc = encoding(rank_path, pattern)
+
+        def work(texts: list, packed: list) -> list:
+            return [[enc.decode_bytes(np.frombuffer(b, dtype="<u4").tolist()) == (t or "").encode() for t, b in zip(texts, packed, strict=True)]]
+
+        return work
+
+    name = "ids decode to the text"
+    both = map_columns(encoded, [text, ids], [(name, T.BooleanType())], make)
+    fails = F.raise_error(F.lit("token ids do not decode to the text they come from"))
+    return both.where(F.when(F.col(f"`{name}`"), F.lit(True)).otherwise(fails.cast("boolean"))).drop(name)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from quillspark.llm.bpe import op2_bpe
+from quillspark.llm.decontaminate import op7_decontaminate
 from quillspark.llm.ngram_join import op3_ngram_join
 from quillspark.llm.quality import op9_quality
 
 
 def queries() -> dict[str, Callable]:
-    return {"op2_bpe": op2_bpe, "op3_ngram_join": op3_ngram_join, "op9_quality": op9_quality}
+    return {"op2_bpe": op2_bpe, "op3_ngram_join": op3_ngram_join, "op7_decontaminate": op7_decontaminate, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
