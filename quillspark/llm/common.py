@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -48,10 +48,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Drop input columns whose names (compared as Spark does, without case) an operator gives to its own."""
-    taken = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+def _place(uri: str):
+    """(filesystem, path) of a path or URI, for Python workers."""
+    from pyarrow import fs
+
+    if "://" not in uri:
+        uri = f"file://{uri[5:] if uri.startswith('file:') else uri}"
+    return fs.FileSystem.from_uri(uri)
+
+
+def open_output(uri: str):
+    """A stream into a new file of the shared folder."""
+    where, path = _place(uri)
+    where.create_dir(path.rpartition("/")[0], recursive=True)
+    return where.open_output_stream(path, compression=None)
+
+
+def open_input(uri: str):
+    """A file of the shared folder, for reading at any place."""
+    where, path = _place(uri)
+    return where.open_input_file(path)
 
 
 def map_columns(
@@ -68,9 +84,8 @@ def map_columns(
     for c in inputs:
         if c not in df.columns:
             raise ValueError(f"no column {c!r}")
-    base = df if not {n.lower() for n, _ in outputs} & {c.lower() for c in inputs} else df
-    keep = [c for c in base.columns if c.lower() not in {n.lower() for n, _ in outputs}]
-    fields = [base.schema[c] for c in keep]
+    keep = [c for c in df.columns if c.lower() not in {n.lower() for n, _ in outputs}]
+    fields = [df.schema[c] for c in keep]
     schema = T.StructType([*fields, *[T.StructField(n, t, True) for n, t in outputs]])
     arrow = to_arrow_schema(schema)
 
@@ -87,7 +102,7 @@ def map_columns(
                 [c.cast(f.type) if c.type != f.type else c for c, f in zip(cols, arrow, strict=True)], schema=arrow
             )
 
-    return base.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -131,12 +146,3 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     stars = edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
     roots = edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
     return stars.unionByName(roots)
-
-
-def row_at_least(df: DataFrame, key: str, by: str) -> DataFrame:
-    """One row a key: that with the smallest ``by``. Partial aggregation, so a hot key shuffles one row a task."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(*[F.min_by(c, by).alias(c) for c in rest])
-
-
-__all__ = ["BATCH_ROWS", "Window", "components", "map_columns", "new_folder", "prepared", "row_at_least", "shared_dir", "staged", "without"]

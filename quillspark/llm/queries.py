@@ -8,10 +8,19 @@ from quillspark.llm.bpe import op2_bpe
 from quillspark.llm.decontaminate import op7_decontaminate
 from quillspark.llm.ngram_join import op3_ngram_join
 from quillspark.llm.quality import op9_quality
+from quillspark.llm.token_files import op6_token_files
+from quillspark.llm.warc import op10_warc
 
 
 def queries() -> dict[str, Callable]:
-    return {"op2_bpe": op2_bpe, "op3_ngram_join": op3_ngram_join, "op7_decontaminate": op7_decontaminate, "op9_quality": op9_quality}
+    return {
+        "op2_bpe": op2_bpe,
+        "op3_ngram_join": op3_ngram_join,
+        "op6_token_files": op6_token_files,
+        "op7_decontaminate": op7_decontaminate,
+        "op9_quality": op9_quality,
+        "op10_warc": op10_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
