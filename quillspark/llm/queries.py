@@ -8,6 +8,7 @@ from quillspark.llm.bpe import op2_bpe
 from quillspark.llm.decontaminate import op7_decontaminate
 from quillspark.llm.ngram_join import op3_ngram_join
 from quillspark.llm.quality import op9_quality
+from quillspark.llm.shards import op8_shards
 from quillspark.llm.token_files import op6_token_files
 from quillspark.llm.warc import op10_warc
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable]:
         "op3_ngram_join": op3_ngram_join,
         "op6_token_files": op6_token_files,
         "op7_decontaminate": op7_decontaminate,
+        "op8_shards": op8_shards,
         "op9_quality": op9_quality,
         "op10_warc": op10_warc,
     }
