@@ -7,8 +7,10 @@ Jaccard similarity of at least ``percent`` / 100. The join finds the classes tha
 2. Shingles that are frequent in the corpus sort last, by frequency, all others first, by
    hash. Linked sets share at least k of their first ``n - ceil(s * n) + k`` shingles.
 3. With k = 2: shingles that few prefixes hold are indexed singly. Of those that many hold,
-   combinations of two are. The first two common shingles of a linked pair either include a
-   rare one, or are a combination of two frequent ones, so one of the indexes has the pair.
+   combinations of two are. A linked pair has two common shingles there: two rare ones, a rare
+   and a frequent one, or a combination of two frequent ones. In the first case the single
+   index has it twice, in the second once and both have frequent shingles, in the third the
+   index of combinations has it; other pairs are dropped.
 4. Candidates pass a size test and a parity bitmap test, both of which only drop pairs that
    cannot link, and then an exact count of the intersection.
 5. Combinations that many classes still hold are bundles of near copies. Their classes are
@@ -42,8 +44,12 @@ from quillspark.llm.common import components, map_columns, prepared, staged
 FEW = 64
 #: Frequent tokens sort last: at least FREQUENT sightings, and a share of all tokens that at most 2**TOP_BITS tokens can have.
 FREQUENT, TOP_BITS = 24, 22
+#: A token seen more than OFTEN * FEW times in the corpus is known to be too frequent for the single index.
+OFTEN = 16
 #: Tokens that a task counts at a time, and members of a block.
-COUNT_AT_ONCE, BLOCK = 4_000_000, 512
+COUNT_AT_ONCE, BLOCK = 2_000_000, 512
+#: Words that a worker remembers.
+KNOWN = 400_000
 #: Rows up to which a side is broadcast; beyond, both sides are shuffled.
 SMALL = 500_000
 
@@ -65,7 +71,7 @@ def shingler(width: int) -> Callable[[str | None], np.ndarray]:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.empty(0, np.uint64)
-        if len(known) > 1_500_000:
+        if len(known) > KNOWN:
             known.clear()
         codes = list(map(known.get, words))
         if None in codes:
@@ -118,30 +124,31 @@ def link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def shingled(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, sig (digest of the set, null if empty), bitmap, hashes (sorted, 8 bytes each)."""
+    """doc_id, text_hash, n_shingles, sig (digest of the set, null if empty), node (its first 64 bits), bitmap, hashes (sorted, 8 bytes each)."""
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
     def make() -> Callable:
         of = shingler(width)
 
         def work(texts: list) -> list:
-            n, sig, bits, sets = [], [], [], []
+            n, sig, node, bits, sets = [], [], [], [], []
             for t in texts:
                 h = of(t)
                 b = h.tobytes()
                 n.append(len(h))
                 sig.append(xxhash.xxh3_128_digest(b) if len(h) else None)
+                node.append(node_of(sig[-1]) if len(h) else None)
                 bits.append(parity(h) if len(h) else None)
                 sets.append(b)
-            return [n, sig, bits, sets]
+            return [n, sig, node, bits, sets]
 
         return work
 
-    out = [("n_shingles", T.LongType()), ("sig", T.BinaryType()), ("bitmap", T.BinaryType()), ("hashes", T.BinaryType())]
+    out = [("n_shingles", T.LongType()), ("sig", T.BinaryType()), ("node", T.LongType()), ("bitmap", T.BinaryType()), ("hashes", T.BinaryType())]
     return map_columns(own, ["text"], out, make).drop("text")
 
 
-def _each_set(batches: Iterator[pa.RecordBatch], seen_limit: int = 2_000_000) -> Iterator[tuple[bytes, np.ndarray]]:
+def _each_set(batches: Iterator[pa.RecordBatch], seen_limit: int = 500_000) -> Iterator[tuple[bytes, np.ndarray]]:
     """(sig, hashes) of a task's rows, equal sets once as far as memory of the task goes."""
     seen: set[bytes] = set()
     for batch in batches:
@@ -189,87 +196,172 @@ def frequent_tokens(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(sets: DataFrame, tokens: np.ndarray, counts: np.ndarray, percent: int, k: int = 2) -> DataFrame:
-    """(token, sig, n): the extended prefix of each set, rare tokens first."""
+    """(token, node, n, common): the extended prefix of each set, rare tokens first.
+
+    ``node`` is a 64-bit digest of sig; ``common`` marks tokens known to be too frequent for the single index.
+    """
     shared = sets.sparkSession.sparkContext.broadcast((tokens, counts))
+    often = OFTEN * FEW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, cnt = shared.value
-        out: list[tuple[np.ndarray, bytes, int]] = []
+        out: list[tuple[np.ndarray, int, int, int]] = []
         rows = 0
 
         def flush() -> pa.RecordBatch:
-            n = np.array([len(p) for p, _, _ in out])
-            sig = pa.array([s for _, s, _ in out], pa.binary()).take(pa.array(np.repeat(np.arange(len(out)), n)))
-            t = np.concatenate([p for p, _, _ in out]).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(t), sig, pa.array(np.repeat([m for _, _, m in out], n).astype(np.int32))], names=["token", "sig", "n"])
+            size = np.array([len(p) for p, *_ in out])
+            node, n, late = (np.repeat(np.array([o[i] for o in out]), size) for i in (1, 2, 3))
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            t = np.concatenate([p for p, *_ in out]).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(t), pa.array(node), pa.array(n.astype(np.int32)), pa.array(place >= late)], names=["token", "node", "n", "common"])
 
         for sig, h in _each_set(batches):
             n = len(h)
             if n < 2:  # a single shingle links with nothing but its equal
                 continue
             take = min(n, n + (-percent * n) // 100 + k)
+            late = take
             if len(tok):
                 at = np.minimum(np.searchsorted(tok, h), len(tok) - 1)
                 common = tok[at] == h
-                rare = h[~common][:take]
-                if len(rare) < take:
-                    late, c = h[common], cnt[at[common]]
-                    rare = np.concatenate([rare, late[np.lexsort((late, c))][: take - len(rare)]])
+                first = h[~common][:take]
+                if len(first) < take:
+                    last, c = h[common], cnt[at[common]]
+                    order = np.lexsort((last, c))[: take - len(first)]
+                    late = len(first) + int((c[order] <= often).sum())  # in order of c
+                    first = np.concatenate([first, last[order]])
             else:
-                rare = h[:take]
-            out.append((rare, sig, n))
-            rows += len(rare)
+                first = h[:take]
+            out.append((first, node_of(sig), n, late))
+            rows += len(first)
             if rows > 200_000:
                 yield flush()
                 out, rows = [], 0
         if out:
             yield flush()
 
-    return sets.select("sig", "hashes").mapInArrow(run, "token long, sig binary, n int")
+    return sets.select("sig", "hashes").mapInArrow(run, "token long, node long, n int, common boolean")
+
+
+def node_of(sig: bytes) -> int:
+    return int.from_bytes(sig[:8], "little", signed=True)
+
+
+def _candidates(index: DataFrame, percent: int) -> DataFrame:
+    """From (token, node, n, common): pairs (a, b) that share rare tokens and whose sizes allow a link,
+    with n = minus the number of these tokens, and rows (a = token, b = node, n) of frequent tokens.
+
+    Rows are dealt by token, those of tokens known to be common by node. A task streams
+    through its sorted rows and holds no more than FEW rows of a token.
+    """
+    few = FEW
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "n"]
+
+        def made(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(n.astype(np.int32))], names=names)
+
+        def closed(t: np.ndarray, v: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Whole groups: equal (token, node) rows once, then pairs of small groups."""
+            order = np.lexsort((v, n, t))
+            t, v, n = t[order], v[order], n[order]
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])
+            t, v, n = t[new], v[new], n[new]
+            start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            size = np.diff(np.concatenate([start, [len(t)]]))
+            each = np.repeat(size, size)
+            big = each > few
+            if big.any():
+                yield made(t[big], v[big], n[big])
+            a, b = [], []
+            left = np.repeat(start + size, size)
+            for step in range(1, int(min(size.max(), few))):
+                i = np.flatnonzero(~big & (np.arange(len(t)) + step < left))
+                if not len(i):
+                    break
+                i = i[100 * n[i] >= percent * n[i + step]]
+                a.append(np.minimum(v[i], v[i + step]))
+                b.append(np.maximum(v[i], v[i + step]))
+            if a and sum(map(len, a)):
+                a, b = np.concatenate(a), np.concatenate(b)
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                yield made(a[start], b[start], -np.diff(np.concatenate([start, [len(a)]])))
+
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)]
+        large = None  # a token that is known to have too many rows
+        for batch in batches:
+            t, v, n = (batch.column(i).to_numpy() for i in range(3))
+            known = batch.column(3).to_numpy(zero_copy_only=False)
+            if large is not None:
+                known = known | (t == large)
+            if known.any():
+                yield made(t[known], v[known], n[known])
+                t, v, n = t[~known], v[~known], n[~known]
+            held = [np.concatenate(x) for x in zip(held, (t, v, n.astype(np.int64)), strict=True)]
+            if len(held[0]) < 300_000:
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last token may go on
+            if cut:
+                yield from closed(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+            elif len(np.unique(held[1])) > few:
+                large = held[0][0]
+                yield made(*held)
+                held = [x[:0] for x in held]
+        if len(held[0]):
+            yield from closed(*held)
+
+    dealt = index.repartition(F.when(F.col("common"), F.col("node")).otherwise(F.col("token"))).sortWithinPartitions("token")
+    return dealt.mapInArrow(run, "a long, b long, n int")
 
 
 def _pairs(index: DataFrame, key: str, percent: int) -> DataFrame:
-    """Pairs (a, b) within each key of ``index`` (key, sig, n), where sizes allow a link. Keys have at most FEW rows."""
-    lists = index.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("n", "sig"))).alias("m")).where(F.size("m") > 1)
+    """Pairs (a, b) within each key of ``index`` (key, node, n), where sizes allow a link. Keys have at most FEW rows."""
+    lists = index.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("n", "node"))).alias("m")).where(F.size("m") > 1)
     pairs = F.expr(
         f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, {FEW}), y -> 100 * x.n >= {percent} * y.n),"
-        " y -> struct(least(x.sig, y.sig) as a, greatest(x.sig, y.sig) as b))))"
+        " y -> struct(least(x.node, y.node) as a, greatest(x.node, y.node) as b))))"
     )
     return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
 def _of_each(sets: DataFrame, wanted: DataFrame, *cols: str) -> DataFrame:
-    """sig and ``cols``, one row for each sig of ``wanted`` (distinct)."""
+    """sig, node and ``cols``, one row for each sig whose node is in ``wanted`` (distinct)."""
     few = wanted.limit(SMALL + 1).count() <= SMALL
-    some = sets.select("sig", *cols).join(F.broadcast(wanted) if few else wanted, "sig", "left_semi")
-    return some.groupBy("sig").agg(*[F.first(c).alias(c) for c in cols])
-
-
-def _with_both(pairs: DataFrame, per: DataFrame, cols: list[str]) -> DataFrame:
-    for side in "ab":
-        pairs = pairs.join(per.select(F.col("sig").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in cols]), side)
-    return pairs
+    some = sets.where("sig is not null").select("sig", "node", *cols).join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+    return some.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("node", *cols)])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The distinct ``pairs`` that link: first by bitmap, then by the exact intersection."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    near = _with_both(pairs, _of_each(sets, ends, "n_shingles", "bitmap"), ["n_shingles", "bitmap"])
+    """Links (a, b), as sig, of the distinct node ``pairs``: first by bitmap, then by the exact intersection."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    per = _of_each(sets, ends, "n_shingles", "bitmap")
+    near = pairs
+    for side in "ab":
+        own = per.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("sig", "n_shingles", "bitmap")])
+        near = near.join(own, side)
 
     def pre() -> Callable:
         return lambda x, y, n, m: [[may_link(*v, percent) for v in zip(x, y, n, m, strict=True)]]
 
     near = map_columns(near, ["bitmap_a", "bitmap_b", "n_shingles_a", "n_shingles_b"], [("ok", T.BooleanType())], pre)
-    near = staged(near.where("ok").select("a", "b"), "near")
-    ends = near.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    full = _with_both(near, _of_each(sets, ends, "hashes"), ["hashes"])
+    near = staged(near.where("ok").select("a", "b", "sig_a", "sig_b"), "near")
+    full = near
+    ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    per = _of_each(sets, ends, "hashes")
+    for side in "ab":
+        full = full.join(per.select(F.col("sig").alias(f"sig_{side}"), F.col("hashes").alias(f"hashes_{side}")), f"sig_{side}")
 
     def exact() -> Callable:
         view = lambda b: np.frombuffer(b, dtype=np.uint64)
         return lambda x, y: [[link(view(p), view(q), percent) for p, q in zip(x, y, strict=True)]]
 
     full = map_columns(full, ["hashes_a", "hashes_b"], [("ok", T.BooleanType())], exact)
-    return full.where("ok").select("a", "b")
+    return full.where("ok").select(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b"))
 
 
 def _block_links(members: DataFrame, percent: int) -> DataFrame:
@@ -318,34 +410,38 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     if percent <= 50:
         raise ValueError("a similarity over 0.5 is needed")
     tokens, counts = frequent_tokens(sets)
-    index = staged(prefixes(sets, tokens, counts, percent), "prefixes")
-    held = index.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
-    rare = index.join(held.where(f"held <= {FEW}").select("token"), "token")
-    common = index.join(held.where(f"held > {FEW}").select("token"), "token").distinct()
+    found = staged(_candidates(prefixes(sets, tokens, counts, percent), percent), "candidates")
+    common = found.where("n > 0")
+    shared = staged(found.where("n < 0").groupBy("a", "b").agg(F.sum("n").alias("n")), "shared")
+    holders = common.select("b").distinct()
+    holders = F.broadcast(holders) if holders.limit(SMALL + 1).count() <= SMALL else holders
+    rare = shared.where("n < -1")
+    for_one = shared.where("n = -1")  # the second common token, if there is one, is frequent
+    for side in "ab":
+        for_one = for_one.join(holders.select(F.col("b").alias(side)), side, "left_semi")
+    rare = rare.unionByName(for_one).select("a", "b")
     two = F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> xxhash64(x, y))))")
-    lists = common.groupBy("sig", "n").agg(F.sort_array(F.collect_set("token")).alias("t")).where(F.size("t") > 1)
-    combos = staged(lists.select(F.explode(two).alias("key"), "sig", "n"), "combinations")
-    by_key = combos.groupBy("key").agg(F.count("*").alias("held"), F.min("sig").alias("first")).where("held > 1")
+    lists = common.groupBy(F.col("b").alias("node"), "n").agg(F.sort_array(F.collect_set("a")).alias("t")).where(F.size("t") > 1)
+    combos = staged(lists.select(F.explode(two).alias("key"), "node", "n"), "combinations")
+    by_key = combos.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("first")).where("held > 1")
     cold = combos.join(by_key.where(f"held <= {FEW}").select("key"), "key")
-    pairs = _pairs(rare, "token", percent).unionByName(_pairs(cold, "key", percent)).distinct()
+    pairs = rare.unionByName(_pairs(cold, "key", percent)).distinct()
     links = verified(staged(pairs, "pairs"), sets, percent)
 
-    hot = combos.join(by_key.where(f"held > {FEW}").select("key", "first"), "key")
-    hot = staged(hot, "hot")
+    hot = staged(combos.join(by_key.where(f"held > {FEW}").select("key", "first"), "key"), "hot")
     if hot.isEmpty():
         return components(links)
-    bundles = components(hot.select(F.col("sig").alias("a"), F.col("first").alias("b")))
-    members = hot.groupBy("sig").agg(F.count("*").alias("keys")).join(bundles, hot["sig"] == bundles["node"]).select("sig", "keys", F.col("root").alias("bundle"))
-    members = staged(members, "members")
-    leaders = members.groupBy("bundle").agg(F.max_by("sig", F.struct("keys", "sig")).alias("leader"))
-    to_leader = members.join(F.broadcast(leaders) if leaders.limit(SMALL + 1).count() <= SMALL else leaders, "bundle").where("sig <> leader")
-    to_leader = to_leader.select(F.least("sig", "leader").alias("a"), F.greatest("sig", "leader").alias("b")).distinct()
+    bundles = components(hot.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("root", "bundle")
+    members = staged(hot.groupBy("node").agg(F.count("*").alias("keys")).join(bundles, "node"), "members")
+    leaders = members.groupBy("bundle").agg(F.max_by("node", F.struct("keys", "node")).alias("leader"))
+    to_leader = members.join(F.broadcast(leaders) if leaders.limit(SMALL + 1).count() <= SMALL else leaders, "bundle").where("node <> leader")
+    to_leader = to_leader.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     links = staged(links.unionByName(verified(staged(to_leader, "leaders"), sets, percent)).distinct(), "links")
     joined = staged(components(links), "joined")
-    roots = members.join(joined, members["sig"] == joined["node"], "left").select("sig", "bundle", F.coalesce("root", "sig").alias("root"))
-    open_ = roots.groupBy("bundle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bundle")
-    rest = roots.join(open_, "bundle").join(_of_each(sets, roots.select("sig").distinct(), "n_shingles", "bitmap", "hashes"), "sig")
-    more = staged(_block_links(rest, percent), "block-links")
+    full = _of_each(sets, members.select("node"), "n_shingles", "bitmap", "hashes").join(members.select("node", "bundle"), "node")
+    full = staged(full.join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "bundles")
+    open_ = full.groupBy("bundle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bundle")
+    more = staged(_block_links(full.join(open_, "bundle").drop("node"), percent), "block-links")
     return components(links.unionByName(more))
 
 
@@ -356,8 +452,10 @@ def near_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     comps = staged(linked(sets, percent), "components")
     named = classes.join(comps, classes["sig"] == comps["node"], "left").select("sig", "first_id", "root")
     named = staged(named, "classes")
-    least = named.where("root is not null").groupBy("root").agg(F.min("first_id").alias("least_id"))
-    found = named.join(least, "root", "left").select("sig", F.coalesce("least_id", "first_id").alias("component_id"))
+    inside = named.where("root is not null")
+    least = inside.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    alone = named.where("root is null").select("sig", F.col("first_id").alias("component_id"))
+    found = alone.unionByName(inside.join(least, "root").select("sig", "component_id"))
     own = sets.select("doc_id", "text_hash", "n_shingles", "sig")
     return own.join(found, "sig", "left").select(
         "doc_id", "text_hash", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
