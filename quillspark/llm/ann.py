@@ -129,24 +129,25 @@ def nearest(table: DataFrame, asks, k: int = 5, id_: str = "vec_id", vector: str
         return work
 
     coded_rows = staged(map_columns(rows, ["v"], [("code", T.BinaryType()), ("raw", T.BinaryType())], make).drop("v"), "codes")
-    asked = coded_rows.where(asks)
+    # Names of their own: where both sides of a cogroup share attributes, column pruning empties one.
+    asked = coded_rows.where(asks).select(*[F.col(c).alias(f"q_{c}") for c in coded_rows.columns])
     n, m = coded_rows.count(), asked.count()
     row_blocks, query_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-m // BLOCK_QUERIES))
     every = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
     left = coded_rows.withColumn("x", F.pmod(F.xxhash64("uid"), F.lit(row_blocks)).cast("int")).withColumn("y", every(query_blocks))
-    right = asked.withColumn("y", F.pmod(F.xxhash64("uid"), F.lit(query_blocks)).cast("int")).withColumn("x", every(row_blocks))
+    right = asked.withColumn("q_y", F.pmod(F.xxhash64("q_uid"), F.lit(query_blocks)).cast("int")).withColumn("q_x", every(row_blocks))
 
-    def columns(t: pa.Table) -> tuple:
-        ids, uids = t["id"].to_numpy(), t["uid"].to_numpy()
-        codes = np.frombuffer(b"".join(t["code"].to_pylist()), np.uint16).reshape(len(ids), -1)
-        return ids, uids, codes, np.frombuffer(b"".join(t["raw"].to_pylist()), np.float64).reshape(len(ids), -1)
+    def columns(t: pa.Table, side: str = "") -> tuple:
+        ids, uids = t[f"{side}id"].to_numpy(), t[f"{side}uid"].to_numpy()
+        codes = np.frombuffer(b"".join(t[f"{side}code"].to_pylist()), np.uint16).reshape(len(ids), -1)
+        return ids, uids, codes, np.frombuffer(b"".join(t[f"{side}raw"].to_pylist()), np.float64).reshape(len(ids), -1)
 
     def run(have: pa.Table, ask: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if have.num_rows and ask.num_rows:
             ids, uids, codes, vectors = columns(have)
             index = Index(codes)
-            for qid, quid, code, q in zip(*columns(ask), strict=True):
+            for qid, quid, code, q in zip(*columns(ask, "q_"), strict=True):
                 r, bits = radius, codes.shape[1] * SUB
                 while True:
                     near = index.within(code, r)
@@ -159,7 +160,7 @@ def nearest(table: DataFrame, asks, k: int = 5, id_: str = "vec_id", vector: str
                 found += [(int(quid), int(qid), int(ids[near[b]]), float(score[b])) for b in best]
         return pa.Table.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["quid", "query_id", "vec_id", "score"])
 
-    pairs = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(run, "quid long, query_id long, vec_id long, score double")
+    pairs = left.groupBy("x", "y").cogroup(right.groupBy("q_x", "q_y")).applyInArrow(run, "quid long, query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
