@@ -8,6 +8,7 @@ from quillspark.llm.ann import op5_ann
 from quillspark.llm.bpe import op2_bpe
 from quillspark.llm.decontaminate import op7_decontaminate
 from quillspark.llm.html_text import op4_html_text
+from quillspark.llm.licences import op1_licences
 from quillspark.llm.ngram_join import op3_ngram_join
 from quillspark.llm.quality import op9_quality
 from quillspark.llm.shards import op8_shards
@@ -17,6 +18,7 @@ from quillspark.llm.warc import op10_warc
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_licences": op1_licences,
         "op2_bpe": op2_bpe,
         "op3_ngram_join": op3_ngram_join,
         "op4_html_text": op4_html_text,
