@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import map_columns, prepared, staged
+from quillspark.llm.common import map_columns, prepared, sampled, staged
 
 #: Bits of a code (at least), of a substring; rows and queries of a block; rows of the sample; share of neighbour pairs the radius may miss.
 BITS, SUB, BLOCK_ROWS, BLOCK_QUERIES, SAMPLE, MISS = 256, 16, 16_384, 1_024, 4_096, 0.01
@@ -114,7 +114,7 @@ def nearest(table: DataFrame, asks, k: int = 5, id_: str = "vec_id", vector: str
     """query_id, rank, vec_id, score: the k nearest found of each row for which ``asks`` (a condition on column id) holds."""
     spark = table.sparkSession
     rows = usable(table, id_, vector)
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+    some = sampled(rows.select("id", "v"), "id", SAMPLE).orderBy("id").select("v").toArrow()["v"].combine_chunks()
     sample = np.asarray(some.values).reshape(len(some), -1) if len(some) else np.ones((1, 1))
     sample = sample / np.sqrt((sample * sample).sum(1, keepdims=True))
     rotation = rotations(sample)

@@ -105,6 +105,15 @@ def map_columns(
     return df.mapInArrow(run, schema)
 
 
+def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
+    """One row for each of the ``n`` keys that come first by hash: a sample whose size is bounded whatever ``df`` is.
+
+    Only keys are ranked, so tasks send no wide rows to the driver.
+    """
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(n)
+    return df.join(F.broadcast(keys), key, "left_semi").dropDuplicates([key])
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of ``links``: one row (node, root) per node that has a link, root the smallest node.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import map_columns, prepared
+from quillspark.llm.common import map_columns, prepared, sampled
 
 FEATURES, NGRAMS, SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 1 << 15, 3, 400, 4
 COPIES, EPOCHS, RATE, L2, CONFIRM, FALSE_SHARE = 36, 60, 0.15, 2e-4, 0.5, 0.002
@@ -304,7 +304,7 @@ def _around(text: str, begin: int, end: int, width: int = 600) -> Iterator[tuple
 
 def corpus_sample(docs: DataFrame, seed: int = 5) -> list[str]:
     """Paragraphs of a bounded number of documents."""
-    rows = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select(F.substring("text", 1, 20_000).alias("t")).collect()
+    rows = sampled(docs.where("text is not null").select("doc_id", F.substring("text", 1, 20_000).alias("t")), "doc_id", SAMPLE_DOCS).collect()
     r, out = random.Random(seed), []
     for text in sorted(row["t"] for row in rows):
         parts = [text[b:e][:2_000] for b, e in paragraphs(text)]

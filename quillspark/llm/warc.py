@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillspark.llm.common import new_folder, open_input, open_output, prepared, staged
+from quillspark.llm.common import new_folder, open_input, open_output, prepared, sampled, staged
 
 DICTIONARY_FRAME, ANY_FRAME = 0x184D2A5D, 0xFD2FB528
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 256, 16_384, 65_536, 3
@@ -179,8 +179,8 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def dictionary(pages: DataFrame) -> bytes:
     """A zstd dictionary from a bounded sample of payloads."""
-    some = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLES)
-    rows = [bytes(r[0]) for r in some.select(F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES)).collect()]
+    heads = pages.where("html is not null").select("page_id", F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("head"))
+    rows = [bytes(r["head"]) for r in sampled(heads, "page_id", SAMPLES).collect()]
     rows = sorted(r for r in rows if len(r) >= 8)
     if len(rows) >= 16:
         try:
