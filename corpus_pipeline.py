@@ -37,8 +37,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     prepared(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(docs.select("doc_id", "text", "lang", "source"), ranks, pattern)
-    return bpe.checked(ids, ranks, pattern).select("doc_id", "lang", "source", "n_tokens", "token_ids")
+    ids = bpe.encode(docs.select("doc_id", "text", "lang", "source"), ranks, pattern, check=True)
+    return ids.select("doc_id", "lang", "source", "n_tokens", "token_ids")
 
 
 STAGES = [
