@@ -63,8 +63,11 @@ def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
     return out
 
 
-def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", size: int = PIECE_CHARS) -> DataFrame:
-    """Append ``n_tokens`` (long) and ``token_ids`` (binary, see above) to each row."""
+def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", size: int = PIECE_CHARS, check: bool = False) -> DataFrame:
+    """Append ``n_tokens`` (long) and ``token_ids`` (binary, see above) to each row.
+
+    With ``check``, ids are decoded as well, and a text that does not come back fails the job.
+    """
 
     def make() -> Callable:
         enc = encoding(rank_path, pattern)
@@ -74,9 +77,11 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", size
             for t in texts:
                 n, parts = 0, []
                 for p in pieces(t or "", size):
-                    ids = np.asarray(enc.encode_ordinary(p), dtype="<u4")
+                    ids = enc.encode_ordinary(p)
+                    if check and enc.decode_bytes(ids) != p.encode():
+                        raise ValueError("token ids do not decode to the text they come from")
                     n += len(ids)
-                    parts.append(ids.tobytes())
+                    parts.append(np.asarray(ids, dtype="<u4").tobytes())
                 counts.append(n)
                 packed.append(b"".join(parts))
             return [counts, packed]
@@ -112,23 +117,6 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     )
 
 
-def checked(encoded: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """``encoded`` as it is, failing at a row whose ids do not decode to its text."""
-
-    def make() -> Callable:
-        enc = encoding(rank_path, pattern)
-
-        def work(texts: list, packed: list) -> list:
-            return [[enc.decode_bytes(np.frombuffer(b, dtype="<u4").tolist()) == (t or "").encode() for t, b in zip(texts, packed, strict=True)]]
-
-        return work
-
-    name = "ids decode to the text"
-    both = map_columns(encoded, [text, ids], [(name, T.BooleanType())], make)
-    fails = F.raise_error(F.lit("token ids do not decode to the text they come from"))
-    return both.where(F.when(F.col(f"`{name}`"), F.lit(True)).otherwise(fails.cast("boolean"))).drop(name)
-
-
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -16,6 +16,8 @@ from quillspark.session import ready
 
 #: Rows of one Arrow batch. Documents can be long, and a Python worker holds two batches or so.
 BATCH_ROWS = 512
+#: Bytes of a row group of a staged table; a writer holds one in memory.
+ROW_GROUP = 32 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -44,7 +46,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here, lost executors cost nothing."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -37,6 +37,8 @@ from quillspark.llm.common import map_columns, prepared, staged
 PERCENT, MIN_WORDS, WORDS_AT_ONCE = 20, 4, 1_000_000
 #: Walks, bands a walk, places a band, steps a word of the item.
 WALKS, BANDS, PLACES, STEPS = 6, 16, 2, 2
+#: Tokens that a worker remembers.
+KNOWN = 150_000
 _WORD = re.compile(r"[^\W_]+")
 _NONE = -1
 
@@ -185,7 +187,7 @@ class Items:
         tokens, known = text.split(), self.known
         got = list(map(known.get, tokens))
         if None in got:
-            if len(known) > 1_000_000:
+            if len(known) > KNOWN:
                 known.clear()
             for i, c in enumerate(got):
                 if c is None:

@@ -49,7 +49,7 @@ OFTEN = 16
 #: Tokens that a task counts at a time, and members of a block.
 COUNT_AT_ONCE, BLOCK = 2_000_000, 512
 #: Words that a worker remembers.
-KNOWN = 400_000
+KNOWN = 150_000
 #: Rows up to which a side is broadcast; beyond, both sides are shuffled.
 SMALL = 500_000
 
