@@ -15,7 +15,9 @@ is one frame; an empty table makes no files and reads back as an empty table.
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -31,8 +33,8 @@ from pyspark.sql import types as T
 from quillspark.llm.common import map_columns, new_folder, open_input, open_output, prepared, staged
 
 SEEK_FRAME, KEYS_FRAME, SEEK_END = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
-#: Documents of a file on average, compression level, words that a worker remembers.
-FILE_DOCS, LEVEL, KNOWN = 16_384, 1, 400_000
+#: Documents of a file on average, compression level, words and parts of words that a worker remembers.
+FILE_DOCS, LEVEL, KNOWN, KNOWN_PARTS = 16_384, 1, 250_000, 400_000
 #: Rows or bytes of ids that a batch of the reader holds, but for one document.
 READ_ROWS, READ_BYTES = 512, 8 << 20
 _NULL = -(2**63)
@@ -41,42 +43,95 @@ _loaded: dict = {}
 
 
 def tokenizer(path: str):
-    """The tokenizer of a file; one a process. Special tokens' strings in a text are ordinary text."""
+    """The tokenizer of a file, the same without normalizing and splitting, and what words and matches it has
+    encoded; one a process. Special tokens' strings in a text are ordinary text."""
     if path not in _loaded:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _loaded[path] = t, {}
+        t, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        t.encode_special_tokens = bare.encode_special_tokens = True
+        bare.normalizer = normalizers.Sequence([])
+        bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        _loaded[path] = t, bare, {}, {}
     return _loaded[path]
 
 
+# The pre-tokenizer's pattern and a line end, in terms of characters below, for which case and
+# categories are the same in all Unicode versions and no digit is other than decimal.
+_MATCH = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_PLAIN = re.compile("[\n!-~\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u0148\u014a-\u017f]*+")
+#: Stands between words; no id.
+_GAP = b"\xff\xff\xff\xff"
+
+
 def encoder(path: str, end_id: int | None) -> Callable[[list], list[bytes]]:
     """A function from texts to packed ids.
 
-    The tokenizer drops white space and no match of its patterns spans it, so texts are cut at
-    blanks and line ends, and each distinct word goes through the library once.
+    The tokenizer drops white space and encodes each match of its pattern by itself, so texts
+    are cut at blanks and line ends, words of plain characters into lower-case matches, and
+    each distinct match goes through the library once. Words with any other character go
+    through it whole.
     """
-    t, known = tokenizer(path)
+    t, bare, words, pieces = tokenizer(path)
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
-    def work(texts: list) -> list[bytes]:
-        if len(known) > KNOWN:
-            known.clear()
-        split = [(x or "").replace("\n", " ").split(" ") for x in texts]
-        new = list({w for ws in split for w in ws if w not in known})
+    def learned(by, new: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            got = t.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u4")
+            got = by.encode(part, is_pretokenized=True, add_special_tokens=False)
             own = np.array(got.word_ids, dtype=np.int64)
-            raw, cut = ids.tobytes(), np.searchsorted(own, np.arange(len(part) + 1)) * 4
-            for w, a, b in zip(part, cut.tolist(), cut[1:].tolist()):  # noqa: B905
-                known[w] = raw[a:b]
-        return [b"".join(map(known.__getitem__, ws)) + end for ws in split]
+            raw, cut = np.array(got.ids, dtype="<u4").tobytes(), (np.searchsorted(own, np.arange(len(part) + 1)) * 4).tolist()
+            out.update(zip(part, [raw[x:y] for x, y in zip(cut, cut[1:])]))  # noqa: B905
+        return out
+
+    def keep(known: dict[str, bytes], new: dict[str, bytes], most: int) -> None:
+        """The first to come stay: frequent ones are among them, and most of the others never come again."""
+        if len(known) < most:
+            known.update(new)
+
+    def learned_plain(new: list[str]) -> dict[str, bytes]:
+        flat = _MATCH.findall(unicodedata.normalize("NFC", "\n".join(new)).lower())
+        ids = list(map(pieces.get, flat))
+        unseen = [k for k, x in enumerate(ids) if x is None]
+        if unseen:
+            own = learned(bare, list({flat[k] for k in unseen}))
+            for k in unseen:
+                ids[k] = own[flat[k]]
+            keep(pieces, own, KNOWN_PARTS)
+        raw = b"".join(ids)
+        gaps = np.flatnonzero(np.frombuffer(raw, dtype="<u4") == 0xFFFFFFFF) * 4
+        first, last = [0, *(gaps + 4).tolist()], [*gaps.tolist(), len(raw)]
+        return dict(zip(new, [raw[x:y] for x, y in zip(first, last, strict=True)], strict=True))
+
+    def work(texts: list) -> list[bytes]:
+        pieces["\n"] = _GAP
+        rows, new = [], set()
+        for x in texts:
+            ws = (x or "").replace("\n", " ").split(" ")
+            ids = list(map(words.get, ws))
+            unseen = [k for k, i in enumerate(ids) if i is None]
+            missed = [ws[k] for k in unseen]
+            new.update(missed)
+            rows.append((ids, unseen, missed))
+        own: dict[str, bytes] = {}
+        if new:
+            plain = list(new)
+            if not _PLAIN.fullmatch("\n".join(plain)):
+                own = learned(t, [w for w in plain if not _PLAIN.fullmatch(w)])
+                plain = [w for w in plain if w not in own]
+            if plain:
+                own.update(learned_plain(plain))
+            keep(words, own, KNOWN)
+        out = []
+        for ids, unseen, missed in rows:
+            for k, w in zip(unseen, missed, strict=True):
+                ids[k] = own[w]
+            out.append(b"".join(ids) + end)
+        return out
 
     return work
 
