@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import terms
-from quillspark.functions.vector import normalised
+from quillspark.functions.vector import let, normalised
 
 DIM = 64
 
@@ -19,8 +19,10 @@ def hashed_embedding(text: Column, dim: int = DIM) -> Column:
     place = lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int")
     sign = lambda t: F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
     marks = F.transform(terms(text), lambda t: F.struct(place(t).alias("p"), sign(t).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(marks, lambda m: m.p == i), F.lit(0.0), lambda a, m: a + m.s))
-    return F.when(F.exists(raw, lambda x: x != 0), normalised(raw)).otherwise(raw)
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    sums = lambda ms: F.transform(places, lambda i: F.aggregate(ms, F.lit(0.0), lambda a, m: a + F.when(m.p == i, m.s).otherwise(0.0)))
+    unit = lambda v: F.when(F.exists(v, lambda x: x != 0), normalised(v)).otherwise(v)
+    return let(let(marks, sums), unit)
 
 
 def token_count(text: Column) -> Column:

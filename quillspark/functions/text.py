@@ -15,6 +15,11 @@ _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end: blanks, tabs and line ends alike."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def terms(text: Column) -> Column:
     """Lower-case runs of letters a-z and digits."""
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
@@ -22,8 +27,8 @@ def terms(text: Column) -> Column:
 
 def sanitised(text: Column) -> Column:
     """Trimmed text without control characters (tab and line ends stay), non-characters and C1 controls; entities decoded."""
-    plain = F.regexp_replace(F.trim(text), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF\\uD800-\\uDFFF]", "")
-    return F.trim(F.regexp_replace(unescaped(plain), "[\\x7F-\\x9F]", ""))
+    plain = F.regexp_replace(strip(text), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF\\uD800-\\uDFFF]", "")
+    return strip(F.regexp_replace(unescaped(plain), "[\\x7F-\\x9F]", ""))
 
 
 def unescaped(text: Column) -> Column:
@@ -66,7 +71,7 @@ def split_by(text: Column, markers: Sequence[str]) -> Column:
     if not markers:
         return F.array(text)
     pattern = "|".join("".join(f"\\{c}" if not c.isalnum() else c for c in m) for m in markers)
-    return F.filter(F.transform(F.split(text, pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_float(text: Column) -> Column:
@@ -75,23 +80,23 @@ def is_float(text: Column) -> Column:
 
 def without_thinking(text: Column) -> Column:
     """Without a leading think block, or all up to an orphan end of one."""
-    return F.trim(F.regexp_replace(text, "(?s)^(<think>.*?</think>|.*</think>)", ""))
+    return strip(F.regexp_replace(text, "(?s)^(<think>.*?</think>|.*</think>)", ""))
 
 
 def without_think_blocks(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "(?s)<think[^>]*>.*?</think[^>]*>", ""))
+    return strip(F.regexp_replace(text, "(?s)<think[^>]*>.*?</think[^>]*>", ""))
 
 
 def answer_of(text: Column) -> Column:
     """The closed answer block, else an unclosed one to the end, else the whole text."""
     closed = F.regexp_extract(text, "(?s)<answer>(.*?)</answer>", 1)
     opened = F.regexp_extract(text, "(?s)<answer>(.*)$", 1)
-    return F.trim(F.when(text.rlike("(?s)<answer>.*?</answer>"), closed).when(F.contains(text, F.lit("<answer>")), opened).otherwise(text))
+    return strip(F.when(text.rlike("(?s)<answer>.*?</answer>"), closed).when(F.contains(text, F.lit("<answer>")), opened).otherwise(text))
 
 
 def thinking_of(text: Column) -> Column:
     """The think block if the text has an answer block, else empty."""
-    return F.trim(F.when(F.contains(text, F.lit("<answer>")), F.regexp_extract(text, "(?s)<think>(.*?)</think>", 1)).otherwise(F.lit("")))
+    return strip(F.when(F.contains(text, F.lit("<answer>")), F.regexp_extract(text, "(?s)<think>(.*?)</think>", 1)).otherwise(F.lit("")))
 
 
 def without_leading_headers(md: Column) -> Column:
@@ -99,7 +104,7 @@ def without_leading_headers(md: Column) -> Column:
     lines = F.split(md, "\n")
     first = F.array_position(F.transform(lines, lambda x: ~(x.rlike(r"^\s*#{1,6}\s") | (F.trim(x) == ""))), True)
     rest = F.when(first > 0, F.slice(lines, first.cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>"))
-    out = F.trim(F.array_join(F.transform(rest, lambda x: F.regexp_replace(x, r"^\s*#{1,6}\s+", "")), "\n"))
+    out = strip(F.array_join(F.transform(rest, lambda x: F.regexp_replace(x, r"^\s*#{1,6}\s+", "")), "\n"))
     return F.when(out == "", md).otherwise(out)
 
 
@@ -108,7 +113,7 @@ def redacted(text: Column) -> Column:
 
 
 def without_fences(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+    return strip(F.regexp_replace(F.regexp_replace(strip(text), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
 
 
 def shortened(text: Column, n: int) -> Column:
@@ -119,7 +124,7 @@ def shortened(text: Column, n: int) -> Column:
 def shortened_question(text: Column, max_tokens: int, limit: int = 2000) -> Column:
     """Long questions keep what stands before the colon and the first names of the comma list behind it."""
     keep = max(10, min(30, max_tokens // 100))
-    names = F.slice(F.transform(F.split(F.regexp_extract(text, r"(?s)^[^:]*:(.*)$", 1), ","), F.trim), 1, keep)
+    names = F.slice(F.transform(F.split(F.regexp_extract(text, r"(?s)^[^:]*:(.*)$", 1), ","), lambda x: F.trim(x)), 1, keep)
     listed = F.concat(F.regexp_extract(text, r"(?s)^([^:]*):", 1), F.lit(": "), F.array_join(names, ", "))
     return F.when(F.length(text) <= limit, text).when(text.rlike(r"(?s)^[^:]*:.*,"), listed).otherwise(F.substring(text, 1, limit))
 
@@ -163,7 +168,7 @@ def string_list(raw: Column, keys: Sequence[str] = ("queries", "search_queries",
     objects = F.from_json(without_fences(raw), "map<string,string>", {"mode": "PERMISSIVE"})
     first = F.try_variant_get(F.try_parse_json(F.element_at(F.map_values(objects), 1)), "$", "array<string>")
     out = F.coalesce(*found, F.when(F.size(objects) > 0, first))
-    return F.filter(F.transform(out, F.trim), lambda x: x != "")
+    return F.filter(F.transform(out, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def rescued_object(raw: Column) -> Column:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -21,7 +28,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / norm(a))
+    return let(norm(a), lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def sigmoid(x: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.small import small
+from quillspark.operators.small import settled, small
 
 HEAVIEST = 50_000
 
@@ -104,6 +104,7 @@ def expand(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int = 1,
         sums = new.groupBy("other").agg(F.countDistinct("node").alias("seeds"), F.max("weight").alias("weight"))
         found = sums.join(nodes.withColumnRenamed("entity_id", "other"), "other").orderBy(F.desc("seeds"), F.desc("weight"), "other").limit(per_hop)
         found = found.select(F.col("other").alias("entity_id"), "entity_type", "description", "seeds", "weight", F.lit(f"neo4j_hop_{hop}").alias("hop"))
+        found = settled(found) if hop < hops else found
         out = found if out is None else out.unionByName(found)
         frontier = found.select("entity_id")
         known = known.union(frontier)

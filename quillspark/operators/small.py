@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,3 +14,15 @@ SMALL = 200_000
 def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     """``df`` to be broadcast if it has at most ``rows`` rows, else as it is, to be joined by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and cut from its lineage, in the shared folder that ``spark.checkpoint.dir`` names.
+
+    Stages of a question feed several later ones; each would otherwise carry its whole past in its plan.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspark-"))
+    return df.checkpoint()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.models import TextGen, hashed_embedding, token_count
 from quillspark.operators import cite, context, entity, fusion, graph, keyword, rerank, select, vector
-from quillspark.operators.small import small
+from quillspark.operators.small import settled, small
 from quillspark.plans.params import QueryParam
 
 MODES = ("naive", "local", "global", "hybrid", "mix", "bypass")
@@ -34,9 +34,10 @@ def shown_stages(stages: dict, tables: dict, ids: DataFrame, queries: DataFrame,
     docs = tables["chunks"].join(small(ids.select("chunk_id").distinct()), "chunk_id", "left_semi")
     one, two = rerank.cascade(docs, queries, stage1_top=p.stage1_top_k, stage1_min=p.stage1_min_score, stage2_min=p.stage2_min_score, how=p.score_aggregation)
     stages["scored1"], stages["scored2"] = one, two
-    kept = two.select("chunk_id", "score")
+    kept = settled(two.select("chunk_id", "score"))
     if p.expand_documents:
         kept = rerank.expand_documents(kept, tables["chunks"], queries, min_score=p.rerank_min_score)
+        kept = settled(kept)
     stages["expanded"] = kept
     top = kept.orderBy(F.desc("score"), "chunk_id").limit(p.chunk_top_k)
     full = tables["chunks"].join(F.broadcast(top), "chunk_id").withColumn("tokens", token_count(F.col("content")))
@@ -61,21 +62,21 @@ def ask(spark: SparkSession, tables: dict, question: str, p: QueryParam | None =
     judged = gen.frame(spark, gen.parts(question, p.max_subqueries))
     vec = kw = kg = None
     if p.mode in ("naive", "mix"):
-        vec = stages["vector"] = vector_hits(tables, queries, p.candidate_top_k, p.milvus_top_k)
+        vec = stages["vector"] = settled(vector_hits(tables, queries, p.candidate_top_k, p.milvus_top_k))
     if p.mode == "naive":
         return shown_stages(stages, tables, vec, judged, p)
     if p.mode == "mix":
-        kw = stages["keyword"] = keyword.search_many(tables["chunks"], queries, p.es_top_k_per_query, p.es_top_k)
+        kw = stages["keyword"] = settled(keyword.search_many(tables["chunks"], queries, p.es_top_k_per_query, p.es_top_k))
     grams = entity.candidates(stages["question"], p.ngram_min, p.ngram_max)
     found = entity.high_quality(match_entities(grams, tables["entities"]), tables.get("entity_stats"), p.max_pct_paper, p.max_pct_chunk, p.max_text_variations)
-    stages["entities1"] = found
-    hops = graph.expand(found, tables["edges"], tables["nodes"], p.graph_hops, p.min_paper_support, p.graph_per_hop)
+    stages["entities1"] = found = settled(found)
+    hops = settled(graph.expand(found, tables["edges"], tables["nodes"], p.graph_hops, p.min_paper_support, p.graph_per_hop))
     stages["hop1"] = hops
     ids = found.select("entity_id").union(hops.select("entity_id")).distinct()
-    stages["entities"] = graph.node_data(ids, tables["edges"], tables["entities"], tables["nodes"], p.top_k)
+    stages["entities"] = settled(graph.node_data(ids, tables["edges"], tables["entities"], tables["nodes"], p.top_k))
     if p.entities_only:
         return stages
-    stages["edges"] = graph.edges_of(tables["edges"], stages["entities"], p.top_k)
+    stages["edges"] = settled(graph.edges_of(tables["edges"], stages["entities"], p.top_k))
     kg = overlap_or_weight(tables, stages["entities"], p)
     if p.mode in ("global", "hybrid"):
         ends = graph.entities_of(stages["edges"], p.top_k)
@@ -83,12 +84,12 @@ def ask(spark: SparkSession, tables: dict, question: str, p: QueryParam | None =
         both = [more] if p.mode == "global" else [kg, more]
         stages["edge_entities"] = ends
         kg = both[0] if len(both) == 1 else both[0].unionByName(both[1]).groupBy("chunk_id").agg(F.max("score").alias("score"))
-    stages["kg"] = kg
+    stages["kg"] = kg = settled(kg)
     rows = kg.select("chunk_id", F.lit("kg").alias("source"), "score")
     if p.mode == "mix":
         rows = rows.unionByName(kw.select("chunk_id", F.lit("elasticsearch").alias("source"), "score")).unionByName(vec.select("chunk_id", F.lit("milvus").alias("source"), "score"))
     stages["merged"] = fusion.source_sets(rows)
-    stages["selected"] = fusion.balanced_cut(rows, p.merged_top_k)
+    stages["selected"] = settled(fusion.balanced_cut(rows, p.merged_top_k))
     return shown_stages(stages, tables, stages["selected"], judged, p)
 
 

@@ -1,13 +1,707 @@
-"""Named queries of the retrieval engine and their DuckDB twins."""
+"""Named queries of the retrieval engine and their DuckDB twins.
+
+Floats are rounded to six places here and nowhere else. Every query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as X
+from quillspark.operators import cite, context, entity, fusion, graph, keyword, rerank, select, vector
+from quillspark.plans import modes
+from quillspark.plans.params import QueryParam
+from quillspark.session import ready
+from quillspark.sources import stores
+from quillspark.sources import tables as tb
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(ready(spark), sf_dir)
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+# ---- pieces of SQL -------------------------------------------------------------------------
+
+COS = "list_sum(list_transform(list_zip({a},{b}), lambda z: z[1]::double*z[2]::double))/(sqrt(list_sum(list_transform({a}, lambda x: x::double*x::double)))*sqrt(list_sum(list_transform({b}, lambda x: x::double*x::double))))"
+VEC = f"""v AS (SELECT vec_id AS id, label AS collection, embedding AS vector FROM embeddings),
+q AS (SELECT CAST(vec_id AS INT) AS query_idx, embedding AS query_vector FROM embeddings WHERE vec_id < 3),
+s AS (SELECT query_idx, id, collection, {COS.format(a="vector", b="query_vector")} AS score FROM v CROSS JOIN q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY score DESC, id) AS rank FROM s)"""
+PAPER = "sha1(CAST({0} AS VARCHAR))"
+CHUNKS = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(len(string_split(text, chr(10))))) AS chunk_no FROM documents),
+chunks AS (SELECT 'chunk-'||sha1(CAST(doc_id AS VARCHAR))||'-'||lpad(CAST(chunk_no AS VARCHAR),6,'0') AS chunk_id, sha1(CAST(doc_id AS VARCHAR)) AS paper_id, CAST(chunk_no AS INT) AS chunk_no, content, doc_id FROM lines WHERE content <> '')"""
+TERMS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+QTERMS = f"""questions AS (SELECT CAST(item_id AS INT) AS query_idx, text FROM benchmark WHERE item_id < 3),
+qt AS (SELECT query_idx, unnest(list_distinct({TERMS.format('text')})) AS term, len(list_distinct({TERMS.format('text')})) AS n_terms FROM questions)"""
+BM25 = f"""{CHUNKS}, {QTERMS},
+tok AS (SELECT chunk_id, {TERMS.format('content')} AS t FROM chunks),
+sz AS (SELECT count(*) AS n, avg(len(t)) AS avg_len FROM tok),
+ex AS (SELECT chunk_id, len(t) AS doc_len, unnest(t) AS term FROM tok),
+tf AS (SELECT term, chunk_id, doc_len, count(*) AS tf FROM ex WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT query_idx, chunk_id, n_terms, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len)) AS w FROM tf JOIN df USING (term) CROSS JOIN sz JOIN qt USING (term)),
+sc AS (SELECT query_idx, chunk_id, sum(w) AS score, count(*) AS matched, max(n_terms) AS n_terms FROM w GROUP BY ALL),
+bm AS (SELECT query_idx, chunk_id, round(score, 9) AS score, matched FROM sc WHERE matched >= greatest(1, floor(0.3::DOUBLE * n_terms))),
+bmr AS (SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY score DESC, chunk_id) AS rank FROM bm)"""
+EDGES = """edges AS (SELECT 'PART:'||l_partkey AS src, 'SUPP:'||l_suppkey AS dst, count(*) AS weight FROM lineitem GROUP BY ALL
+UNION ALL SELECT 'SUPP:'||s_suppkey, 'NATION:'||s_nationkey, 1 FROM supplier),
+nodes AS (SELECT 'PART:'||p_partkey AS entity_id, 'Part' AS entity_type, p_name AS description FROM part UNION ALL SELECT 'SUPP:'||s_suppkey, 'Supplier', s_name FROM supplier UNION ALL SELECT 'NATION:'||n_nationkey, 'Nation', n_name FROM nation),
+adj AS (SELECT src AS node, dst AS other, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges WHERE src <> dst),
+deg AS (SELECT node AS entity_id, count(*) AS degree FROM adj GROUP BY node)"""
+SEEDS = "ids AS (SELECT 'PART:'||p_partkey AS entity_id FROM part WHERE p_partkey <= 40 UNION ALL SELECT 'SUPP:'||s_suppkey FROM supplier WHERE s_suppkey <= 3 UNION ALL SELECT 'PART:none')"
+OWN = f"""{EDGES}, {SEEDS},
+own AS (SELECT * FROM edges WHERE src IN (SELECT entity_id FROM ids) OR dst IN (SELECT entity_id FROM ids)),
+own_deg AS (SELECT src, dst, weight, coalesce(a.degree, 0) + coalesce(b.degree, 0) AS degree FROM own LEFT JOIN deg a ON a.entity_id = src LEFT JOIN deg b ON b.entity_id = dst)"""
+SOURCES = "es AS (SELECT DISTINCT 'PART:'||l_partkey AS entity_id, 'ORDER:'||l_orderkey AS chunk_id FROM lineitem)"
+STATS = """tot AS (SELECT count(DISTINCT l_orderkey) AS orders, count(*) AS lines FROM lineitem),
+st AS (SELECT 'PART:'||l_partkey AS entity_name, 100.0::DOUBLE * count(DISTINCT l_orderkey) / any_value(orders) AS pct_paper, 100.0::DOUBLE * count(*) / any_value(lines) AS pct_chunk, count(DISTINCT l_returnflag) AS num_text_variations FROM lineitem CROSS JOIN tot GROUP BY l_partkey)"""
+SHARE = "CASE WHEN len({a}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({a}, {b}))::DOUBLE / len({a}) END"
+LOGIT = "1 / (1 + exp(-(8.0::DOUBLE * (len(list_intersect({a}, {b})) / sqrt(greatest(len({a}) * len({b}), 1)::DOUBLE)) - 2.0::DOUBLE)))"
+SETS = f"""{CHUNKS}, questions AS (SELECT CAST(item_id AS INT) AS query_idx, text FROM benchmark WHERE item_id < 3),
+qs AS (SELECT query_idx, list_distinct({TERMS.format('text')}) AS a FROM questions),
+cs AS (SELECT chunk_id, paper_id, content, list_distinct({TERMS.format('content')}) AS b FROM chunks),
+p1 AS (SELECT query_idx, chunk_id, paper_id, {SHARE.format(a='a', b='b')} AS cheap, {LOGIT.format(a='a', b='b')} AS costly FROM cs CROSS JOIN qs)"""
+
+
+def three(spark, d):
+    return tb.read(spark, d, "embeddings").where("vec_id < 3").select(F.col("vec_id").cast("int").alias("query_idx"), F.col("embedding").alias("query_vector"))
+
+
+def seeds(spark, d):
+    part = tb.read(spark, d, "part").where("p_partkey <= 40").select(F.concat(F.lit("PART:"), "p_partkey").alias("entity_id"))
+    supp = tb.read(spark, d, "supplier").where("s_suppkey <= 3").select(F.concat(F.lit("SUPP:"), "s_suppkey").alias("entity_id"))
+    return part.union(supp).union(spark.sql("SELECT 'PART:none' AS entity_id"))
+
+
+def bm25_hits(spark, d):
+    """BM25 scores of all questions, rounded before they are ranked: sums of floats have no order."""
+    return keyword.scored(tb.chunks(spark, d), tb.questions(spark, d)).withColumn("score", F.round("score", 9))
+
+
+def bm25_ranked(spark, d):
+    return bm25_hits(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("query_idx").orderBy(F.desc("score"), "chunk_id")))
+
+
+# ---- vectors -------------------------------------------------------------------------------
+
+
+@query(f"WITH {VEC} SELECT query_idx, id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 5")
+def vec_topk(spark, d):
+    return vector.top_k(tb.vectors(spark, d), three(spark, d), 5).select("query_idx", "id", "rank", r6("score").alias("score"))
+
+
+@query(f"WITH {VEC} SELECT query_idx, id, round(score, 6) AS score FROM ranked WHERE rank <= 20 AND score >= 0.35")
+def vec_topk_threshold(spark, d):
+    return vector.top_k(tb.vectors(spark, d), three(spark, d), 20, threshold=0.35).select("query_idx", "id", r6("score").alias("score"))
+
+
+@query(
+    f"""WITH {VEC}, pc AS (SELECT *, row_number() OVER (PARTITION BY query_idx, collection ORDER BY score DESC, id) AS rc FROM s WHERE collection IN (0,1,2,3,4) AND collection NOT IN (4))
+SELECT query_idx, collection, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_idx ORDER BY score DESC, id) AS INT) AS pos FROM pc WHERE rc <= 4 AND score >= 0.1"""
+)
+def vec_topk_per_collection(spark, d):
+    hits = vector.top_k_per_collection(tb.vectors(spark, d), three(spark, d), 4, 0.1, include=[0, 1, 2, 3, 4], exclude=[4])
+    return hits.select("query_idx", "collection", "id", r6("score").alias("score"), "pos")
+
+
+@query(
+    f"""WITH {VEC}, m AS (SELECT id, max(score) AS score, arg_max(query_idx, (score, -query_idx)) AS query_idx FROM ranked WHERE rank <= 50 GROUP BY id)
+SELECT id, round(score, 6) AS score, query_idx FROM m ORDER BY m.score DESC, id LIMIT 60"""
+)
+def vec_multi_query_max(spark, d):
+    return vector.candidates(tb.vectors(spark, d), three(spark, d), 50, 60).select("id", r6("score").alias("score"), "query_idx")
+
+
+@query(f"WITH {VEC}, m AS (SELECT id, max(score) AS score FROM ranked WHERE rank <= greatest(1, 20 // 3) GROUP BY id) SELECT id, round(score, 6) AS score FROM m ORDER BY m.score DESC, id LIMIT 20")
+def vec_budgeted_multi_query(spark, d):
+    return vector.budgeted(tb.vectors(spark, d), three(spark, d), 20).select("id", r6("score").alias("score"))
+
+
+@query(
+    f"""WITH v AS (SELECT vec_id AS id, label AS collection, embedding AS vector FROM embeddings), e AS (SELECT collection, unnest(vector)::double AS x, unnest(range(len(vector))) AS pos FROM v),
+m AS (SELECT collection, pos, avg(x) AS x FROM e GROUP BY ALL), c AS (SELECT collection, list(x ORDER BY pos) AS c FROM m GROUP BY collection)
+SELECT id, collection, round({COS.format(a="vector", b="c")}, 6) AS similarity FROM v JOIN c USING (collection) WHERE {COS.format(a="vector", b="c")} >= 0.1"""
+)
+def vec_centroid_outliers(spark, d):
+    return vector.without_outliers(tb.vectors(spark, d), 0.1).select("id", "collection", r6("similarity").alias("similarity"))
+
+
+@query("WITH ids AS (SELECT unnest([7, 3, 999999, 3, 0]) AS id, unnest(range(5)) AS pos) SELECT CAST(pos AS INT) AS pos, id, label FROM ids JOIN embeddings ON vec_id = id")
+def ids_lookup_ordered(spark, d):
+    return stores.by_ids_in_order(tb.vectors(spark, d), "id", stores.ids_frame(spark, [7, 3, 999999, 3, 0], "long")).select("pos", "id", F.col("collection").alias("label"))
+
+
+@query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id IN (SELECT l_linenumber FROM lineitem)")
+def ids_lookup_semi(spark, d):
+    ids = tb.read(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("id"))
+    return stores.by_ids(tb.vectors(spark, d), "id", ids, ["id", F.col("collection").alias("label")])
+
+
+# ---- keywords and fusion -------------------------------------------------------------------
+
+
+@query(f"WITH {BM25} SELECT query_idx, chunk_id, CAST(rank AS INT) AS rank, round(score, 6) AS score, matched FROM bmr WHERE rank <= 20")
+def bm25_topk(spark, d):
+    return bm25_ranked(spark, d).where("rank <= 20").select("query_idx", "chunk_id", "rank", r6("score").alias("score"), "matched")
+
+
+@query(f"WITH {BM25} SELECT query_idx, count(*) AS hits, min(matched) AS least FROM bm GROUP BY query_idx")
+def bm25_min_should_match(spark, d):
+    return bm25_hits(spark, d).groupBy("query_idx").agg(F.count("*").alias("hits"), F.min("matched").alias("least"))
+
+
+@query(f"WITH {BM25} SELECT chunk_id, round(max(score), 6) AS score FROM bmr WHERE rank <= 40 GROUP BY chunk_id ORDER BY max(score) DESC, chunk_id LIMIT 50")
+def bm25_multi_query_max(spark, d):
+    best = bm25_ranked(spark, d).where("rank <= 40").groupBy("chunk_id").agg(F.max("score").alias("score"))
+    return best.orderBy(F.desc("score"), "chunk_id").limit(50).select("chunk_id", r6("score").alias("score"))
+
+
+@query(f"WITH {CHUNKS}, t AS (SELECT chunk_id, unnest({TERMS.format('content')}) AS term FROM chunks) SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM t GROUP BY term")
+def postings_frequencies(spark, d):
+    return keyword.postings(tb.chunks(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+LISTS = f"""{BM25}, l AS (SELECT query_idx AS list_idx, rank, chunk_id, CASE query_idx WHEN 0 THEN 'elasticsearch' ELSE 'milvus' END AS source FROM bmr WHERE rank <= 100)"""
+
+
+def ranked_lists(spark, d):
+    source = F.when(F.col("query_idx") == 0, "elasticsearch").otherwise("milvus")
+    return bm25_ranked(spark, d).where("rank <= 100").select(F.col("query_idx").alias("list_idx"), "rank", "chunk_id", source.alias("source"), "score")
+
+
+@query(
+    f"""WITH {LISTS} SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, CASE WHEN count(DISTINCT source) > 1 THEN 'hybrid_overlap' WHEN max(source) = 'elasticsearch' THEN 'es_only' ELSE 'milvus_only' END AS tag FROM l GROUP BY chunk_id"""
+)
+def rrf_fusion(spark, d):
+    return fusion.reciprocal_rank(ranked_lists(spark, d)).select("chunk_id", F.round("rrf", 9).alias("rrf"), "tag")
+
+
+@query(
+    f"""WITH {LISTS}, f AS (SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS merged, CASE WHEN count(DISTINCT source) > 1 THEN 'hybrid_overlap' WHEN max(source) = 'elasticsearch' THEN 'es_only' ELSE 'milvus_only' END AS tag FROM l WHERE list_idx < 2 GROUP BY chunk_id)
+SELECT * FROM f ORDER BY merged DESC, chunk_id LIMIT 150"""
+)
+def hybrid_context(spark, d):
+    lists = ranked_lists(spark, d)
+    cols = ["rank", "chunk_id", "score"]
+    out = fusion.hybrid(lists.where("list_idx = 0").select(*cols), lists.where("list_idx = 1").select(*cols), 60, 1000).withColumn("merged", F.round("merged", 9))
+    return out.orderBy(F.desc("merged"), "chunk_id").limit(150)
+
+
+@query(f"WITH {BM25} SELECT chunk_id, score AS merged, 'milvus_only' AS tag FROM bmr WHERE query_idx = 1 AND rank <= 30")
+def hybrid_context_one_side(spark, d):
+    lists = ranked_lists(spark, d).select("list_idx", "rank", "chunk_id", "score")
+    none = lists.where("list_idx = 99").drop("list_idx")
+    return fusion.hybrid(none, lists.where("list_idx = 1 AND rank <= 30").drop("list_idx"), 60, 30)
+
+
+# ---- graph ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {EDGES}, {SEEDS} SELECT entity_id, coalesce(degree, 0) AS degree FROM ids LEFT JOIN deg USING (entity_id)")
+def graph_degrees(spark, d):
+    return graph.degrees(tb.edges(spark, d), seeds(spark, d))
+
+
+@query(f"WITH {OWN} SELECT src, dst, degree FROM own_deg")
+def graph_edge_degrees(spark, d):
+    e = tb.edges(spark, d)
+    return graph.edge_degrees(e, graph.touching(e, seeds(spark, d)))
+
+
+@query(f"WITH {OWN} SELECT src, dst, weight, degree FROM own_deg ORDER BY degree DESC, weight DESC, src, dst LIMIT 100")
+def graph_edges_of_entities(spark, d):
+    return graph.edges_of(tb.edges(spark, d), seeds(spark, d), 100).select("src", "dst", "weight", "degree")
+
+
+@query(
+    f"WITH {OWN}, p AS (SELECT dst AS src, src AS dst, weight, degree FROM own_deg) SELECT src, dst, weight, degree FROM p ORDER BY degree DESC, weight DESC, src, dst LIMIT 80"
+)
+def graph_edge_data(spark, d):
+    e = tb.edges(spark, d)
+    back = graph.touching(e, seeds(spark, d)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.edge_data(e, back, 80).select("src", "dst", "weight", "degree")
+
+
+@query(f"WITH {OWN}, e AS (SELECT src AS entity_id FROM own UNION SELECT dst FROM own) SELECT entity_id FROM e ORDER BY entity_id LIMIT 60")
+def graph_entities_from_edges(spark, d):
+    return graph.entities_of(graph.touching(tb.edges(spark, d), seeds(spark, d)), 60)
+
+
+@query(f"WITH {EDGES} SELECT other, weight FROM adj WHERE node = 'SUPP:1' ORDER BY weight DESC, other LIMIT 25")
+def graph_neighbours(spark, d):
+    return graph.neighbours(tb.edges(spark, d), "SUPP:1", 25).select("other", "weight")
+
+
+HOP1 = f"""{EDGES}, {SEEDS}, band AS (SELECT * FROM adj WHERE weight BETWEEN 1 AND 50000),
+h1 AS (SELECT other AS entity_id, count(DISTINCT node) AS seeds, max(weight) AS weight FROM band WHERE node IN (SELECT entity_id FROM ids) AND other NOT IN (SELECT entity_id FROM ids) AND other IN (SELECT entity_id FROM nodes) GROUP BY other ORDER BY seeds DESC, weight DESC, entity_id LIMIT 15)"""
+
+
+@query(f"WITH {HOP1} SELECT entity_id, entity_type, description, seeds, weight, 'neo4j_hop_1' AS hop FROM h1 JOIN nodes USING (entity_id)")
+def graph_hop1(spark, d):
+    return graph.expand(seeds(spark, d), tb.edges(spark, d), tb.nodes(spark, d), 1, 1, 15)
+
+
+@query(
+    f"""WITH {HOP1}, known AS (SELECT entity_id FROM ids UNION ALL SELECT entity_id FROM h1),
+h2 AS (SELECT other AS entity_id, count(DISTINCT node) AS seeds, max(weight) AS weight FROM band WHERE node IN (SELECT entity_id FROM h1) AND other NOT IN (SELECT entity_id FROM known) AND other IN (SELECT entity_id FROM nodes) GROUP BY other ORDER BY seeds DESC, weight DESC, entity_id LIMIT 15)
+SELECT entity_id, seeds, weight, 'neo4j_hop_1' AS hop FROM h1 UNION ALL SELECT entity_id, seeds, weight, 'neo4j_hop_2' FROM h2"""
+)
+def graph_hop2(spark, d):
+    return graph.expand(seeds(spark, d), tb.edges(spark, d), tb.nodes(spark, d), 2, 1, 15).select("entity_id", "seeds", "weight", "hop")
+
+
+@query(
+    f"""WITH {EDGES}, {SEEDS}, vs AS (SELECT * FROM nodes WHERE entity_type = 'Part' AND entity_id <> 'PART:5')
+SELECT entity_id, coalesce(vs.entity_type, n.entity_type) AS entity_type, coalesce(vs.description, n.description) AS description, coalesce(degree, 0) AS degree FROM ids LEFT JOIN vs USING (entity_id) LEFT JOIN nodes n USING (entity_id) LEFT JOIN deg USING (entity_id)
+WHERE coalesce(vs.entity_type, n.entity_type) IS NOT NULL ORDER BY degree DESC, entity_id LIMIT 20"""
+)
+def node_data_by_degree(spark, d):
+    n = tb.nodes(spark, d)
+    return graph.node_data(seeds(spark, d), tb.edges(spark, d), n.where("entity_type = 'Part' AND entity_id <> 'PART:5'"), n, 20)
+
+
+# ---- picking passages ----------------------------------------------------------------------
+
+POLL = """ls AS (SELECT dense_rank() OVER (ORDER BY l_partkey) - 1 AS entity_pos, 'ORDER:'||l_orderkey AS chunk_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS chunk_pos FROM lineitem WHERE l_partkey <= 30),
+sz AS (SELECT entity_pos, count(*) AS have FROM ls GROUP BY 1),
+qu AS (SELECT *, CAST(round_even(40.0::DOUBLE - (row_number() OVER (ORDER BY entity_pos) - 1)::DOUBLE / greatest(count(*) OVER () - 1, 1) * 38, 0) AS INT) AS quota FROM sz),
+rw AS (SELECT ls.*, quota, row_number() OVER (PARTITION BY entity_pos ORDER BY chunk_pos) AS place FROM ls JOIN qu USING (entity_pos)),
+sp AS (SELECT sum(greatest(0, quota - have)) AS spare FROM qu),
+rest AS (SELECT *, row_number() OVER (ORDER BY entity_pos, chunk_pos) AS turn FROM rw WHERE place > quota)"""
+
+
+@query(
+    f"""WITH {POLL} SELECT entity_pos, chunk_pos, chunk_id, 1 AS round FROM rw WHERE place <= quota UNION ALL SELECT entity_pos, chunk_pos, chunk_id, 2 FROM rest CROSS JOIN sp WHERE turn <= spare"""
+)
+def kg_weight_pick(spark, d):
+    line = tb.read(spark, d, "lineitem").where("l_partkey <= 30")
+    lists = line.select(
+        (F.dense_rank().over(Window.orderBy("l_partkey")) - 1).cast("long").alias("entity_pos"),
+        F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber")).cast("long").alias("chunk_pos"),
+        F.concat(F.lit("ORDER:"), "l_orderkey").alias("chunk_id"),
+    )
+    return select.weighted_pick(lists, 40, 2)
+
+
+@query(
+    f"""WITH {SOURCES}, c AS (SELECT chunk_id, count(DISTINCT entity_id) AS overlap FROM es WHERE CAST(substr(entity_id, 6) AS BIGINT) <= 200 GROUP BY 1),
+o AS (SELECT 'ORDER:'||o_orderkey AS chunk_id, length(o_orderpriority) AS length FROM orders)
+SELECT chunk_id, overlap, coalesce(length, 0) AS length FROM c LEFT JOIN o USING (chunk_id) ORDER BY overlap DESC, length DESC, chunk_id LIMIT 100"""
+)
+def kg_overlap_pick(spark, d):
+    entities = tb.read(spark, d, "part").where("p_partkey <= 200").select(F.concat(F.lit("PART:"), "p_partkey").alias("entity_id"))
+    orders = tb.read(spark, d, "orders").select(F.concat(F.lit("ORDER:"), "o_orderkey").alias("chunk_id"), F.col("o_orderpriority").alias("content"))
+    return select.overlap_pick(tb.entity_sources(spark, d), entities, orders, 100)
+
+
+def vector_pick(spark, d, least):
+    v = tb.vectors(spark, d)
+    own = v.where("collection < 5").select("id")
+    cand = vector.top_k(v, three(spark, d), 80).groupBy("id").agg(F.max("score").alias("score"))
+    return select.vector_pick(own, v, three(spark, d).orderBy("query_idx"), cand, 25, 0.9, least).select("id", r6("score").alias("score"))
+
+
+PICK = f"""WITH {VEC}, cand AS (SELECT id, max(score) AS score FROM ranked WHERE rank <= 80 GROUP BY id), sure AS (SELECT id FROM cand WHERE score >= 0.9), own AS (SELECT id FROM v WHERE collection < 5),"""
+
+
+@query(f"{PICK} few AS (SELECT id FROM cand WHERE score < 0.9 AND id IN (SELECT id FROM own) UNION SELECT id FROM sure) SELECT id, round(score, 6) AS score FROM s WHERE query_idx = 0 AND id IN (SELECT id FROM few) ORDER BY s.score DESC, id LIMIT 25")
+def kg_vector_pick(spark, d):
+    return vector_pick(spark, d, 10)
+
+
+@query(f"{PICK} few AS (SELECT id FROM own UNION SELECT id FROM sure) SELECT id, round(score, 6) AS score FROM s WHERE query_idx = 0 AND id IN (SELECT id FROM few) ORDER BY s.score DESC, id LIMIT 25")
+def kg_vector_pick_all(spark, d):
+    return vector_pick(spark, d, 100_000)
+
+
+@query(
+    f"WITH {SOURCES}, e AS (SELECT a.entity_id AS src, b.entity_id AS dst, chunk_id FROM es a JOIN es b USING (chunk_id) WHERE a.entity_id < b.entity_id AND CAST(substr(a.entity_id, 6) AS BIGINT) <= 150 AND CAST(substr(b.entity_id, 6) AS BIGINT) <= 150) SELECT * FROM e"
+)
+def relation_passages(spark, d):
+    es = tb.entity_sources(spark, d).where(F.substring("entity_id", 6, 20).cast("long") <= 150)
+    pairs = es.alias("a").join(es.alias("b"), "chunk_id").where("a.entity_id < b.entity_id").select(F.col("a.entity_id").alias("src"), F.col("b.entity_id").alias("dst"))
+    return select.relation_sources(pairs, es)
+
+
+# ---- merging -------------------------------------------------------------------------------
+
+THREE = f"""{BM25}, rows AS (SELECT chunk_id, CASE query_idx WHEN 0 THEN 'kg' WHEN 1 THEN 'elasticsearch' ELSE 'milvus' END AS source, query_idx AS list_no, rank AS pos, score FROM bmr WHERE rank <= 200)"""
+
+
+def three_lists(spark, d):
+    source = F.when(F.col("query_idx") == 0, "kg").when(F.col("query_idx") == 1, "elasticsearch").otherwise("milvus")
+    return bm25_ranked(spark, d).where("rank <= 200").select("chunk_id", source.alias("source"), F.col("query_idx").alias("list_no"), F.col("rank").alias("pos"), "score")
+
+
+@query(f"WITH {THREE}, n AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY list_no, pos) AS n FROM rows) SELECT chunk_id, source, list_no, CAST(pos AS INT) AS pos FROM n WHERE n = 1")
+def merge_first_wins(spark, d):
+    return fusion.first_wins(three_lists(spark, d)).select("chunk_id", "source", "list_no", "pos")
+
+
+@query(f"WITH {THREE} SELECT chunk_id, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM rows GROUP BY chunk_id")
+def merge_source_sets(spark, d):
+    return fusion.source_sets(three_lists(spark, d)).select("chunk_id", F.array_join("sources", "+").alias("sources"))
+
+
+@query(
+    f"""WITH {THREE}, f AS (SELECT chunk_id, max(CASE source WHEN 'kg' THEN 1 ELSE 0 END) AS in_kg, max(CASE source WHEN 'elasticsearch' THEN 1 ELSE 0 END) AS in_elasticsearch, max(CASE source WHEN 'milvus' THEN 1 ELSE 0 END) AS in_milvus FROM rows GROUP BY 1)
+SELECT in_kg, in_elasticsearch, in_milvus, count(*) AS n FROM f GROUP BY CUBE (in_kg, in_elasticsearch, in_milvus)"""
+)
+def source_overlap_cube(spark, d):
+    return fusion.overlap_cube(three_lists(spark, d), ["kg", "elasticsearch", "milvus"])
+
+
+@query()
+def balanced_downselect(spark, d):
+    return fusion.balanced_cut(three_lists(spark, d).select("chunk_id", "source", "score"), 150).select("chunk_id", "n_sources", r6("avg_rank").alias("avg_rank"), "pos")
+
+
+@query(
+    f"""WITH {THREE}, n AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY pos, list_no) AS n FROM rows) SELECT chunk_id AS id, CAST(row_number() OVER (ORDER BY pos, list_no) AS INT) AS place FROM n WHERE n = 1"""
+)
+def round_robin_merge(spark, d):
+    return fusion.round_robin(three_lists(spark, d).withColumnRenamed("chunk_id", "id")).select("id", "place")
+
+
+@query(f"WITH {BM25}, k AS (SELECT DISTINCT chunk_id FROM bmr WHERE rank <= 30 UNION SELECT 'chunk-none') SELECT chunk_id, coalesce(content, '') AS content FROM k LEFT JOIN chunks USING (chunk_id)")
+def late_content_fetch(spark, d):
+    ids = bm25_ranked(spark, d).where("rank <= 30").select("chunk_id").union(spark.sql("SELECT 'chunk-none'")).distinct()
+    return fusion.with_content(ids, tb.chunks(spark, d)).select("chunk_id", "content")
+
+
+@query(
+    f"""WITH {THREE}, a AS (SELECT DISTINCT chunk_id FROM rows WHERE source = 'kg'), b AS (SELECT DISTINCT chunk_id FROM rows WHERE source = 'milvus')
+SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersection', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'difference', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)"""
+)
+def candidate_set_operations(spark, d):
+    rows = three_lists(spark, d)
+    a, b = (rows.where(F.col("source") == s).select("chunk_id").distinct() for s in ("kg", "milvus"))
+    sets = {"union": a.union(b).distinct(), "intersection": a.intersect(b), "difference": a.exceptAll(b)}
+    out = None
+    for name, df in sets.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("op"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+# ---- scoring -------------------------------------------------------------------------------
+
+
+@query(f"WITH {SETS} SELECT chunk_id, round(max(cheap), 6) AS score, arg_max(query_idx, (cheap, -query_idx)) AS best_query FROM p1 GROUP BY chunk_id")
+def score_all_pairs_max(spark, d):
+    out = rerank.aggregated(rerank.all_pairs(tb.chunks(spark, d), tb.questions(spark, d), rerank.term_share))
+    return out.select("chunk_id", r6("score").alias("score"), "best_query")
+
+
+@query(f"WITH {SETS} SELECT chunk_id, round(avg(costly), 6) AS score FROM p1 GROUP BY chunk_id")
+def score_all_pairs_mean(spark, d):
+    out = rerank.aggregated(rerank.all_pairs(tb.chunks(spark, d), tb.questions(spark, d), rerank.overlap_logit), "mean")
+    return out.select("chunk_id", r6("score").alias("score"))
+
+
+CASCADE = f"""{SETS}, one AS (SELECT chunk_id, max(cheap) AS score FROM p1 GROUP BY 1 HAVING max(cheap) >= 0.25 ORDER BY score DESC, chunk_id LIMIT 400),
+two AS (SELECT chunk_id, any_value(paper_id) AS paper_id, max(costly) AS score FROM p1 WHERE chunk_id IN (SELECT chunk_id FROM one) GROUP BY 1 HAVING max(costly) >= 0.5)"""
+
+
+def cascade(spark, d):
+    return rerank.cascade(tb.chunks(spark, d), tb.questions(spark, d), stage1_top=400, stage1_min=0.25, stage2_min=0.5)
+
+
+@query(f"WITH {CASCADE} SELECT chunk_id, round(score, 6) AS score FROM two")
+def two_stage_cascade(spark, d):
+    return cascade(spark, d)[1].select("chunk_id", r6("score").alias("score"))
+
+
+@query(
+    f"""WITH {CASCADE}, reach AS (SELECT chunk_id FROM chunks WHERE paper_id IN (SELECT paper_id FROM two) ORDER BY chunk_id LIMIT 10000),
+new AS (SELECT chunk_id, max(costly) AS score FROM p1 WHERE chunk_id IN (SELECT chunk_id FROM reach) AND chunk_id NOT IN (SELECT chunk_id FROM two) GROUP BY 1 HAVING max(costly) >= 0.4)
+SELECT chunk_id, round(score, 6) AS score, 'kept' AS origin FROM two UNION ALL SELECT chunk_id, round(score, 6), 'expanded' FROM new"""
+)
+def expand_documents(spark, d):
+    two = cascade(spark, d)[1].select("chunk_id", "score")
+    return rerank.expand_documents(two, tb.chunks(spark, d), tb.questions(spark, d), min_score=0.4).select("chunk_id", r6("score").alias("score"), "origin")
+
+
+@query(
+    f"""WITH a AS (SELECT 'PART:'||p_partkey AS entity_id, p_type AS q, p_name AS c, p_size AS votes FROM part), b AS (SELECT * FROM a ORDER BY votes DESC, entity_id LIMIT 200),
+t AS (SELECT entity_id, list_distinct({TERMS.format('q')}) AS a, list_distinct({TERMS.format('c')}) AS b FROM b) SELECT entity_id, round({LOGIT.format(a='a', b='b')}, 6) AS score FROM t WHERE {LOGIT.format(a='a', b='b')} >= 0.1"""
+)
+def rerank_entities(spark, d):
+    rows = tb.read(spark, d, "part").select(F.concat(F.lit("PART:"), "p_partkey").alias("entity_id"), F.col("p_type").alias("query"), F.col("p_name").alias("content"), F.col("p_size").alias("votes"))
+    return rerank.rerank_entities(rows, rerank.overlap_logit, 0.1).select("entity_id", r6("entity_rerank_score").alias("score"))
+
+
+@query("WITH t AS (SELECT conv_id, turn, length(text) AS tokens FROM conversations), u AS (SELECT *, sum(tokens) OVER (ORDER BY conv_id, turn) AS used FROM t) SELECT conv_id, turn, tokens FROM u WHERE used <= 20000")
+def token_budget_prefix(spark, d):
+    rows = tb.read(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("tokens"), F.struct("conv_id", "turn").alias("pos"))
+    return rerank.token_budget(rows, 20_000).select("conv_id", "turn", F.col("tokens").cast("long").alias("tokens"))
+
+
+@query(
+    """SELECT count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS median,
+round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events"""
+)
+def score_distribution(spark, d):
+    out = rerank.distribution(tb.read(spark, d, "events"), "value")
+    return out.select("n", *[r6(c).alias(c) for c in out.columns if c != "n"])
+
+
+# ---- entities ------------------------------------------------------------------------------
+
+
+@query(
+    """WITH w AS (SELECT item_id, list_filter(string_split_regex(regexp_replace(text, '[,;:!?()\\[\\]".\\n]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS t FROM benchmark),
+g AS (SELECT item_id, k, t, unnest(range(len(t) - k + 1)) AS i FROM w CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) WHERE len(t) >= k)
+SELECT k, count(*) AS n, count(DISTINCT array_to_string(t[i + 1 : i + k], ' ')) AS texts FROM g GROUP BY k"""
+)
+def ngrams_basic(spark, d):
+    """Sizes of all n-grams of texts without sentence ends."""
+    flat = tb.read(spark, d, "benchmark").select(F.col("item_id").alias("query_idx"), F.regexp_replace("text", r'[,;:!?()\[\]".\n]', " ").alias("text"))
+    return entity.ngrams(flat, 1, 3).groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"))
+
+
+@query()
+def ngrams_filtered(spark, d):
+    return entity.candidates(tb.read(spark, d, "benchmark").select(F.col("item_id").alias("query_idx"), "text"), 1, 5)
+
+
+@query(f"WITH {STATS} SELECT 'PART:'||p_partkey AS entity_name FROM part LEFT JOIN st ON st.entity_name = 'PART:'||p_partkey WHERE st.entity_name IS NULL OR NOT (pct_paper >= 0.22 OR pct_chunk >= 0.06 OR num_text_variations >= 4)")
+def entity_stats_filter(spark, d):
+    names = tb.read(spark, d, "part").select(F.concat(F.lit("PART:"), "p_partkey").alias("entity_name"))
+    return entity.high_quality(names, stores.with_variations(tb.entity_stats(spark, d)), 0.22, 0.06, 4)
+
+
+@query(
+    f"""WITH {STATS} SELECT entity_name, CASE WHEN pct_paper >= 0.22 THEN printf('pct_paper %.1f >= %.1f', pct_paper, 0.22::DOUBLE) WHEN pct_chunk >= 0.06 THEN printf('pct_chunk %.1f >= %.1f', pct_chunk, 0.06::DOUBLE) WHEN num_text_variations >= 3 THEN printf('num_text_variations %.1f >= %.1f', num_text_variations::DOUBLE, 3.0::DOUBLE) END AS reason FROM st"""
+)
+def entity_filter_reason(spark, d):
+    return stores.with_variations(tb.entity_stats(spark, d)).select("entity_name", entity.filter_reason(0.22, 0.06, 3).alias("reason"))
+
+
+@query(
+    f"""WITH {VEC}, h AS (SELECT query_idx, 'ENT:'||id AS entity_name, round(score, 9) AS score FROM ranked WHERE rank <= 150 AND id >= 10)
+SELECT entity_name, count(*) AS appearances, arg_max(query_idx, (score, -query_idx)) AS best_query, round(max(score), 6) AS max_score, round(avg(score), 6) AS avg_score, round(count(*) / 3.0::DOUBLE, 6) AS share FROM h GROUP BY 1 HAVING count(*) >= floor(0.7 * 3)"""
+)
+def ensemble_votes(spark, d):
+    hits = vector.top_k(tb.vectors(spark, d), three(spark, d), 150).select("query_idx", F.concat(F.lit("ENT:"), "id").alias("entity_name"), F.round("score", 9).alias("score"))
+    known = spark.range(10).select(F.concat(F.lit("ENT:"), "id").alias("entity_name"))
+    out = entity.votes(hits, 3, 0.7, known)
+    return out.select("entity_name", "appearances", "best_query", r6("max_score").alias("max_score"), r6("avg_score").alias("avg_score"), r6("share").alias("share"))
+
+
+@query(
+    """WITH m AS (SELECT p_brand AS category, count(DISTINCT p_name) AS n FROM part GROUP BY 1), f AS (SELECT * FROM m WHERE n >= 3), t AS (SELECT sum(n) AS whole FROM f)
+SELECT category, n, CAST(greatest(1, floor(200 * n / whole)) AS INT) AS ensembles FROM f CROSS JOIN t"""
+)
+def snippets_by_category(spark, d):
+    matches = tb.read(spark, d, "part").select(F.concat(F.col("p_brand"), F.lit(":"), F.col("p_partkey")).alias("entity_name"), F.col("p_name").alias("snippet"))
+    return entity.shares(entity.snippets_by_category(matches), 200).select("category", F.col("n").cast("long").alias("n"), "ensembles")
+
+
+# ---- context and citations -----------------------------------------------------------------
+
+SHOWN = f"""{CASCADE}, c AS (SELECT chunk_id, paper_id, content, round(max(costly), 9) AS rerank_score FROM p1 JOIN cs USING (chunk_id, paper_id) WHERE chunk_id IN (SELECT chunk_id FROM one ORDER BY score DESC, chunk_id LIMIT 400) GROUP BY ALL),
+pl AS (SELECT *, rerank_score >= 0.55 AS good, row_number() OVER (PARTITION BY rerank_score >= 0.55 ORDER BY rerank_score DESC, chunk_id) AS place FROM c),
+sec AS (SELECT *, CASE WHEN good THEN 'good' WHEN place <= 10 THEN 'maybe' ELSE 'hidden' END AS section FROM pl),
+shown AS (SELECT *, CASE WHEN section <> 'hidden' THEN 'C'||row_number() OVER (ORDER BY CASE section WHEN 'good' THEN 0 WHEN 'maybe' THEN 1 ELSE 2 END, chunk_id) END AS handle FROM sec)"""
+
+
+def shown(spark, d):
+    one = cascade(spark, d)[0].select("chunk_id")
+    docs = tb.chunks(spark, d).join(F.broadcast(one), "chunk_id", "left_semi")
+    scored = rerank.aggregated(rerank.all_pairs(docs, tb.questions(spark, d), rerank.overlap_logit)).select("chunk_id", F.round("score", 9).alias("rerank_score"))
+    return context.split_and_handles(docs.join(scored, "chunk_id").select("chunk_id", "paper_id", "content", "rerank_score"), 0.55)
+
+
+@query(f"WITH {SHOWN} SELECT chunk_id, section, handle FROM shown")
+def context_split_and_handles(spark, d):
+    return shown(spark, d).select("chunk_id", "section", "handle")
+
+
+@query(f"WITH {SHOWN} SELECT section, string_agg('['||handle||']'||chr(10)||content, chr(10)||chr(10) ORDER BY CAST(substr(handle, 2) AS INT)) AS text FROM shown WHERE handle IS NOT NULL GROUP BY section")
+def context_blocks(spark, d):
+    return context.blocks(shown(spark, d))
+
+
+@query(f"WITH {SHOWN} SELECT chunk_id AS id, paper_id AS source_id, handle, round(rerank_score, 6) AS rerank_score FROM shown")
+def references(spark, d):
+    return context.references(shown(spark, d)).select("id", "source_id", "handle", r6("rerank_score").alias("rerank_score"))
+
+
+@query(f"WITH {SHOWN} SELECT paper_id, count(*) AS chunks FROM shown WHERE handle IS NOT NULL GROUP BY 1")
+def paper_distribution(spark, d):
+    return context.paper_distribution(shown(spark, d).where("handle is not null"))
+
+
+@query(
+    f"""WITH {EDGES}, n AS (SELECT entity_id, entity_type, description, coalesce(degree, 0) AS degree, CASE entity_type WHEN 'Nation' THEN 'system' WHEN 'Supplier' THEN 'molecular' ELSE 'other' END AS tier FROM nodes LEFT JOIN deg USING (entity_id) WHERE trim(description) <> ''),
+l AS (SELECT *, upper(substr(tier, 1, 1))||row_number() OVER (PARTITION BY tier ORDER BY degree DESC, entity_id) AS label FROM n)
+SELECT entity_id, label, '['||label||'] '||entity_id||': '||CASE WHEN length(description) > 8 THEN substr(description, 1, 8)||'...' ELSE description END AS line FROM l"""
+)
+def entity_tiers(spark, d):
+    n, e = tb.nodes(spark, d), tb.edges(spark, d)
+    with_degree = n.join(graph.degrees(e, n), "entity_id")
+    return context.tiers(with_degree, 8, system=("Nation",), molecular=("Supplier",)).select("entity_id", "label", "line")
+
+
+CITED = """c AS (SELECT l_suppkey AS answer_id, l_partkey AS paper, l_orderkey AS chunk, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS pos FROM lineitem WHERE l_suppkey <= 20),
+f AS (SELECT answer_id, paper, chunk, min(pos) AS pos FROM c GROUP BY ALL),
+p AS (SELECT *, min(pos) OVER (PARTITION BY answer_id, paper) AS pp, count(*) OVER (PARTITION BY answer_id, paper) AS n, row_number() OVER (PARTITION BY answer_id, paper ORDER BY pos) AS ci FROM f),
+l AS (SELECT *, dense_rank() OVER (PARTITION BY answer_id ORDER BY pp) AS pi FROM p)"""
+
+
+@query(f"WITH {CITED} SELECT answer_id, paper AS paper_id, chunk AS chunk_id, CASE WHEN n = 1 THEN CAST(pi AS VARCHAR) ELSE pi||'-'||ci END AS label FROM l")
+def footnote_labels(spark, d):
+    line = tb.read(spark, d, "lineitem").where("l_suppkey <= 20")
+    pos = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber"))
+    cited = line.select(F.col("l_suppkey").alias("answer_id"), F.col("l_partkey").alias("paper_id"), F.col("l_orderkey").alias("chunk_id"), pos.alias("pos"))
+    return cite.labels(cited).select("answer_id", "paper_id", "chunk_id", "label")
+
+
+@query()
+def footnote_resolve(spark, d):
+    chunks = tb.chunks(spark, d).where("chunk_no < 3")
+    refs = chunks.select(F.col("doc_id").alias("answer_id"), F.col("chunk_id").alias("id"), F.concat(F.lit("C"), F.col("chunk_no") + 1).alias("handle"), "content")
+    answers = tb.read(spark, d, "documents").select(F.col("doc_id").alias("answer_id"), F.lit("First [C1, C2]. Again 【c3】 [C1], not [C9].").alias("text"))
+    return cite.resolved(answers, refs, tb.papers(spark, d).withColumn("doi", F.lit(None).cast("string")))
+
+
+# ---- text, JSON, caches --------------------------------------------------------------------
+
+
+@query("WITH t AS (SELECT conv_id, turn, '<think>a '||role||' </think> <answer>'||text||'</answer> tail' AS x FROM conversations) SELECT conv_id, turn, trim(regexp_extract(x, '<answer>(.*?)</answer>', 1, 's')) AS answer, trim(regexp_extract(x, '<think>(.*?)</think>', 1, 's')) AS thinking FROM t")
+def answer_extract(spark, d):
+    x = F.concat(F.lit("<think>a "), "role", F.lit(" </think> <answer>"), "text", F.lit("</answer> tail"))
+    return tb.read(spark, d, "conversations").select("conv_id", "turn", X.answer_of(x).alias("answer"), X.thinking_of(x).alias("thinking"))
+
+
+@query("SELECT conv_id, turn, trim(CASE WHEN turn % 2 = 0 THEN 'rest '||role ELSE 'after' END) AS text FROM conversations")
+def think_strip(spark, d):
+    x = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<think>so\nit is</think>\n rest "), "role")).otherwise(F.lit("lost start</think> after"))
+    return tb.read(spark, d, "conversations").select("conv_id", "turn", X.without_thinking(x).alias("text"))
+
+
+@query("SELECT page_id, CASE WHEN contains(html, '<') THEN trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\f\\r\\v]+', ' ', 'g')) ELSE html END AS text FROM pages")
+def html_strip(spark, d):
+    return tb.read(spark, d, "pages").select("page_id", X.without_tags(F.col("html")).alias("text"))
+
+
+@query("SELECT page_id, regexp_replace(replace(url, '://', '://user:pw@'), '://[^/@\\s]*@', '://***@', 'g') AS url FROM pages")
+def redact(spark, d):
+    return tb.read(spark, d, "pages").select("page_id", X.redacted(F.replace("url", F.lit("://"), F.lit("://user:pw@"))).alias("url"))
+
+
+@query("SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+')[1:5] AS first_terms, md5(text) AS hash, len(list_filter(list_transform(string_split_regex(text, '\\. |\\n'), lambda x: trim(x)), lambda x: x <> '')) AS parts FROM documents")
+def text_normalise(spark, d):
+    docs = tb.read(spark, d, "documents")
+    return docs.select("doc_id", F.slice(X.terms(F.col("text")), 1, 5).alias("first_terms"), X.hash_id(F.col("text")).alias("hash"), F.size(X.split_by(F.col("text"), [". ", "\n"])).cast("long").alias("parts"))
+
+
+@query(
+    """WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '["a'||event_id||'", "b"]' WHEN 1 THEN '{"queries": ["q'||event_id||'"]}' WHEN 2 THEN 'broken {' ELSE '{"other": ["o'||event_id||'", " "]}' END AS raw, json_extract_string(props, '$.k') AS k FROM events)
+SELECT event_id, k, CASE event_id % 4 WHEN 0 THEN 'a'||event_id||'|b' WHEN 1 THEN 'q'||event_id WHEN 3 THEN 'o'||event_id END AS items FROM r"""
+)
+def json_variants(spark, d):
+    i, m = F.col("event_id").cast("string"), F.col("event_id") % 4
+    raw = (
+        F.when(m == 0, F.concat(F.lit('```json\n["a'), i, F.lit('", "b"]\n```')))
+        .when(m == 1, F.concat(F.lit('{"queries": ["q'), i, F.lit('"]}')))
+        .when(m == 2, F.lit("broken {"))
+        .otherwise(F.concat(F.lit('{"other": ["o'), i, F.lit('", " "]}')))
+    )
+    ev = tb.read(spark, d, "events")
+    return ev.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.array_join(X.string_list(raw), "|").alias("items"))
+
+
+@query(
+    """WITH c AS (SELECT event_type||user_id % 50 AS key, event_id, ts, ts + INTERVAL 2 DAY AS expires_at FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) AS n FROM c)
+SELECT key, event_id FROM n WHERE n = 1 AND expires_at > (SELECT max(ts) - INTERVAL 1 DAY FROM events)"""
+)
+def cache_latest_valid(spark, d):
+    ev = tb.read(spark, d, "events")
+    key = F.concat(F.col("event_type"), (F.col("user_id") % 50).cast("string"))
+    cache = ev.select(key.alias("key"), "event_id", F.struct("ts", "event_id").alias("created"), (F.col("ts") + F.expr("INTERVAL 2 DAY")).alias("expires_at"))
+    now = ev.agg(F.max("ts") - F.expr("INTERVAL 1 DAY")).first()[0]
+    return stores.latest_valid(cache, now).select("key", "event_id")
+
+
+@query(
+    """SELECT conv_id, string_agg(CASE turn % 2 WHEN 0 THEN 'user' ELSE 'assistant' END||': '||length(text), '; ' ORDER BY turn) AS chat FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, text FROM conversations) GROUP BY conv_id"""
+)
+def chat_messages(spark, d):
+    turns = tb.read(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t.text).alias("parts"))
+    lines = F.transform(X.messages(F.col("parts")), lambda m: F.concat(m.role, F.lit(": "), F.length(m.content).cast("string")))
+    return turns.select("conv_id", F.array_join(lines, "; ").alias("chat"))
+
+
+@query("SELECT md5(CAST(event_id AS VARCHAR)||event_type) AS args_hash, 'ent-'||md5(CAST(user_id AS VARCHAR)) AS entity, event_id FROM events")
+def hash_keys(spark, d):
+    ev = tb.read(spark, d, "events")
+    return ev.select(X.args_hash(F.col("event_id"), F.col("event_type")).alias("args_hash"), X.hash_id(F.col("user_id").cast("string"), "ent-").alias("entity"), "event_id")
+
+
+# ---- end to end ----------------------------------------------------------------------------
+
+
+def tables(spark, d) -> dict[str, DataFrame]:
+    from quillspark.functions.models import hashed_embedding
+
+    chunks = tb.chunks(spark, d)
+    names = tb.nodes(spark, d)
+    first = tb.read(spark, d, "documents").select(F.get(X.terms(F.col("text")), 0).alias("description"), F.lit("Gene").alias("entity_type")).where("description is not null")
+    words = first.groupBy("description", "entity_type").agg(F.lit(1)).select(F.concat(F.lit("GENE:"), "description").alias("entity_id"), "entity_type", "description")
+    has = chunks.select(F.concat(F.lit("GENE:"), F.get(X.terms(F.col("content")), 0)).alias("entity_id"), "chunk_id").where("entity_id is not null")
+    return {
+        "chunks": chunks,
+        "papers": tb.papers(spark, d),
+        "chunk_vectors": chunks.select(F.col("chunk_id").alias("id"), hashed_embedding(F.col("content")).alias("vector")),
+        "entities": words,
+        "nodes": names.unionByName(words),
+        "edges": tb.edges(spark, d),
+        "entity_sources": has.distinct(),
+        "entity_stats": None,
+    }
+
+
+@query()
+def mix_end_to_end(spark, d):
+    """References of the first benchmark question, all stages of the mixed mode included."""
+    question = tb.questions(spark, d, 1).first()["text"]
+    p = QueryParam(candidate_top_k=200, milvus_top_k=200, es_top_k_per_query=200, es_top_k=200, merged_top_k=200, stage1_min_score=0.1, stage2_min_score=0.15, rerank_min_score=0.15)
+    refs = modes.ask(spark, tables(spark, d), question, p)["references"]
+    return refs.select("id", "source_id", "handle", r6("rerank_score").alias("rerank_score"), "content")
+
+
+@query()
+def naive_end_to_end(spark, d):
+    """References of the first benchmark question by vectors alone."""
+    question = tb.questions(spark, d, 1).first()["text"]
+    p = QueryParam(mode="naive", candidate_top_k=100, milvus_top_k=100, stage1_min_score=0.1, stage2_min_score=0.15, rerank_min_score=0.15)
+    return modes.ask(spark, tables(spark, d), question, p)["references"].select("id", "source_id", "handle", r6("rerank_score").alias("rerank_score"))
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+__all__ = ["oracle_sql", "queries", "tables"]

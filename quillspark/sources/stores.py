@@ -83,7 +83,7 @@ def load_statistics(spark: SparkSession, path: str) -> DataFrame:
 def with_variations(df: DataFrame) -> DataFrame:
     if "all_extracted_text" not in df.columns:
         return df.withColumn("num_text_variations", F.lit(None).cast("int"))
-    parts = F.filter(F.transform(F.split("all_extracted_text", r"[|]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("all_extracted_text", r"[|]"), lambda x: F.trim(x)), lambda x: x != "")
     return df.withColumn("num_text_variations", F.when(F.col("all_extracted_text").isNull(), 0).otherwise(F.size(parts)))
 
 
