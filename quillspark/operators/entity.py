@@ -23,7 +23,7 @@ def sentences(texts: DataFrame) -> DataFrame:
     split = F.split(protected_abbreviations(F.col("text")), r"(?<=[.!?])\s+|\n+")
     rows = texts.select("query_idx", F.posexplode(split).alias("sent_no", "s"))
     words = F.filter(F.split(F.regexp_replace(restored_abbreviations(F.col("s")), r"[,;:!?()\[\]\"]", " "), r"\s+"), lambda w: w != "")
-    return rows.select("query_idx", "sent_no", F.transform(words, lambda w: F.regexp_replace(w, r"\.$", "")).alias("tokens"))
+    return rows.select("query_idx", "sent_no", F.transform(words, lambda w: F.regexp_replace(w, r"^(.{2,}|[^A-Z])\.$", "$1")).alias("tokens"))
 
 
 def ngrams(texts: DataFrame, least: int = 1, most: int = 5) -> DataFrame:

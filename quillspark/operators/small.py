@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import shared_folder
+
 #: Rows up to which a side is broadcast.
 SMALL = 200_000
 
@@ -21,8 +21,5 @@ def settled(df: DataFrame) -> DataFrame:
 
     Stages of a question feed several later ones; each would otherwise carry its whole past in its plan.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspark-"))
+    shared_folder(df.sparkSession, "settled")
     return df.checkpoint()

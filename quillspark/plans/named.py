@@ -14,9 +14,10 @@ from quillspark.functions import text as X
 from quillspark.operators import cite, context, entity, fusion, graph, keyword, rerank, select, vector
 from quillspark.plans import modes
 from quillspark.plans.params import QueryParam
-from quillspark.session import ready
+from quillspark.session import ready, shared_folder
 from quillspark.sources import stores
 from quillspark.sources import tables as tb
+from quillspark.streaming import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -656,6 +657,30 @@ def hash_keys(spark, d):
     return ev.select(X.args_hash(F.col("event_id"), F.col("event_type")).alias("args_hash"), X.hash_id(F.col("user_id").cast("string"), "ent-").alias("entity"), "event_id")
 
 
+# ---- streams -------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_event_counts(spark, d):
+    """Hourly counts of events that arrive as files; what the stream has counted when it has caught up."""
+    schema = tb.read(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/event*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = shared_folder(spark, "counts")
+    asked = flows.counts(stream).writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{out}-state")
+    asked.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return spark.read.parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT conv_id, turn, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS terms FROM conversations WHERE role = 'user'")
+def stream_answered(spark, d):
+    """Questions that arrive as files, each micro-batch answered and written once."""
+    schema = tb.read(spark, d, "conversations").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/conversation*.parquet").where("role = 'user'")
+    out = shared_folder(spark, "answers")
+    flows.answered(stream, lambda df: df.select("conv_id", "turn", F.size(X.terms(F.col("text"))).cast("long").alias("terms")), out, f"{out}-state").awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 # ---- end to end ----------------------------------------------------------------------------
 
 
