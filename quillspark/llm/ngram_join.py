@@ -47,7 +47,9 @@ FREQUENT, TOP_BITS = 24, 22
 #: A token seen more than OFTEN * FEW times in the corpus is known to be too frequent for the single index.
 OFTEN = 16
 #: Tokens that a task counts at a time, and members of a block.
-COUNT_AT_ONCE, BLOCK = 2_000_000, 512
+COUNT_AT_ONCE, BLOCK = 4_000_000, 512
+#: Rows whose pairs a task makes at a time; a row is in less than FEW pairs.
+PAIR_AT_ONCE = 50_000
 #: Words that a worker remembers.
 KNOWN = 150_000
 #: Rows up to which a side is broadcast; beyond, both sides are shuffled.
@@ -302,7 +304,7 @@ def _candidates(index: DataFrame, percent: int) -> DataFrame:
                 yield made(t[known], v[known], n[known])
                 t, v, n = t[~known], v[~known], n[~known]
             held = [np.concatenate(x) for x in zip(held, (t, v, n.astype(np.int64)), strict=True)]
-            if len(held[0]) < 300_000:
+            if len(held[0]) < PAIR_AT_ONCE:
                 continue
             cut = int(np.searchsorted(held[0], held[0][-1]))  # the last token may go on
             if cut:
