@@ -1,6 +1,8 @@
 """Named queries of the retrieval engine and their DuckDB twins.
 
 Floats are rounded to six places here and nowhere else. Every query runs over its whole tables.
+What a caller would ask stands in for arguments: three vectors, a question in three phrasings
+(the first benchmark items), and a few entities to start from.
 """
 
 from __future__ import annotations
@@ -279,7 +281,7 @@ def node_data_by_degree(spark, d):
 
 # ---- picking passages ----------------------------------------------------------------------
 
-POLL = """ls AS (SELECT dense_rank() OVER (ORDER BY l_partkey) - 1 AS entity_pos, 'ORDER:'||l_orderkey AS chunk_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS chunk_pos FROM lineitem WHERE l_partkey <= 30),
+POLL = """ls AS (SELECT dense_rank() OVER (ORDER BY l_partkey) - 1 AS entity_pos, 'ORDER:'||l_orderkey AS chunk_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS chunk_pos FROM lineitem),
 sz AS (SELECT entity_pos, count(*) AS have FROM ls GROUP BY 1),
 qu AS (SELECT *, CAST(round_even(40.0::DOUBLE - (row_number() OVER (ORDER BY entity_pos) - 1)::DOUBLE / greatest(count(*) OVER () - 1, 1) * 38, 0) AS INT) AS quota FROM sz),
 rw AS (SELECT ls.*, quota, row_number() OVER (PARTITION BY entity_pos ORDER BY chunk_pos) AS place FROM ls JOIN qu USING (entity_pos)),
@@ -291,7 +293,7 @@ rest AS (SELECT *, row_number() OVER (ORDER BY entity_pos, chunk_pos) AS turn FR
     f"""WITH {POLL} SELECT entity_pos, chunk_pos, chunk_id, 1 AS round FROM rw WHERE place <= quota UNION ALL SELECT entity_pos, chunk_pos, chunk_id, 2 FROM rest CROSS JOIN sp WHERE turn <= spare"""
 )
 def kg_weight_pick(spark, d):
-    line = tb.read(spark, d, "lineitem").where("l_partkey <= 30")
+    line = tb.read(spark, d, "lineitem")
     lists = line.select(
         (F.dense_rank().over(Window.orderBy("l_partkey")) - 1).cast("long").alias("entity_pos"),
         F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber")).cast("long").alias("chunk_pos"),
@@ -301,12 +303,12 @@ def kg_weight_pick(spark, d):
 
 
 @query(
-    f"""WITH {SOURCES}, c AS (SELECT chunk_id, count(DISTINCT entity_id) AS overlap FROM es WHERE CAST(substr(entity_id, 6) AS BIGINT) <= 200 GROUP BY 1),
+    f"""WITH {SOURCES}, c AS (SELECT chunk_id, count(DISTINCT entity_id) AS overlap FROM es GROUP BY 1),
 o AS (SELECT 'ORDER:'||o_orderkey AS chunk_id, length(o_orderpriority) AS length FROM orders)
 SELECT chunk_id, overlap, coalesce(length, 0) AS length FROM c LEFT JOIN o USING (chunk_id) ORDER BY overlap DESC, length DESC, chunk_id LIMIT 100"""
 )
 def kg_overlap_pick(spark, d):
-    entities = tb.read(spark, d, "part").where("p_partkey <= 200").select(F.concat(F.lit("PART:"), "p_partkey").alias("entity_id"))
+    entities = tb.read(spark, d, "part").select(F.concat(F.lit("PART:"), "p_partkey").alias("entity_id"))
     orders = tb.read(spark, d, "orders").select(F.concat(F.lit("ORDER:"), "o_orderkey").alias("chunk_id"), F.col("o_orderpriority").alias("content"))
     return select.overlap_pick(tb.entity_sources(spark, d), entities, orders, 100)
 
@@ -332,10 +334,10 @@ def kg_vector_pick_all(spark, d):
 
 
 @query(
-    f"WITH {SOURCES}, e AS (SELECT a.entity_id AS src, b.entity_id AS dst, chunk_id FROM es a JOIN es b USING (chunk_id) WHERE a.entity_id < b.entity_id AND CAST(substr(a.entity_id, 6) AS BIGINT) <= 150 AND CAST(substr(b.entity_id, 6) AS BIGINT) <= 150) SELECT * FROM e"
+    f"WITH {SOURCES}, e AS (SELECT a.entity_id AS src, b.entity_id AS dst, chunk_id FROM es a JOIN es b USING (chunk_id) WHERE a.entity_id < b.entity_id) SELECT * FROM e"
 )
 def relation_passages(spark, d):
-    es = tb.entity_sources(spark, d).where(F.substring("entity_id", 6, 20).cast("long") <= 150)
+    es = tb.entity_sources(spark, d)
     pairs = es.alias("a").join(es.alias("b"), "chunk_id").where("a.entity_id < b.entity_id").select(F.col("a.entity_id").alias("src"), F.col("b.entity_id").alias("dst"))
     return select.relation_sources(pairs, es)
 
@@ -561,7 +563,7 @@ def entity_tiers(spark, d):
     return context.tiers(with_degree, 8, system=("Nation",), molecular=("Supplier",)).select("entity_id", "label", "line")
 
 
-CITED = """c AS (SELECT l_suppkey AS answer_id, l_partkey AS paper, l_orderkey AS chunk, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS pos FROM lineitem WHERE l_suppkey <= 20),
+CITED = """c AS (SELECT l_suppkey AS answer_id, l_partkey AS paper, l_orderkey AS chunk, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS pos FROM lineitem),
 f AS (SELECT answer_id, paper, chunk, min(pos) AS pos FROM c GROUP BY ALL),
 p AS (SELECT *, min(pos) OVER (PARTITION BY answer_id, paper) AS pp, count(*) OVER (PARTITION BY answer_id, paper) AS n, row_number() OVER (PARTITION BY answer_id, paper ORDER BY pos) AS ci FROM f),
 l AS (SELECT *, dense_rank() OVER (PARTITION BY answer_id ORDER BY pp) AS pi FROM p)"""
@@ -569,7 +571,7 @@ l AS (SELECT *, dense_rank() OVER (PARTITION BY answer_id ORDER BY pp) AS pi FRO
 
 @query(f"WITH {CITED} SELECT answer_id, paper AS paper_id, chunk AS chunk_id, CASE WHEN n = 1 THEN CAST(pi AS VARCHAR) ELSE pi||'-'||ci END AS label FROM l")
 def footnote_labels(spark, d):
-    line = tb.read(spark, d, "lineitem").where("l_suppkey <= 20")
+    line = tb.read(spark, d, "lineitem")
     pos = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber"))
     cited = line.select(F.col("l_suppkey").alias("answer_id"), F.col("l_partkey").alias("paper_id"), F.col("l_orderkey").alias("chunk_id"), pos.alias("pos"))
     return cite.labels(cited).select("answer_id", "paper_id", "chunk_id", "label")
@@ -577,7 +579,7 @@ def footnote_labels(spark, d):
 
 @query()
 def footnote_resolve(spark, d):
-    chunks = tb.chunks(spark, d).where("chunk_no < 3")
+    chunks = tb.chunks(spark, d)
     refs = chunks.select(F.col("doc_id").alias("answer_id"), F.col("chunk_id").alias("id"), F.concat(F.lit("C"), F.col("chunk_no") + 1).alias("handle"), "content")
     answers = tb.read(spark, d, "documents").select(F.col("doc_id").alias("answer_id"), F.lit("First [C1, C2]. Again 【c3】 [C1], not [C9].").alias("text"))
     return cite.resolved(answers, refs, tb.papers(spark, d).withColumn("doi", F.lit(None).cast("string")))
