@@ -324,10 +324,14 @@ def scanned(docs: DataFrame, model: Model) -> DataFrame:
 def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document and family found: paragraphs, of which confirmed, and the highest probability."""
     docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = scanned(docs, trained(corpus_sample(docs))).select("doc_id", F.explode("licences").alias("l"))
-    return found.groupBy("doc_id", F.col("l.family").alias("family")).agg(
-        F.count("*").alias("paragraphs"),
-        F.count_if("l.confirmed").alias("confirmed"),
-        F.round(F.max("l.probability"), 6).alias("probability"),
-        F.min("l.begin").alias("first_begin"),
+    found = scanned(docs, trained(corpus_sample(docs))).where(F.size("licences") > 0)
+    found = found.withColumn("family", F.explode(F.array_distinct(F.transform("licences", lambda x: x.family))))
+    own = F.filter("licences", lambda x: x.family == F.col("family"))  # a row's findings stay in the row: nothing is shuffled
+    return found.withColumn("own", own).select(
+        "doc_id",
+        "family",
+        F.size("own").cast("long").alias("paragraphs"),
+        F.size(F.filter("own", lambda x: x.confirmed)).cast("long").alias("confirmed"),
+        F.round(F.array_max(F.transform("own", lambda x: x.probability)), 6).alias("probability"),
+        F.array_min(F.transform("own", lambda x: x.begin)).alias("first_begin"),
     )
