@@ -23,3 +23,9 @@ def settled(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession, "settled")
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if its files make fewer tasks than there are cores; at scale it stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

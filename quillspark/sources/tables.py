@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators.small import spread
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,7 +33,7 @@ def paper_of(chunk: Column) -> Column:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, paper_id, chunk_no, content, doc_id; one row a non-empty line."""
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_no", "content"))
+    lines = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_no", "content"))
     paper = paper_key(F.col("doc_id"))
     return lines.where("content <> ''").select(
         chunk_id(paper, F.col("chunk_no")).alias("chunk_id"), paper.alias("paper_id"), "chunk_no", "content", "doc_id"
