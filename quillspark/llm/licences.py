@@ -1,15 +1,14 @@
 """Licence scans: a trained paragraph classifier whose predictions templates confirm.
 
-Every whole text is cut into paragraphs (lines; hard-wrapped lines are joined first). Those
-with a word of licensing in them are scored by a logistic regression over sparse word n-grams,
-one class a family and one for everything else. Scores are calibrated by a temperature, and a
+Every whole text is cut into paragraphs (lines; hard-wrapped lines are joined first). Each is
+scored by a logistic regression over sparse word n-grams, one class a family and one for
+everything else. Scores are calibrated by a temperature, and a
 prediction under a threshold, both set on held-out examples, is unknown. A prediction of a
 family is confirmed if enough n-grams of one of its templates stand in the paragraph.
 
 The model is trained on the driver: licence notices are the templates below, cut and disturbed
 at random; the unknown class are paragraphs of at most ``SAMPLE_DOCS`` documents and sentences
-that speak of permits and rights without granting any. Paragraphs without a word of licensing
-hold no feature of a family and are unknown without being scored.
+that speak of permits and rights without granting any.
 
 Defined results: a null or empty text has no findings; equal rows get equal findings; texts of
 any length are scanned whole; an empty table gives an empty table.
@@ -273,11 +272,7 @@ FINDING = T.ArrayType(
 
 def findings(text: str | None, model: Model) -> list[dict]:
     out = []
-    if not text or not _HINT.search(text):
-        return out
-    for begin, end in paragraphs(text):
-        if not _HINT.search(text, begin, end):
-            continue
+    for begin, end in paragraphs(text or ""):
         for b, e in _around(text, begin, end):
             part = text[b:e]
             family, p = model.predict(part)

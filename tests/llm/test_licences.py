@@ -47,6 +47,16 @@ def test_places_wrapping_and_confirmation(model):
     assert [(f["family"], f["confirmed"]) for f in L.findings(deep, model)] == [("Apache-2.0", True)]
 
 
+def test_every_template_is_found_in_a_text(model):
+    for family, templates in L.TEMPLATES.items():
+        for t in templates:
+            text = f"The river was yellow.\n\n{t}\n\nThey walked along the road."
+            assert [(f["family"], f["confirmed"]) for f in L.findings(text, model)] == [(family, True)], t
+    # no word of licensing in them
+    assert [f["family"] for f in L.findings("GNU GPL version 3", model)] == ["GPL"]
+    assert [f["family"] for f in L.findings("Lizenziert unter der Apache-Lizenz, Version 2.0.", model)] == ["Apache-2.0"]
+
+
 def test_odd_rows(spark, model):
     rows = [(1, None, "a"), (None, "", "b"), (2, "\n\n", "c"), (2, "All rights reserved.", "d"), (2, "All rights reserved.", "d")]
     df = prepared(spark).createDataFrame(rows, "doc_id long, text string, licences string")
