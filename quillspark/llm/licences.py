@@ -2,7 +2,11 @@
 
 Every whole text is cut into paragraphs (lines; hard-wrapped lines are joined first). Each is
 scored by a logistic regression over sparse word n-grams, one class a family and one for
-everything else. Scores are calibrated by a temperature, and a
+everything else: as a whole, and in windows of ``WINDOWS`` words from every word on, so that a
+notice counts alike alone, in long prose or beside others. Only windows are skipped in which the
+weights themselves let no family reach the threshold. Of windows that overlap the clearest
+stands. A paragraph yields its clearest family and every other one that is confirmed; of over
+``LONG`` characters, it yields a finding for every place with a notice. Scores are calibrated by a temperature, and a
 prediction under a threshold, both set on held-out examples, is unknown. A prediction of a
 family is confirmed if enough n-grams of one of its templates stand in the paragraph.
 
@@ -30,8 +34,12 @@ from pyspark.sql import types as T
 from quillspark.llm.common import map_columns, prepared, sampled
 
 FEATURES, NGRAMS, SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 1 << 15, 3, 400, 4
-COPIES, EPOCHS, RATE, L2, CONFIRM, FALSE_SHARE = 36, 60, 0.15, 2e-4, 0.5, 0.002
+COPIES, EPOCHS, RATE, L2, CONFIRM, FALSE_SHARE, PIECES = 36, 60, 0.15, 2e-4, 0.5, 0.002, 3
 UNKNOWN = "unknown"
+#: Words of a window; characters above which a paragraph's findings have places of their own; words around such a place that may confirm it.
+WINDOWS, LONG, NEAR = (3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 48, 64), 1_800, 32
+#: Words' codes that a worker remembers.
+KNOWN = 200_000
 
 # Notices and core clauses of public licences.
 TEMPLATES = {
@@ -126,8 +134,8 @@ NEAR_MISSES = [
     "We lost our license and cannot find the source of the problem.",
     "The license plate of the car was found in the river.",
 ]
-_HINT = re.compile(r"licen[cs]|copyright|permission|spdx|public domain|warrant|redistribut|rights reserved|creative commons|\bcc[ -]by|\bcc0|may not be copied|affero|gnu general|lesser general|mozilla public", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[A-Za-z0-9]+")
+_known: dict[str, int] = {}
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -147,15 +155,59 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
 
 
 def tokens(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
 
 
 def grams(words: list[str], least: int = 1) -> list[str]:
     return [" ".join(words[i : i + n]) for n in range(least, NGRAMS + 1) for i in range(len(words) - n + 1)]
 
 
+def codes(words: list[str]) -> np.ndarray:
+    """A number for each word, whatever its case."""
+    got = list(map(_known.get, words))
+    if None in got:
+        if len(_known) > KNOWN:
+            _known.clear()
+        for i, c in enumerate(got):
+            if c is None:
+                got[i] = _known[words[i]] = zlib.crc32(words[i].lower().encode())
+    return np.array(got, np.uint64)
+
+
+def hashed(c: np.ndarray) -> list[np.ndarray]:
+    """Features of the 1- to 3-grams that end at each word from the first, second and third on."""
+    out, h = [], c
+    for n in range(NGRAMS):
+        if n:
+            h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[n:]
+        x = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)
+        out.append((x >> np.uint64(64 - 15)).astype(np.int64) % FEATURES)
+    return out
+
+
 def features(text: str) -> np.ndarray:
-    return np.unique([zlib.crc32(g.encode()) % FEATURES for g in grams(tokens(text))]).astype(np.int64)
+    c = codes(_WORD.findall(text))
+    return np.concatenate(hashed(c[fresh(c)]))
+
+
+def fresh(c: np.ndarray) -> np.ndarray:
+    """Which words are not the one before again: a word said over and over counts once."""
+    return np.concatenate([[True], c[1:] != c[:-1]]) if len(c) else np.zeros(0, bool)
+
+
+def sums(table: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(upto, since): the grams within words i to j - 1, of at least two words, weigh upto[j] - since[i]."""
+    n = len(hashes[0])
+    ending = np.zeros((n + 3, *table.shape[1:]))
+    ending[1 : n + 1] = table[hashes[0]]
+    more = [np.zeros_like(ending) for _ in hashes[1:]]
+    for k, (m, h) in enumerate(zip(more, hashes[1:], strict=True), 1):
+        m[k + 1 : n + 1] = table[h]
+        ending += m
+    upto = ending.cumsum(0)
+    two, three = more
+    # grams that begin before word i and end within: the bigram at i, the trigrams at i and i + 1
+    return upto[: n + 1], upto[: n + 1] + two[1 : n + 2] + three[1 : n + 2] + three[2 : n + 3]
 
 
 TEMPLATE_GRAMS = {f: [frozenset(grams(tokens(t), 2)) for t in ts] for f, ts in TEMPLATES.items()}
@@ -174,11 +226,19 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.5
+    lifts: tuple[np.ndarray, float, float] | None = None
 
     def logits(self, text: str) -> np.ndarray:
         f = features(text)
         return self.bias + self.weights[f].sum(0) / max(1.0, len(f)) ** 0.5
 
+    def bound(self) -> tuple[np.ndarray, float, float]:
+        """What a feature, and the bias, lift some family over the unknown at most, and the lift that the threshold needs."""
+        u = self.families.index(UNKNOWN)
+        other = [i for i in range(len(self.families)) if i != u]
+        need = self.temperature * float(np.log(self.threshold / (1 - self.threshold)))
+        return (self.weights[:, other] - self.weights[:, [u]]).max(1), float((self.bias[other] - self.bias[u]).max()), need - 1e-6
+
     def predict(self, text: str) -> tuple[str, float]:
         z = self.logits(text) / self.temperature
         p = np.exp(z - z.max())
@@ -205,14 +265,26 @@ def disturbed(r: random.Random, text: str, noise: list[str]) -> str:
     return out.upper() if r.random() < 0.15 else out
 
 
+def piece(r: random.Random, text: str) -> str:
+    words = text.split()
+    n = min(len(words), r.choice((1, 2, *WINDOWS)))
+    at = r.randint(0, len(words) - n)
+    return " ".join(words[at : at + n])
+
+
 def trained(others: list[str], seed: int = 5) -> Model:
     """Fit, calibrate and set the threshold; ``others`` are paragraphs of the corpus."""
     r = random.Random(seed)
     noise = [w for p in others for w in p.split()[:40]] or ["word"]
     others = [p for p in others if not any(similarity(p, f) >= CONFIRM for f in TEMPLATES)]
     rows = [(f, disturbed(r, t, noise)) for f, ts in TEMPLATES.items() for t in ts for _ in range(COPIES)]
-    rows += [(UNKNOWN, p) for p in others] + [(UNKNOWN, disturbed(r, t, noise)) for t in NEAR_MISSES for _ in range(COPIES)]
+    rows += [(UNKNOWN, p) for p in others] + [(UNKNOWN, piece(r, p)) for p in others for _ in range(PIECES)]
+    rows += [(UNKNOWN, disturbed(r, t, noise)) for t in NEAR_MISSES for _ in range(COPIES)]
     r.shuffle(rows)
+    return fitted(rows)
+
+
+def fitted(rows: list[tuple[str, str]]) -> Model:
     families = [*TEMPLATES, UNKNOWN]
     held = rows[: len(rows) // 5]
     rows = rows[len(rows) // 5 :]
@@ -257,6 +329,7 @@ def trained(others: list[str], seed: int = 5) -> Model:
     wrong = np.sort(p[(label == unknown) & (p.argmax(1) != unknown)].max(1, initial=0))[::-1]
     allowed = int(FALSE_SHARE * (label == unknown).sum())
     model.threshold = float(max(0.5, wrong[allowed] + 1e-6 if len(wrong) > allowed else 0))
+    model.lifts = model.bound()
     return model
 
 
@@ -270,31 +343,140 @@ FINDING = T.ArrayType(
 )
 
 
+def windows(c: np.ndarray, sizes: np.ndarray, model: Model) -> tuple[np.ndarray, ...]:
+    """(begin, end, family, probability, log odds) of the windows of words that the model gives a family.
+
+    ``sizes`` are the paragraphs' words; no window spans two paragraphs.
+    """
+    hashes, n = hashed(c), len(c)
+    most, bias, need = model.lifts
+    upto, since = sums(most, hashes)
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    last = np.cumsum(sizes)
+    first = last - sizes
+    begins, ends = [first], [last]  # whole paragraphs
+    for w in WINDOWS:
+        if w > n:
+            break
+        at = np.flatnonzero(upto[w:] - since[: n + 1 - w] >= (need - bias) * (3 * w - 3) ** 0.5)
+        at = at[own[at] == own[at + w - 1]]
+        begins.append(at)
+        ends.append(at + w)
+    begin, end = np.concatenate(begins), np.concatenate(ends)
+    size = end - begin
+    count = np.maximum(3 * size - 3, 1)
+    lift = np.where(size > 1, upto[end] - since[begin], most[hashes[0][begin]])
+    ok = lift >= (need - bias) * count**0.5
+    begin, end, size, count = begin[ok], end[ok], size[ok], count[ok]
+    if not len(begin):
+        return begin, end, begin, np.zeros(0), np.zeros(0)
+    upto, since = sums(model.weights, hashes)
+    z = np.where((size > 1)[:, None], upto[end] - since[begin], model.weights[hashes[0][begin]])
+    z = (model.bias + z / (count**0.5)[:, None]) / model.temperature
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    best = p.argmax(1)
+    every = np.arange(len(best))
+    top = p[every, best]
+    p[every, best] = 0
+    ok = (best != model.families.index(UNKNOWN)) & (top >= model.threshold)
+    odds = np.log(np.maximum(top, 1e-300)) - np.log(np.maximum(p.sum(1), 1e-300))
+    return begin[ok], end[ok], best[ok], top[ok], odds[ok]
+
+
+def clearest(found: tuple[np.ndarray, ...], n: int) -> list[tuple[int, int, int, float]]:
+    """Windows none of which overlap, those of the highest odds first."""
+    begin, end, family, p, odds = found
+    taken, out = np.zeros(n, bool), []
+    for i in np.lexsort((begin, begin - end, -odds)):
+        if not taken[begin[i] : end[i]].any():
+            taken[begin[i] : end[i]] = True
+            out.append((int(begin[i]), int(end[i]), int(family[i]), float(p[i])))
+    return out
+
+
 def findings(text: str | None, model: Model) -> list[dict]:
-    out = []
+    words: list[str] = []
+    bounds, sizes = [], []
     for begin, end in paragraphs(text or ""):
-        for b, e in _around(text, begin, end):
-            part = text[b:e]
-            family, p = model.predict(part)
-            if family != UNKNOWN:
-                s = similarity(part, family)
-                out.append({"begin": b, "end": e, "family": family, "probability": p, "similarity": s, "confirmed": s >= CONFIRM})
+        w = _WORD.findall(text, begin, end)
+        if w:
+            words += w
+            bounds.append((begin, end))
+            sizes.append(len(w))
+    if not words:
+        return []
+    c, first = codes(words), np.cumsum(sizes) - sizes
+    keep = fresh(c)
+    keep[first] = True
+    c, sizes = c[keep], np.add.reduceat(keep.astype(np.int64), first)
+    starts = np.cumsum(sizes) - sizes
+    kept: dict[int, list] = {}
+    for hit in clearest(windows(c, sizes, model), len(c)):
+        kept.setdefault(int(np.searchsorted(starts, hit[0], "right")) - 1, []).append(hit)
+    out = []
+    for k, hits in sorted(kept.items()):
+        begin, end = bounds[k]
+        new = keep[first[k] : first[k + 1] if k + 1 < len(first) else None]
+        spans = [m.span() for m, one in zip(_WORD.finditer(text, begin, end), new, strict=True) if one]
+        hits = [(b - int(starts[k]), e - int(starts[k]), model.families[f], p) for b, e, f, p in hits]
+        out += _placed(text, begin, end, spans, hits) if end - begin > LONG else _whole(text, begin, end, spans, hits)
     return out
 
 
-def _around(text: str, begin: int, end: int, width: int = 600) -> Iterator[tuple[int, int]]:
-    """A paragraph as it is, or, of a very long one, the stretches around words of licensing, cut at blanks."""
-    if end - begin <= 3 * width:
-        yield begin, end
-        return
-    last = begin
-    for m in _HINT.finditer(text, begin, end):
-        if m.start() < last:
-            continue
-        b, e = text.rfind(" ", last, max(last, m.start() - width // 3)), text.find(" ", min(end, m.end() + width), end)
-        b, e = (last if b < 0 else b + 1), (end if e < 0 else e)
-        yield b, e
-        last = e
+def _finding(begin: int, end: int, family: str, p: float, s: float) -> dict:
+    return {"begin": begin, "end": end, "family": family, "probability": p, "similarity": s, "confirmed": s >= CONFIRM}
+
+
+def _around(text: str, spans: list, b: int, e: int, clearer: list[tuple[int, int]], reach: int) -> str:
+    """The text about words b to e, as far as ``reach`` words or a clearer notice: a rest of one does not borrow its words."""
+    lo = max([b - reach, 0, *(y for _, y in clearer if y <= b)])
+    hi = min([e + reach, len(spans), *(x for x, _ in clearer if x >= e)])
+    return text[spans[lo][0] : spans[hi - 1][1]]
+
+
+def _whole(text: str, begin: int, end: int, spans: list, hits: list) -> list[dict]:
+    """A paragraph's clearest family and the others that are confirmed."""
+    best: dict[str, list] = {}
+    for i, (b, e, family, p) in enumerate(hits):
+        s = similarity(_around(text, spans, b, e, [h[:2] for h in hits[:i] if h[2] != family], len(spans)), family)
+        row = best.setdefault(family, [p, s])
+        row[:] = max(p, row[0]), max(s, row[1])
+    rows = [_finding(begin, end, family, p, s) for family, (p, s) in best.items()]
+    return [r for i, r in enumerate(rows) if not i or r["confirmed"]]
+
+
+def _placed(text: str, begin: int, end: int, spans: list, hits: list) -> list[dict]:
+    """The findings of a long paragraph, each with its own place, cut at blanks; windows of a family that touch are one."""
+    rank = {h[0]: i for i, h in enumerate(hits)}
+    joined: list[list] = []
+    for b, e, family, p in sorted(hits):
+        if joined and joined[-1][2] == family and b - joined[-1][1] <= 2:
+            joined[-1][1], joined[-1][3], joined[-1][4] = e, max(p, joined[-1][3]), min(rank[b], joined[-1][4])
+        else:
+            joined.append([b, e, family, p, rank[b]])
+    joined.sort(key=lambda h: h[4])
+    order = sorted(range(len(joined)), key=lambda i: joined[i][0])
+    at = {i: k for k, i in enumerate(order)}
+    out = []
+    for i, (b, e, family, p, _) in enumerate(joined):
+        close = []
+        for step in (-1, 1):  # places do not overlap: those within reach are the next ones
+            k = at[i] + step
+            while 0 <= k < len(order) and joined[order[k]][0] < e + NEAR and b - NEAR < joined[order[k]][1]:
+                if order[k] < i:
+                    close.append(joined[order[k]])
+                k += step
+        s = similarity(_around(text, spans, b, e, [h[:2] for h in close if h[2] != family], NEAR), family)
+        if s < CONFIRM and close:
+            continue  # a rest of a clearer notice
+        x, y = spans[b][0], spans[e - 1][1]
+        while x > begin and not text[x - 1].isspace():
+            x -= 1
+        while y < end and not text[y].isspace():
+            y += 1
+        out.append(_finding(x, y, family, p, s))
+    return sorted(out, key=lambda r: (r["begin"], r["end"]))
 
 
 def corpus_sample(docs: DataFrame, seed: int = 5) -> list[str]:

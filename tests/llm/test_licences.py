@@ -57,6 +57,44 @@ def test_every_template_is_found_in_a_text(model):
     assert [f["family"] for f in L.findings("Lizenziert unter der Apache-Lizenz, Version 2.0.", model)] == ["Apache-2.0"]
 
 
+def test_several_notices_in_prose_without_line_breaks(model):
+    def prose(n):
+        return " ".join(r.choices(WORDS, k=n)).capitalize() + "."
+
+    r = random.Random(8)
+    both = "Released under the MIT License. Licensed under CC BY-NC 4.0."
+    assert {(f["family"], f["confirmed"]) for f in L.findings(both, model)} == {("MIT", True), ("CC-BY-NC", True)}
+    hit = total = wrong = 0
+    for gap in (1, 5, 25, 60, 130, 400):
+        for _ in range(8):
+            want = r.sample([(f, t) for f, ts in L.TEMPLATES.items() for t in ts], 5)
+            text = prose(300)
+            places = []
+            for f, t in want:
+                text += " " + prose(gap + r.randint(0, gap)) + " "
+                places.append((len(text), len(text) + len(t), f))
+                text += t
+            text += " " + prose(300)
+            got = L.findings(text, model)
+            ok = [any(g["begin"] < e and b < g["end"] and g["family"] == f and g["confirmed"] for g in got) for b, e, f in places]
+            hit, total = hit + sum(ok), total + len(ok)
+            wrong += sum(not any(g["begin"] < e and b < g["end"] and g["family"] == f for b, e, f in places) for g in got)
+    assert hit >= 0.98 * total and wrong <= 0.02 * total
+
+
+def test_no_window_is_skipped_that_the_model_names(model):
+    r = random.Random(3)
+    words = r.choices(WORDS, k=90)
+    words[30:30] = L.TEMPLATES["ISC"][0].split()
+    words[70:70] = L.TEMPLATES["CC-BY-SA"][1].split()
+    c = L.codes(L._WORD.findall(" ".join(words)))
+    words = [w for w, one in zip(L._WORD.findall(" ".join(words)), L.fresh(c), strict=True) if one]
+    want = {(i, i + n): model.predict(" ".join(words[i : i + n]))[0] for n in (*L.WINDOWS, len(words)) for i in range(len(words) - n + 1)}
+    b, e, f, *_ = L.windows(c[L.fresh(c)], [len(words)], model)
+    got = {(int(x), int(y)): model.families[k] for x, y, k in zip(b, e, f, strict=True)}
+    assert got == {k: v for k, v in want.items() if v != L.UNKNOWN} and got
+
+
 def test_odd_rows(spark, model):
     rows = [(1, None, "a"), (None, "", "b"), (2, "\n\n", "c"), (2, "All rights reserved.", "d"), (2, "All rights reserved.", "d")]
     df = prepared(spark).createDataFrame(rows, "doc_id long, text string, licences string")
