@@ -11,7 +11,8 @@ prediction under a threshold, both set on held-out examples, is unknown. A predi
 family is confirmed if enough n-grams of one of its templates stand in the paragraph.
 
 The model is trained on the driver: licence notices are the templates below, cut and disturbed
-at random; the unknown class are paragraphs of at most ``SAMPLE_DOCS`` documents and sentences
+at random; the unknown class are ``SAMPLE_PARAGRAPHS`` paragraphs, of at most
+``SAMPLE_CHARS`` characters, from anywhere in each of at most ``SAMPLE_DOCS`` documents, pieces of them, and sentences
 that speak of permits and rights without granting any.
 
 Defined results: a null or empty text has no findings; equal rows get equal findings; texts of
@@ -33,8 +34,10 @@ from pyspark.sql import types as T
 
 from quillspark.llm.common import map_columns, prepared, sampled
 
-FEATURES, NGRAMS, SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 1 << 15, 3, 400, 4
-COPIES, EPOCHS, RATE, L2, CONFIRM, FALSE_SHARE, PIECES = 36, 60, 0.15, 2e-4, 0.5, 0.002, 3
+FEATURES, NGRAMS = 1 << 15, 3
+#: The corpus in the unknown class: documents, paragraphs of each, characters of a paragraph. Training only; scans have no bound.
+SAMPLE_DOCS, SAMPLE_PARAGRAPHS, SAMPLE_CHARS = 400, 4, 2_000
+COPIES, EPOCHS, RATE, L2, CONFIRM, FALSE_SHARE, PIECES = 36, 60, 0.15, 2e-4, 0.5, 0.002, 10
 UNKNOWN = "unknown"
 #: Words of a window; characters above which a paragraph's findings have places of their own; words around such a place that may confirm it.
 WINDOWS, LONG, NEAR = (3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 48, 64), 1_800, 32
@@ -267,7 +270,7 @@ def disturbed(r: random.Random, text: str, noise: list[str]) -> str:
 
 def piece(r: random.Random, text: str) -> str:
     words = text.split()
-    n = min(len(words), r.choice((1, 2, *WINDOWS)))
+    n = min(len(words), r.choice((1, 1, 1, 2, *WINDOWS)))
     at = r.randint(0, len(words) - n)
     return " ".join(words[at : at + n])
 
@@ -479,14 +482,21 @@ def _placed(text: str, begin: int, end: int, spans: list, hits: list) -> list[di
     return sorted(out, key=lambda r: (r["begin"], r["end"]))
 
 
+def sample_of(text: str, seed: int) -> list[str]:
+    """Paragraphs from anywhere in a text; of a very long one, a cut of ``SAMPLE_CHARS`` from anywhere in it."""
+    r, parts = random.Random(f"{seed} {zlib.crc32(text.encode())}"), list(paragraphs(text))
+    out = []
+    for b, e in r.sample(parts, min(len(parts), SAMPLE_PARAGRAPHS)):
+        b = r.randint(b, max(b, e - SAMPLE_CHARS))
+        out.append(text[b : min(e, b + SAMPLE_CHARS)])
+    return [p for p in out if p.strip()]
+
+
 def corpus_sample(docs: DataFrame, seed: int = 5) -> list[str]:
-    """Paragraphs of a bounded number of documents."""
-    rows = sampled(docs.where("text is not null").select("doc_id", F.substring("text", 1, 20_000).alias("t")), "doc_id", SAMPLE_DOCS).collect()
-    r, out = random.Random(seed), []
-    for text in sorted(row["t"] for row in rows):
-        parts = [text[b:e][:2_000] for b, e in paragraphs(text)]
-        out += r.sample(parts, min(len(parts), SAMPLE_PARAGRAPHS))
-    return out
+    """Paragraphs of a bounded number of documents, taken from whole texts where they lie: only these go to the driver."""
+    rows = sampled(docs.where("text is not null").select("doc_id", "text"), "doc_id", SAMPLE_DOCS)
+    rows = map_columns(rows, ["text"], [("parts", T.ArrayType(T.StringType()))], lambda: lambda texts: [[sample_of(t, seed) for t in texts]])
+    return [p for parts in sorted(row["parts"] for row in rows.select("parts").collect()) for p in parts]
 
 
 def scanned(docs: DataFrame, model: Model) -> DataFrame:

@@ -95,6 +95,15 @@ def test_no_window_is_skipped_that_the_model_names(model):
     assert got == {k: v for k, v in want.items() if v != L.UNKNOWN} and got
 
 
+def test_ends_of_long_texts_are_sampled(spark):
+    text = "\n".join(f"Line {i} of the text." for i in range(5_000))
+    docs = prepared(spark).createDataFrame([(i, f"{text} {i}") for i in range(40)], "doc_id long, text string")
+    places = [int(p.split()[1]) for p in L.corpus_sample(docs)]
+    assert len(places) == 40 * L.SAMPLE_PARAGRAPHS and min(places) < 1_000 and max(places) > 4_000
+    cuts = [L.sample_of(" ".join(map(str, range(50_000))), seed)[0] for seed in range(20)]
+    assert {len(c) for c in cuts} == {L.SAMPLE_CHARS} and len(set(cuts)) > 10
+
+
 def test_odd_rows(spark, model):
     rows = [(1, None, "a"), (None, "", "b"), (2, "\n\n", "c"), (2, "All rights reserved.", "d"), (2, "All rights reserved.", "d")]
     df = prepared(spark).createDataFrame(rows, "doc_id long, text string, licences string")
