@@ -1,6 +1,7 @@
 """Benchmark decontamination by random-walk embeddings, bit-sampling LSH and exact edit distance.
 
-Texts and items are sequences of lower-cased words (letters and digits; the rest separates).
+Texts and items are sequences of lower-cased words (letters and digits; the rest separates);
+in scripts without blanks between words each character is a word.
 A document holds an item if a stretch of its words is within ``percent`` / 100 of the item's
 words in edit distance (insertions, deletions, replacements). It is found in three steps:
 
@@ -17,8 +18,9 @@ words in edit distance (insertions, deletions, replacements). It is found in thr
 Items are taken in blocks of at most ``WORDS_AT_ONCE`` words, so what travels to the tasks has
 a fixed bound; documents are read once a block and never shuffled.
 
-Defined results: a null or empty text holds nothing; items that are null or have fewer than
-``MIN_WORDS`` words take no part; equal items each match; equal rows each get their result;
+Defined results: a null or empty text holds nothing; items that are null or have no
+word take no part; items of under five words match exactly; of an item's matches in a text the
+nearest, and of equals the first, is given; equal items each match; equal rows each get their result;
 texts of any length are read whole; empty tables give empty results.
 """
 
@@ -34,12 +36,14 @@ from pyspark.sql import types as T
 
 from quillspark.llm.common import map_columns, prepared, staged
 
-PERCENT, MIN_WORDS, WORDS_AT_ONCE = 20, 4, 1_000_000
+PERCENT, WORDS_AT_ONCE = 20, 1_000_000
 #: Walks, bands a walk, places a band, steps a word of the item.
 WALKS, BANDS, PLACES, STEPS = 6, 16, 2, 2
 #: Tokens that a worker remembers.
 KNOWN = 150_000
-_WORD = re.compile(r"[^\W_]+")
+#: Fixed value: letters of scripts without blanks between words (Thai, Lao, Burmese, Khmer, Japanese, Chinese).
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003fffd"
+_WORD = re.compile(rf"[^\W_{UNSPACED}]+|(?![\W_])[{UNSPACED}]")
 _NONE = -1
 
 SPAN = T.ArrayType(
@@ -110,7 +114,7 @@ class Items:
         self.ids, self.words, self.edits, self.q, self.need = [], [], [], [], []
         for i, text in items:
             w = [x.lower() for x in words(text)]
-            if len(w) < MIN_WORDS:
+            if not w:
                 continue
             n, k = len(w), len(w) * percent // 100
             q = next((q for q in (3, 2, 1) if n - q + 1 - q * k >= 1), 1)
@@ -205,6 +209,11 @@ class Items:
         best: dict[int, tuple[int, int, int]] = {}
         for it, first, last in self.stretches(codes):
             n, k = int(self.n[it]), int(self.k[it])
+            if it in best and not best[it][0]:
+                continue  # stretches come in order: the first exact match stands
+            if not k and n == self.q[it]:  # the seed is the whole item
+                best[it] = (0, first, first + n)
+                continue
             padded = np.concatenate([codes[first : last + n], np.full(max(0, last + n - len(codes)), _NONE, np.int64)])
             rows = np.lib.stride_tricks.sliding_window_view(padded, n)
             tried = None
@@ -231,7 +240,8 @@ class Items:
 def blocks(benchmark: DataFrame) -> list[DataFrame]:
     """The items in parts of a bounded number of words each."""
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    size = F.size(F.split("text", r"\s+")) + F.length(F.regexp_replace("text", f"[^{UNSPACED}]", ""))
+    total = items.agg(F.sum(size)).first()[0] or 0
     n = max(1, -(-2 * total // WORDS_AT_ONCE)) if total > WORDS_AT_ONCE else 1
     if n == 1:
         return [items]

@@ -80,6 +80,24 @@ def test_nearest_is_exact():
         assert d == distance(item, doc[b:e]) == min(distance(item, doc[s:t]) for s in range(len(doc) + 1) for t in range(s, len(doc) + 1))
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    r = random.Random(6)
+    han = [chr(0x4E00 + i) for i in range(400)]
+    item = "".join(r.choices(han, k=20))
+    near = item[:5] + "龥" + item[6:12] + item[13:]
+    thai = "ประเทศไทยมีสามฤดู"
+    items = [(1, item), (2, thai), (3, "Fermat"), (4, "prime number"), (5, "the prime number"), (6, "東京"), (7, "...")]
+    docs = [
+        (1, "".join(r.choices(han, k=30)) + "。" + near + "".join(r.choices(han, k=30)), [1]), (2, "x" + thai + "y", [2]), (3, "What did FERMAT prove? Fermat?", [3]),
+        (4, "Is a prime, number 5", [4]), (5, "It is the prime number.", [4, 5]), (6, "彼は東京に住む", [6]), (7, "Fermats primes number the 京東 ...", []), (8, "".join(r.choices(han, k=300)), []),
+    ]
+    df = prepared(spark).createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    got = {row.doc_id: row.held for row in D.matched(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {d: [h.item_id for h in held] for d, held in got.items()} == {d: want for d, _, want in docs}
+    assert [docs[2][1][h.begin : h.end] for h in got[3]] == ["FERMAT"]
+    assert got[1][0].distance == 2 and got[1][0].words == 20
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a"), (None, "", "b"), (3, "one two three four five " * 30_000, "c"), (3, "one two three four five", "c")]
     df = prepared(spark).createDataFrame(rows, "doc_id long, text string, held string")
