@@ -6,7 +6,8 @@ the like (by tag, or by the words of class and id), and blocks that are mostly l
 long blocks of few links with enough stop words, or very long ones. All others, mostly short,
 stay open. The second pass gives these the label of the nearest decided block, first within
 the same article; a heading looks ahead before it looks back; an article or main element in
-which nothing is decided is good as a whole.
+which nothing is decided is good as a whole, and so are, on a page without a good block and
+without open ones in an article, all open blocks.
 
 Text of a block has its character references decoded and its white space made single; blocks
 are joined by one space in page order. Nothing else is dropped or cut.
@@ -190,6 +191,8 @@ def label(b: Block) -> bool | None:
 def decided(page: list[Block]) -> list[bool]:
     """Both passes."""
     first = [label(b) for b in page]
+    if True not in first and not any(b.main and x is None for b, x in zip(page, first, strict=True)):
+        return [x is None for x in first]  # menus and footers say nothing of a text in which nothing is decided
     n = len(page)
     out = list(first)
     before: list[tuple[int, bool] | None] = []  # nearest decided block on either side, with its place

@@ -30,6 +30,15 @@ def test_article_of_short_blocks_only():
     assert H.main_text(page("<nav>Menu</nav><article><h1>One</h1><p>Two.</article><footer>Foot</footer>")) == "One Two."
 
 
+def test_short_pages_and_other_languages_in_plain_blocks():
+    around = '<nav>Menu</nav><div class="menu">Start Page</div>{}<p><a href="/more">All of the links</a></p><div class="footer">Bye</div><footer>&copy; 2024</footer>'
+    finnish = "Kissa istui vanhan talon katolla ja katseli, kuinka sade hiljalleen kasteli puutarhan kukat ja polut."
+    assert H.main_text(page(around.format("<div><h1>One</h1><p>Two.</p>Three</div>"))) == "One Two. Three"
+    assert H.main_text(page(around.format(f"<div><p>{finnish}</p><p>{finnish}</p></div>"))) == f"{finnish} {finnish}"
+    assert H.main_text(page("<p>Short.</p>")) == "Short."
+    assert H.main_text(page(around.format("<p>Not main.</p><article><p>Two.</p></article>"))) == "Two."
+
+
 def test_odd_pages(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, "plain < words > & more", "c"), (4, "<article><p>cut &am", "d"), (5, "<p title='x", "e"), (6, "<script>never closed", "f"), (7, "<div" * 50_000, "g"), (8, "<b>" * 200_000 + LONG, "h"), (9, "<!-- x", "i"), (10, "<div>" * 50_000 + LONG, "j")]
     df = prepared(spark).createDataFrame(rows, "page_id long, html string, text string")
