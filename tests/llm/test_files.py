@@ -106,3 +106,60 @@ def test_damage_is_seen(spark):
         f.write(data[:-3])
     with pytest.raises(ValueError, match="seek table"):
         K.Reader(uri + "x")
+
+
+def test_tokens_are_those_of_the_plain_call(spark):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(1)
+    t = Tokenizer.from_file(path)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|endofText|>", " ", "\n", "a", "Bé", "é", "12", "'s", "!", "<|", "|>", "İ", "x</w>", "ﬁ", "Å"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(5_000)]
+    got = K.encoder(path, None, special=True)(texts)
+    assert [struct.unpack(f"<{len(g) // 4}I", g) for g in got] == [tuple(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_other_tokenizer_files_go_through_the_library_whole(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        own = json.load(f)
+    own["normalizer"] = {"type": "NFC"}  # keeps case
+    path = str(tmp_path / "own.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(own, f)
+    texts = ["Some Words, here", "É 12", ""]
+    got = K.encoder(path, 7)(texts)
+    assert [struct.unpack(f"<{len(g) // 4}I", g) for g in got] == [(*Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids, 7) for x in texts]
+
+
+def test_a_doc_id_of_many_rows_has_files_of_its_own(spark):
+    import public_tokenizers
+
+    path, least = public_tokenizers.path("word_bpe_49k.json"), -(2**63)
+    docs = [(5, f"same {i % 3}") for i in range(300)] + [(None, "none") for _ in range(100)] + [(i, f"row {i}") for i in range(100)] + [(least, "least"), (2**63 - 1, "most")]
+    df = prepared(spark).createDataFrame(docs, "doc_id long, text string").repartition(5)
+    files = K.write(df, new_folder(spark, "tok"), path, 2, file_docs=40)
+    assert max(f.documents for f in files.collect()) <= 120 and sum(f.documents for f in files.collect()) == len(docs)
+    rows = sorted(K.read(files).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in rows]
+    assert ids == sorted((d for d, _ in docs), key=lambda d: (d is not None, d or 0))
+    assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:i]) for i in range(len(rows))]
+
+
+def test_null_and_least_doc_id_differ(spark):
+    uri = new_folder(spark, "tok") + "/two.tok.zst"
+    out = K.Writer(uri)
+    packed = zstandard.ZstdCompressor().compress(b"")
+    for key in (None, -(2**63), 3):
+        out.add(key, 0, 0, packed)
+    out.close()
+    file = K.Reader(uri)
+    assert [file.key(i) for i in range(3)] == [None, -(2**63), 3] and [file.find(k) for k in (None, -(2**63), 3, 4)] == [[0], [1], [2], []]
+    file.close()
