@@ -11,7 +11,8 @@ table gives an empty table; an input column with the name of an output is replac
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,16 @@ from quillspark.llm.common import map_columns, prepared
 
 #: Characters of a piece of a long text. A cut falls only where no match of the pattern can span.
 PIECE_CHARS = 1 << 16
+#: White space that is matched here and not by the library, whose stack a million characters of it overflow.
+LONG_RUN = 10_000
+# White space, and letters, digits and other signs whose categories no version of Unicode has changed.
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u05d0-\u05ea\u0621-\u063a\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_SIGN = r"!-&(-/:-@\[-`{-~\u3001-\u3003\u3008-\u3011\uff01-\uff0f\uff1a-\uff20"
+_BOUNDARY = re.compile(
+    rf"(?<=[^{_WHITE}])(?=[{_WHITE}])|(?<=[{_LETTER}])(?=[0-9{_SIGN}])|(?<=[0-9])(?=[{_LETTER}{_SIGN}])|(?<=[{_SIGN}])(?=[0-9{_LETTER}])"
+)
+_RUN, _RUN_ONLY = re.compile(rf"[{_WHITE}]{{{LONG_RUN},}}"), re.compile(rf"[{_WHITE}]+")
 
 _loaded: dict = {}
 
@@ -38,29 +49,42 @@ def encoding(rank_path: str, pattern: str):
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
-    """``text`` cut before single blanks that stand between a visible character and a letter.
+    """``text`` cut where no match of the pattern can span, into pieces of little more than ``size`` characters if it has such places.
 
-    There a match of the pattern always ends: no alternative has a blank behind a visible
-    character, and the blank opens the next word. Without such a place the piece grows.
+    A match is a run of letters, of numbers or of other visible characters with a blank before it
+    at most, an apostrophe with letters, or white space. So one always ends before white space
+    behind a visible character, and between runs of two kinds, unless an apostrophe stands there.
+    White space is a match up to its last character, or up to the end of the text: of a run of
+    LONG_RUN or more, that match is a piece (``is_run``), which the pattern need not be tried on.
     """
-    if len(text) <= size:
-        return [text]
     out, at = [], 0
-    while len(text) - at > size:
-        cut = at + size
-        while True:
-            cut = text.find(" ", cut)
-            if cut < 0 or cut + 1 >= len(text):
-                cut = len(text)
-                break
-            if not text[cut - 1].isspace() and text[cut + 1].isalpha():
-                break
-            cut += 1
-        out.append(text[at:cut])
-        at = cut
-    if at < len(text):
-        out.append(text[at:])
-    return out
+    for m in _RUN.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += _cut(text, at, m.start(), size)
+        out.append(text[m.start() : end])
+        at = end
+    out += _cut(text, at, len(text), size)
+    return out or [""]
+
+
+def _cut(text: str, at: int, end: int, size: int) -> Iterator[str]:
+    while end - at > size:
+        m = _BOUNDARY.search(text, at + size, end)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    if at < end:
+        yield text[at:end]
+
+
+def is_run(piece: str) -> bool:
+    """Whether a piece is a long run of white space: one match."""
+    return len(piece) >= LONG_RUN - 1 and _RUN_ONLY.fullmatch(piece) is not None
+
+
+def ids_of(enc, piece: str) -> list[int]:
+    return enc._encode_single_piece(piece) if is_run(piece) else enc.encode_ordinary(piece)
 
 
 def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", size: int = PIECE_CHARS, check: bool = False) -> DataFrame:
@@ -77,7 +101,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", size
             for t in texts:
                 n, parts = 0, []
                 for p in pieces(t or "", size):
-                    ids = enc.encode_ordinary(p)
+                    ids = ids_of(enc, p)
                     if check and enc.decode_bytes(ids) != p.encode():
                         raise ValueError("token ids do not decode to the text they come from")
                     n += len(ids)
