@@ -14,9 +14,15 @@ Jaccard similarity of at least ``percent`` / 100. The join finds the classes tha
 4. Candidates pass a size test and a parity bitmap test, both of which only drop pairs that
    cannot link, and then an exact count of the intersection.
 5. Combinations that many classes still hold are bundles of near copies. Their classes are
-   compared with one leader first; what that joins needs no further comparison. The rest is
-   compared in blocks of bounded size, each pair of blocks in a task of its own, and a task
-   returns no more links than it has members.
+   compared with one leader first; what that joins needs no further comparison.
+6. What a bundle's leader leaves open, and sets whose prefix is over ``WIDE`` shingles (they
+   would make too many combinations), are indexed by parts instead: linked sets of a size
+   class differ in at most h shingles, so of more than h parts, into which a hash deals all
+   shingles, one agrees. A set has as many parts as a fixed share of its size. Parts are of
+   shingles that are not frequent first, and of all for sets that have too few such.
+7. Parts that many classes hold get leaders as well, and the rest of these is compared in
+   blocks of bounded size, each pair of blocks in a task of its own; a task returns no more
+   links than it has members.
 
 No step holds an unbounded group in one task, and nothing is dropped: every linked pair is
 compared or already joined through others.
@@ -29,6 +35,7 @@ documents have none.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,14 +53,20 @@ FEW = 64
 FREQUENT, TOP_BITS = 24, 22
 #: A token seen more than OFTEN * FEW times in the corpus is known to be too frequent for the single index.
 OFTEN = 16
-#: Tokens that a task counts at a time, and members of a block.
-COUNT_AT_ONCE, BLOCK = 4_000_000, 512
+#: Tokens that a task counts at a time, those whose counts it keeps, and members of a block.
+COUNT_AT_ONCE, COUNTS_KEPT, BLOCK = 500_000, 500_000, 512
+#: Shingles of the longest prefix whose frequent ones are combined; larger sets are indexed by parts.
+WIDE = 256
 #: Rows whose pairs a task makes at a time; a row is in less than FEW pairs.
 PAIR_AT_ONCE = 50_000
+#: Rows of a batch that a task returns.
+ROWS_OUT = 50_000
 #: Words that a worker remembers.
 KNOWN = 150_000
-#: Rows up to which a side is broadcast; beyond, both sides are shuffled.
+#: Rows (of two numbers or so) up to which a side is broadcast; beyond, both sides are shuffled.
 SMALL = 500_000
+#: Pairs of a node that one task joins, nodes of more, and parts in which bundles too many for a broadcast are joined.
+SPLIT, MANY, SALTS = 20_000, 10_000, 32
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -165,25 +178,43 @@ def _each_set(batches: Iterator[pa.RecordBatch], seen_limit: int = 500_000) -> I
 def frequent_tokens(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that sort last, and their counts; at most 2**TOP_BITS of them, whatever the corpus.
 
-    Each task counts its tokens exactly, COUNT_AT_ONCE at a time, and reports repeated ones.
-    The counts only set an order, the same for all sets, so a missed sighting loses no link.
+    Each task counts COUNT_AT_ONCE tokens at a time, keeps the COUNTS_KEPT most frequent counts
+    and reports repeated ones at its end. The counts only set an order, the same for all sets,
+    so a missed sighting loses no link.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def report(parts: list) -> pa.RecordBatch:
-            t, c = np.unique(np.concatenate(parts), return_counts=True)
-            keep = c >= 3
-            return pa.RecordBatch.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], names=["token", "c"])
-
+        def merged(t: np.ndarray, c: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            new = np.concatenate(parts)
+            parts.clear()
+            new.sort()
+            start = np.flatnonzero(np.concatenate([[True], new[1:] != new[:-1]]))
+            seen, times = new[start], np.diff(start, append=len(new)).astype(np.int32)
+            at = np.minimum(np.searchsorted(t, seen), max(0, len(t) - 1))
+            old = t[at] == seen if len(t) else np.zeros(len(seen), bool)
+            np.add.at(c, at[old], times[old])
+            seen, times = np.concatenate([t, seen[~old]]), np.concatenate([c, times[~old]])
+            if len(seen) > COUNTS_KEPT:
+                keep = np.argpartition(-times, COUNTS_KEPT)[:COUNTS_KEPT]
+                seen, times = seen[keep], times[keep]
+            order = np.argsort(seen)
+            return seen[order], times[order]
+
+        t, c = np.empty(0, np.uint64), np.empty(0, np.int32)
         parts, n = [], 0
         for _, h in _each_set(batches):
-            parts.append(h)
-            n += len(h)
-            if n >= COUNT_AT_ONCE:
-                yield report(parts)
-                parts, n = [], 0
+            for i in range(0, len(h), COUNT_AT_ONCE):
+                parts.append(h[i : i + COUNT_AT_ONCE])
+                n += len(parts[-1])
+                if n >= COUNT_AT_ONCE:
+                    t, c = merged(t, c, parts)
+                    n = 0
         if parts:
-            yield report(parts)
+            t, c = merged(t, c, parts)
+        keep = c >= 3
+        t, c = t[keep].view(np.int64), c[keep].astype(np.int64)
+        for i in range(0, len(t), ROWS_OUT):
+            yield pa.RecordBatch.from_arrays([pa.array(t[i : i + ROWS_OUT]), pa.array(c[i : i + ROWS_OUT])], names=["token", "c"])
 
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     least = max(FREQUENT, total >> TOP_BITS)
@@ -221,7 +252,9 @@ def prefixes(sets: DataFrame, tokens: np.ndarray, counts: np.ndarray, percent: i
             n = len(h)
             if n < 2:  # a single shingle links with nothing but its equal
                 continue
-            take = min(n, n + (-percent * n) // 100 + k)
+            take = prefix_of(n, percent, k)
+            if take > WIDE:  # indexed by parts
+                continue
             late = take
             if len(tok):
                 at = np.minimum(np.searchsorted(tok, h), len(tok) - 1)
@@ -236,7 +269,7 @@ def prefixes(sets: DataFrame, tokens: np.ndarray, counts: np.ndarray, percent: i
                 first = h[:take]
             out.append((first, node_of(sig), n, late))
             rows += len(first)
-            if rows > 200_000:
+            if rows > ROWS_OUT:
                 yield flush()
                 out, rows = [], 0
         if out:
@@ -245,10 +278,101 @@ def prefixes(sets: DataFrame, tokens: np.ndarray, counts: np.ndarray, percent: i
     return sets.select("sig", "hashes").mapInArrow(run, "token long, node long, n int, common boolean")
 
 
+def prefix_of(n: int, percent: int, k: int = 2) -> int:
+    return min(n, n + (-percent * n) // 100 + k)
+
+
+def narrow(percent: int) -> int:
+    """The largest size of a set whose prefix is of at most WIDE shingles."""
+    lo, hi = 1, 100 * (WIDE + 1)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if prefix_of(mid, percent) <= WIDE else (lo, mid)
+    return lo
+
+
 def node_of(sig: bytes) -> int:
     return int.from_bytes(sig[:8], "little", signed=True)
 
 
+def size_classes(percent: int) -> tuple[Callable[[int], int], Callable[[int], int]]:
+    """Functions from a size to its class and from a class to its least size. Linked sets are in one class or in neighbours."""
+    least = [2]
+
+    def start(c: int) -> int:
+        while len(least) <= c:
+            least.append(least[-1] * 100 // percent + 1)
+        return least[c]
+
+    def of(n: int) -> int:
+        while least[-1] <= n:
+            start(len(least))
+        return bisect_right(least, n) - 1
+
+    return of, start
+
+
+def part_keys(h: np.ndarray, rare: np.ndarray, family: int, largest: int, percent: int) -> list[np.ndarray]:
+    """Keys of a set's parts in a family of sizes up to ``largest``; two linked sets of the family have a key in common.
+
+    Linked sets differ in at most ``far`` shingles, so of far + spare + 1 parts at least spare + 1
+    agree, and one of these is not empty unless both sets have over ``spare`` empty parts.
+    """
+    far = (100 - percent) * 2 * largest // (100 + percent)
+    spare = far // 5 + 4
+    n, out = far + spare + 1, []
+    with np.errstate(over="ignore"):
+        for scheme, own in ((1, rare), (2, h)):
+            seed = np.uint64((family * 4 + scheme) * 0x9E3779B97F4A7C15 % 2**64)
+            empty = n
+            if len(own):
+                part = (own >> np.uint64(11)) % np.uint64(n)
+                order = np.argsort(part, kind="stable")
+                part, value = part[order], mixed(own[order] ^ seed)
+                start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                out.append(mixed(np.add.reduceat(value, start) + (part[start] + np.uint64(1)) * _ODD[0] + seed))
+                empty -= len(start)
+            if empty <= spare:
+                return out
+        return [*out, mixed(np.array([family * 4 + 3], np.uint64) * _ODD[1])]
+
+
+def parts(sets: DataFrame, tokens: np.ndarray, percent: int) -> DataFrame:
+    """(key, node, n): the sets' parts."""
+    shared = sets.sparkSession.sparkContext.broadcast(tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok, (of, start) = shared.value, size_classes(percent)
+        keys, nodes, sizes, rows = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            each = [len(k) for k in keys]
+            cols = [np.concatenate(keys).view(np.int64), np.repeat(np.array(nodes, np.int64), each), np.repeat(np.array(sizes, np.int32), each)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "n"])
+
+        for sig, h in _each_set(batches):
+            if len(h) < 2:
+                continue
+            rare = h
+            if len(tok):
+                rare = h[tok[np.minimum(np.searchsorted(tok, h), len(tok) - 1)] != h]
+            c = of(len(h))
+            for family in (c - 1, c):
+                got = np.concatenate(part_keys(h, rare, family, start(family + 2) - 1, percent)) if family >= 0 else ()
+                if len(got):
+                    keys.append(got)
+                    nodes.append(node_of(sig))
+                    sizes.append(len(h))
+                    rows += len(got)
+            if rows > ROWS_OUT:
+                yield flush()
+                keys, nodes, sizes, rows = [], [], [], 0
+        if keys:
+            yield flush()
+
+    return sets.select("sig", "hashes").mapInArrow(run, "key long, node long, n int")
+
+
 def _candidates(index: DataFrame, percent: int) -> DataFrame:
     """From (token, node, n, common): pairs (a, b) that share rare tokens and whose sizes allow a link,
     with n = minus the number of these tokens, and rows (a = token, b = node, n) of frequent tokens.
@@ -339,13 +463,15 @@ def _of_each(sets: DataFrame, wanted: DataFrame, *cols: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b), as sig, of the distinct node ``pairs``: first by bitmap, then by the exact intersection."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    per = _of_each(sets, ends, "n_shingles", "bitmap")
+    """Links (a, b), as sig, of the distinct node ``pairs``: first by bitmap, then by the exact intersection.
+
+    A node of many pairs, a leader, is joined to them in several parts.
+    """
+    per = _of_each(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "n_shingles", "bitmap")
     near = pairs
     for side in "ab":
         own = per.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("sig", "n_shingles", "bitmap")])
-        near = near.join(own, side)
+        near = _joined(near, own, side)
 
     def pre() -> Callable:
         return lambda x, y, n, m: [[may_link(*v, percent) for v in zip(x, y, n, m, strict=True)]]
@@ -356,7 +482,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     per = _of_each(sets, ends, "hashes")
     for side in "ab":
-        full = full.join(per.select(F.col("sig").alias(f"sig_{side}"), F.col("hashes").alias(f"hashes_{side}")), f"sig_{side}")
+        full = _joined(full, per.select(F.col("sig").alias(f"sig_{side}"), F.col("hashes").alias(f"hashes_{side}")), f"sig_{side}")
 
     def exact() -> Callable:
         view = lambda b: np.frombuffer(b, dtype=np.uint64)
@@ -366,10 +492,33 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.where("ok").select(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b"))
 
 
+def _joined(pairs: DataFrame, own: DataFrame, key: str) -> DataFrame:
+    """``pairs`` joined to ``own`` (one row a key); keys of over SPLIT pairs are dealt over tasks, with a copy of their row in each."""
+    many = pairs.groupBy(key).agg(F.count("*").alias("pairs")).where(F.col("pairs") > SPLIT).select(key, F.ceil(F.col("pairs") / SPLIT).cast("int").alias("copies"))
+    many = {r[key]: r["copies"] for r in many.limit(MANY + 1).collect()}
+    if not many:
+        return pairs.join(own, key)
+    if len(many) > MANY:  # so many tasks are busy with them that none need be split
+        return pairs.join(own, key)
+    copies = pairs.sparkSession.createDataFrame(list(many.items()), f"{key} {pairs.schema[key].dataType.simpleString()}, copies int")
+    with_copies = lambda df: df.join(F.broadcast(copies), key, "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    dealt = with_copies(pairs).withColumn("copy", F.pmod(F.xxhash64(*pairs.columns), F.col("copies")).cast("int")).drop("copies")
+    spread = with_copies(own).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    return dealt.join(spread, [key, "copy"]).drop("copy")
+
+
+def _with_bundle(members: DataFrame, bundles: DataFrame) -> DataFrame:
+    """``members`` joined to ``bundles`` (one row a bundle) without gathering a bundle in one task."""
+    if bundles.limit(SMALL + 1).count() <= SMALL:
+        return members.join(F.broadcast(bundles), "bundle")
+    salt = members.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int"))
+    return salt.join(bundles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["bundle", "salt"]).drop("salt")
+
+
 def _block_links(members: DataFrame, percent: int) -> DataFrame:
     """Links between classes of one bundle that are not joined yet; members: (bundle, sig, root, n_shingles, bitmap, hashes)."""
     size = members.groupBy("bundle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(size, "bundle").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    dealt = _with_bundle(members, size).withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
 
@@ -423,28 +572,61 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
         for_one = for_one.join(holders.select(F.col("b").alias(side)), side, "left_semi")
     rare = rare.unionByName(for_one).select("a", "b")
     two = F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> xxhash64(x, y))))")
-    lists = common.groupBy(F.col("b").alias("node"), "n").agg(F.sort_array(F.collect_set("a")).alias("t")).where(F.size("t") > 1)
+    lists = common.groupBy(F.col("b").alias("node"), "n").agg(F.sort_array(F.collect_set("a")).alias("t")).where(F.size("t") > 1)  # WIDE at most
     combos = staged(lists.select(F.explode(two).alias("key"), "node", "n"), "combinations")
-    by_key = combos.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("first")).where("held > 1")
-    cold = combos.join(by_key.where(f"held <= {FEW}").select("key"), "key")
+    cold, hot = _by_heat(combos)
     pairs = rare.unionByName(_pairs(cold, "key", percent)).distinct()
-    links = verified(staged(pairs, "pairs"), sets, percent)
-
-    hot = staged(combos.join(by_key.where(f"held > {FEW}").select("key", "first"), "key"), "hot")
-    if hot.isEmpty():
+    links = staged(verified(staged(pairs, "pairs"), sets, percent), "links")
+
+    members = None
+    if not hot.isEmpty():
+        links, members = _led(hot, links, sets, percent, False)
+    least = percent * (narrow(percent) + 1)  # also the largest of the others, which may link with these
+    wide = F.col("n_shingles") * 100 >= least
+    chosen = sets.where(wide)
+    if members is not None and not members.isEmpty():
+        nodes = members.select("node").distinct()
+        few = nodes.limit(SMALL + 1).count() <= SMALL
+        chosen = chosen.unionByName(sets.where(~wide).join(F.broadcast(nodes) if few else nodes, "node", "left_semi"))
+    index = staged(parts(chosen, tokens, percent).distinct(), "parts")
+    if index.isEmpty():
         return components(links)
+    cold, hot = _by_heat(index)
+    pairs = _pairs(cold, "key", percent).distinct()
+    links = staged(links.unionByName(verified(staged(pairs, "pairs"), sets, percent)).distinct(), "links")
+    if not hot.isEmpty():
+        links, members = _led(hot, links, sets, percent, True)
+        links = links.unionByName(staged(_block_links(members.drop("node"), percent), "block-links"))
+    return components(links)
+
+
+def _by_heat(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, node, n) of keys that few have, and (key, node, first) of those that many have; first is the key's least node."""
+    by_key = index.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("first")).where("held > 1")
+    by_key = staged(by_key, "keys")
+    cold = index.join(by_key.where(F.col("held") <= FEW).select("key"), "key")
+    hot = by_key.where(F.col("held") > FEW).select("key", "first")
+    few = hot.limit(SMALL + 1).count() <= SMALL
+    return cold, staged(index.select("key", "node").join(F.broadcast(hot) if few else hot, "key"), "hot")
+
+
+def _led(hot: DataFrame, links: DataFrame, sets: DataFrame, percent: int, each_key: bool) -> tuple[DataFrame, DataFrame]:
+    """(links, open members): ``links`` with those of bundles' members to leaders, and the members (sig, node, bundle,
+    root, n_shingles, bitmap, hashes) of bundles that are not yet of one component. A key's first class leads, or a bundle's with most keys."""
     bundles = components(hot.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("root", "bundle")
     members = staged(hot.groupBy("node").agg(F.count("*").alias("keys")).join(bundles, "node"), "members")
-    leaders = members.groupBy("bundle").agg(F.max_by("node", F.struct("keys", "node")).alias("leader"))
-    to_leader = members.join(F.broadcast(leaders) if leaders.limit(SMALL + 1).count() <= SMALL else leaders, "bundle").where("node <> leader")
+    if each_key:
+        to_leader = hot.select("node", F.col("first").alias("leader")).distinct().where("node <> leader")
+    else:
+        leaders = members.groupBy("bundle").agg(F.max_by("node", F.struct("keys", "node")).alias("leader"))
+        to_leader = _with_bundle(members.withColumnRenamed("node", "sig"), leaders).withColumnRenamed("sig", "node").where("node <> leader")
     to_leader = to_leader.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     links = staged(links.unionByName(verified(staged(to_leader, "leaders"), sets, percent)).distinct(), "links")
     joined = staged(components(links), "joined")
     full = _of_each(sets, members.select("node"), "n_shingles", "bitmap", "hashes").join(members.select("node", "bundle"), "node")
     full = staged(full.join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "bundles")
     open_ = full.groupBy("bundle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bundle")
-    more = staged(_block_links(full.join(open_, "bundle").drop("node"), percent), "block-links")
-    return components(links.unionByName(more))
+    return links, staged(_with_bundle(full, open_), "open")
 
 
 def near_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -467,15 +649,22 @@ def near_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, one of each group of near copies: that with the smallest doc_id. Columns stay as they are.
 
-    Rows that agree in doc_id and text count as one row.
+    Rows that agree in doc_id and text count as one row: the least by its columns in order (nested ones by their JSON).
     """
     found = staged(near_classes(docs, width, percent).select("doc_id", "text_hash", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")), "stays")
     own = docs.withColumn("text hash", F.xxhash64("text"))
     gone = found.where("not stays").select(F.col("doc_id").alias("gone id"), F.col("text_hash").alias("gone hash")).distinct()
     gone = F.broadcast(gone) if gone.limit(SMALL + 1).count() <= SMALL else gone
     rest = own.join(gone, own["doc_id"].eqNullSafe(F.col("gone id")) & (own["text hash"] == F.col("gone hash")), "left_anti")
-    if not found.where("stays").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
-        rest = rest.dropDuplicates(["doc_id", "text hash"])
+    again = found.where("stays").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("gone id"), F.col("text_hash").alias("gone hash"))
+    again = staged(again, "repeated")
+    if not again.isEmpty():
+        again = F.broadcast(again) if again.limit(SMALL + 1).count() <= SMALL else again
+        same = own["doc_id"].eqNullSafe(F.col("gone id")) & own["text hash"].eqNullSafe(F.col("gone hash"))
+        plain = [F.to_json(f"`{f.name}`") if isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType)) else F.col(f"`{f.name}`") for f in docs.schema]
+        one = rest.join(again, same, "left_semi").groupBy("doc_id", "text hash").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*plain)).alias("row"))
+        rest = rest.join(again, same, "left_anti").drop("text hash").unionByName(one.select("row.*"))
+        return rest
     return rest.drop("text hash")
 
 

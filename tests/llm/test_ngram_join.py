@@ -94,3 +94,70 @@ def test_bitmap_never_drops_a_link():
         a, b = (np.array(sorted(v), dtype=np.uint64) for v in (x, y))
         if J.link(a, b, 80):
             assert J.may_link(J.parity(a), J.parity(b), len(a), len(b), 80)
+
+
+@pytest.mark.parametrize(("width", "percent", "few", "wide"), [(3, 90, 4, 6), (5, 80, 4, 6), (3, 90, 64, 3)])
+def test_sets_of_long_prefixes_are_joined_by_parts(spark, monkeypatch, width, percent, few, wide):
+    for name, value in (("FEW", few), ("BLOCK", 8), ("WIDE", wide), ("SPLIT", 20), ("COUNT_AT_ONCE", 100), ("COUNTS_KEPT", 200), ("FREQUENT", 3)):
+        monkeypatch.setattr(J, name, value)
+    docs = corpus(2)
+    df = prepared(spark).createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_classes(df, width, percent).collect()}
+    assert got == brute(docs, width, percent)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_have_a_part_in_common(percent):
+    import numpy as np
+
+    r = random.Random(percent)
+    of, start = J.size_classes(percent)
+    linked = 0
+    for _ in range(600):
+        n = r.randint(2, 400)
+        x = {r.getrandbits(64) for _ in range(n)}
+        edits = r.randint(0, max(1, n * (100 - percent) // 100))
+        y = set(r.sample(sorted(x), n - r.randint(0, min(edits, n - 1)))) | {r.getrandbits(64) for _ in range(r.randint(0, edits))}
+        a, b = (np.array(sorted(v), dtype=np.uint64) for v in (x, y))
+        if len(b) < 2 or not J.link(a, b, percent):
+            continue
+        linked += 1
+        common = sorted(x | y)[: r.choice([0, len(x) // 2, len(x) + len(y)])]  # as if these were frequent
+        keys = []
+        for v in (a, b):
+            rare = v[~np.isin(v, np.array(common, dtype=np.uint64))]
+            c = of(len(v))
+            assert start(c) <= len(v) < start(c + 1)
+            keys.append({int(k) for f in (c - 1, c) if f >= 0 for part in J.part_keys(v, rare, f, start(f + 2) - 1, percent) for k in part})
+        assert keys[0] & keys[1]
+    assert linked > 200
+
+
+def test_a_very_long_text_and_a_large_bundle(spark):
+    r = random.Random(4)
+    common = [f"c{i}" for i in range(300)]
+    long = r.choices(common, k=200_000)  # all of its shingles are frequent: copies hold them
+    near = list(long)
+    for i in range(0, len(near), 200):
+        near[i] = "x"
+    base = r.choices(WORDS, k=150)
+    docs = [(i, " ".join(long[:100_000] + [f"q{i}"] + long[100_000:])) for i in range(30)] + [(30, " ".join(near))]
+    for i in range(20_000):  # each differs from the base in up to two words, and so in six shingles: all link with it
+        w = list(base)
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+        docs.append((100 + i, " ".join(w)))
+    docs += [(50_000 + i, " ".join(base[:75] + r.choices(WORDS, k=75))) for i in range(2_000)]  # half of it
+    df = prepared(spark).createDataFrame(docs, "doc_id long, text string").repartition(8)
+    got = {x.doc_id: x.component_id for x in J.near_classes(df, 3, 90).collect()}
+    assert {got[i] for i in range(31)} == {0}
+    assert {got[100 + i] for i in range(20_000)} == {100}
+    assert all(got[50_000 + i] == 50_000 + i for i in range(2_000))
+
+
+def test_rows_that_repeat_a_key_become_the_least_of_them(spark):
+    rows = [(1, "a b c d e f", "y", {"k": 2}), (1, "a b c d e f", "x", {"k": 1}), (2, None, "n", None), (2, None, "m", None), (3, "", None, None), (3, "", "z", None)]
+    df = prepared(spark).createDataFrame(rows, "doc_id long, text string, source string, more map<string,int>")
+    for part in (df, df.union(spark.createDataFrame([(9, "one row of its own", "o", None)], df.schema))):
+        got = sorted(str((r.doc_id, r.source)) for r in J.one_of_each(part).collect())
+        assert got[:3] == ["(1, 'x')", "(2, 'm')", "(3, None)"]
