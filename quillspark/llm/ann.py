@@ -2,16 +2,20 @@
 
 Vectors become binary codes: signs after rotations that are learned on a bounded sample (each
 starts at random and is turned so that vectors lie near corners of the cube). A code is split
-into substrings of 16 bits, and each substring indexed. Two codes within Hamming radius r agree
-in some substring to within r // (number of substrings): probing every bucket that near, in
-every substring, retrieves each code within the radius. Those are reranked by the exact cosine.
+into substrings of about as many bits as the number of vectors has, and each substring is
+indexed: the index is one relation, keyed by the substring's number and value. Codes within
+``count * (probe + 1) - 1`` bits of each other agree in some of ``count`` substrings to within
+``probe`` bits, so probing all values that near, in each substring, retrieves every code within
+that radius, and others by chance. Of what is retrieved, codes farther than ``far`` in their
+first ``BITS`` bits are dropped where they are met, and the rest is reranked by the exact cosine.
 
-The radius is fitted on the sample: the distance within which all but ``MISS`` of the sample's
-true neighbour pairs lie. In the whole table neighbours are nearer than in a sample of it. A
-query that finds fewer than k codes in a block widens its radius until it has k of that block.
+``fitted`` takes number, probe and ``far`` from the sample: the cheapest that retrieve a share
+of ``RECALL`` of its true neighbours, and drop at most ``MISS`` of them. Neighbours in the whole
+table are nearer than in a sample of it. Queries that find too few are asked again with wider
+probes, and what is left after ``ROUNDS`` is compared with all rows, in blocks.
 
-Rows are dealt into blocks of bounded size, queries into blocks of bounded size, and each pair
-of blocks is one group: an index of the block's rows, probed by the block's queries.
+Equal vectors are one class with the few members that can be in any result, so a vector that a
+third of all rows hold is indexed, probed and compared once.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or differ in
 length from most, are neither queries nor candidates; rows with a null id take no part; equal
@@ -21,148 +25,271 @@ give fewer rows; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import map_columns, prepared, sampled, staged
+from quillspark.llm.common import joined_split, map_columns, prepared, sampled, staged
 
-#: Bits of a code (at least), of a substring; rows and queries of a block; rows of the sample; share of neighbour pairs the radius may miss.
-BITS, SUB, BLOCK_ROWS, BLOCK_QUERIES, SAMPLE, MISS = 256, 16, 16_384, 1_024, 4_096, 0.01
-TURNS, ASKED = 30, 512
+#: Bits by which retrieved codes are compared; least and most bits of a substring; most substrings and most bits probed.
+BITS, LEAST_SUB, MOST_SUB, MOST_COUNT, MOST_PROBE = 256, 6, 24, 48, 4
+#: Rows of the sample, of them those asked; shares of neighbours to retrieve and to drop by distance.
+SAMPLE, ASKED, RECALL, MISS = 4_096, 512, 0.98, 0.01
+#: Queries (of five numbers) up to which their codes are broadcast.
+SMALL = 200_000
+#: Turns of a learned rotation, rounds of wider probes, queries compared with all rows at a time.
+TURNS, ROUNDS, BLOCK_QUERIES = 30, 2, 1_024
 
 
-def rotations(sample: np.ndarray, bits: int = BITS, seed: int = 11) -> np.ndarray:
-    """Learned rotations side by side: columns give ``bits`` or more signs, a multiple of SUB."""
+def rotations(sample: np.ndarray, bits: int, seed: int = 11) -> np.ndarray:
+    """Learned rotations side by side: ``bits`` columns, whose products' signs are a code."""
     r, d = np.random.default_rng(seed), sample.shape[1]
     parts = []
-    while sum(p.shape[1] for p in parts) < bits or sum(p.shape[1] for p in parts) % SUB:
+    while sum(p.shape[1] for p in parts) < bits:
         q = np.linalg.qr(r.standard_normal((d, d)))[0]
         for _ in range(TURNS if len(sample) >= d else 0):
             corners = np.where(sample @ q >= 0, 1.0, -1.0)
             u, _, v = np.linalg.svd(sample.T @ corners)
             q = u @ v
         parts.append(q)
-        if d % SUB and sum(p.shape[1] for p in parts) >= bits:
-            whole = np.concatenate(parts, 1)
-            return whole[:, : whole.shape[1] // SUB * SUB]
-    return np.concatenate(parts, 1)
+    return np.concatenate(parts, 1)[:, :bits]
 
 
-def coded(vectors: np.ndarray, rotation: np.ndarray) -> np.ndarray:
-    """Codes as 16-bit substrings: rows x substrings."""
-    return np.packbits((vectors @ rotation) >= 0, axis=1).view(">u2").astype(np.uint16)
+def signs(vectors: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+    return (vectors @ rotation) >= 0
+
+
+def values(bits: np.ndarray, width: int, count: int) -> np.ndarray:
+    """The first ``count`` substrings of codes as numbers: rows x substrings."""
+    return bits[:, : width * count].reshape(len(bits), count, width) @ (1 << np.arange(width, dtype=np.int64))
+
+
+def masks(width: int, probe: int) -> list[int]:
+    """What turns a substring into each one within ``probe`` bits."""
+    return [sum(1 << i for i in c) for n in range(min(probe, width) + 1) for c in combinations(range(width), n)]
 
 
 def cosines(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Cosine of each row with q; equal rows give equal values to the last bit."""
-    return (rows * q).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((q * q).sum()))
+    """Cosine of each row with q, or with q's row at its place; equal rows give equal values to the last bit."""
+    return (rows * q).sum(-1) / (np.sqrt((rows * rows).sum(-1)) * np.sqrt((q * q).sum(-1)))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Bits of a substring, substrings, bits probed around each, distance of the first BITS bits beyond which codes are dropped."""
 
+    width: int
+    count: int
+    probe: int
+    far: int
 
-def radius_of(sample: np.ndarray, rotation: np.ndarray, k: int) -> int:
-    """Distance of codes within which all but MISS of the sample's neighbour pairs lie."""
-    codes, dist = coded(sample, rotation), []
-    for i in range(min(len(sample), ASKED)):
+    @property
+    def radius(self) -> int:
+        """Every code within it is retrieved."""
+        return self.count * (self.probe + 1) - 1
+
+    def visited(self) -> float:
+        """Share of unrelated codes that a query meets."""
+        return 1 - (1 - len(masks(self.width, self.probe)) / 2**self.width) ** self.count
+
+    def wider(self) -> Plan:
+        return replace(self, probe=self.probe + 1, far=min(BITS, self.far + BITS // 16))
+
+
+def fitted(sample: np.ndarray, rotation: np.ndarray, k: int, rows: int, queries: int, width: int) -> Plan:
+    """The plan that costs least for so many rows and queries."""
+    near: list[np.ndarray] = []
+    for i in range(min(len(sample), ASKED) if len(sample) > 1 else 0):
         s = sample @ sample[i]
         s[i] = -np.inf
-        near = np.argsort(-s)[: min(k, len(sample) - 1)]
-        dist.append(np.bitwise_count(codes[near] ^ codes[i]).sum(1))
-    return int(np.quantile(np.concatenate(dist), 1 - MISS, method="higher")) if len(sample) > 1 else rotation.shape[1]
-
-
-class Index:
-    """Substring indexes of a block of codes."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes, self.tables = codes, []
-        for s in range(codes.shape[1]):
-            order = np.argsort(codes[:, s], kind="stable")
-            values, start = np.unique(codes[order, s], return_index=True)
-            self.tables.append((values, np.concatenate([start, [len(order)]]), order))
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code is within ``radius``: every bucket of every substring near enough, then the whole distance."""
-        near = radius // self.codes.shape[1]
-        hit = np.zeros(len(self.codes), bool)
-        for s, (values, start, order) in enumerate(self.tables):
-            for_probe = np.flatnonzero(np.bitwise_count(values ^ code[s]) <= near)
-            if len(for_probe) == len(values):
-                hit[:] = True
-                break
-            sizes = start[for_probe + 1] - start[for_probe]
-            at = np.repeat(start[for_probe] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(for_probe) else []
-            hit[order[at]] = True
-        rows = np.flatnonzero(hit)
-        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1) <= radius]
+        best = np.argsort(-s)[: min(k, len(sample) - 1)]
+        near.append(np.stack([np.full(len(best), i), best], 1))
+    if not near:
+        return Plan(width, 1, 0, BITS)
+    a, b = np.concatenate(near).T
+    bits = signs(sample, rotation)
+    differ = bits[a] != bits[b]
+    far = int(np.quantile(differ[:, :BITS].sum(1), 1 - MISS, method="higher"))
+    apart = differ[:, : width * MOST_COUNT].reshape(len(a), MOST_COUNT, width).sum(2)
+    plans = []
+    for probe in range(min(MOST_PROBE, width) + 1):
+        found = np.logical_or.accumulate(apart <= probe, 1).mean(0)
+        enough = np.flatnonzero(found >= RECALL)
+        if len(enough):
+            plan = Plan(width, int(enough[0]) + 1, probe, far)
+            cost = plan.count * (rows + queries * len(masks(width, probe))) + queries * rows * plan.visited()
+            plans.append((cost, plan))
+    return min(plans, key=lambda x: x[0])[1] if plans else Plan(width, MOST_COUNT, min(MOST_PROBE, width), far)
 
 
 def usable(table: DataFrame, id_: str, vector: str) -> DataFrame:
-    """(uid, id, v) of the rows that take part; v is the vector as doubles."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = table.select(F.col(id_).cast("long").alias("id"), F.col(vector)).where(F.col("id").isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0))
-    rows = rows.where(fine).select("id", v.alias("v"))
+    """(uid, id, v, key) of the rows that take part; key is one for equal vectors."""
+    v = F.transform(F.col(vector), lambda x: x + F.lit(0).cast("byte"))  # -0.0 becomes 0.0
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    rows = table.select(F.col(id_).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(fine)
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (sizes["d"] if sizes else 0)).withColumn("uid", F.monotonically_increasing_id())
+    key = F.concat(F.hex(F.xxhash64("v")), F.hex(F.xxhash64(F.lit(1), "v")))
+    return rows.where(F.size("v") == (sizes["d"] if sizes else 0)).select(F.monotonically_increasing_id().alias("uid"), "id", "v", key.alias("key"))
 
 
-def nearest(table: DataFrame, asks, k: int = 5, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row for which ``asks`` (a condition on column id) holds."""
-    spark = table.sparkSession
-    rows = usable(table, id_, vector)
-    some = sampled(rows.select("id", "v"), "id", SAMPLE).orderBy("id").select("v").toArrow()["v"].combine_chunks()
-    sample = np.asarray(some.values).reshape(len(some), -1) if len(some) else np.ones((1, 1))
+def index(coded: DataFrame, plan: Plan) -> DataFrame:
+    """(bucket, cid, code 0 to 3): a row for each substring of each code. A bucket is a substring's number and value."""
+    return coded.select("cid", *_code("code"), F.posexplode(F.slice("subs", 1, plan.count)).alias("s", "value")).withColumn("bucket", _bucket(plan, F.col("value"))).drop("s", "value")
+
+
+def probes(coded: DataFrame, plan: Plan) -> DataFrame:
+    """(bucket, query): the buckets that each query's code visits."""
+    flips = F.explode(F.array(*[F.lit(m).cast("long") for m in masks(plan.width, plan.probe)]))
+    rows = coded.select(F.col("cid").alias("query"), F.posexplode(F.slice("subs", 1, plan.count)).alias("s", "value")).withColumn("flip", flips)
+    return rows.select(_bucket(plan, F.col("value").bitwiseXOR(F.col("flip"))).alias("bucket"), "query")
+
+
+def _code(name: str) -> list[Column]:
+    return [F.col("code")[i].alias(f"{name} {i}") for i in range(BITS // 64)]
+
+
+def _bucket(plan: Plan, value: Column) -> Column:
+    return F.shiftleft(F.col("s").cast("long"), plan.width) + value
+
+
+def retrieved(coded: DataFrame, asked: DataFrame, plan: Plan) -> DataFrame:
+    """Distinct (query, cid) whose codes meet in a bucket and are not too far apart."""
+    own = asked.select(F.col("cid").alias("query"), *_code("asked"))
+    few = own.limit(SMALL + 1).count() <= SMALL
+    visits = probes(asked, plan)
+    if few:  # what is probed is wide; queries' codes come to the pairs
+        met = index(coded, plan).join(visits, "bucket").join(F.broadcast(own), "query")
+    else:
+        met = index(coded, plan).join(visits.join(own, "query"), "bucket")
+    apart = sum((F.bit_count(F.col(f"code {i}").bitwiseXOR(F.col(f"asked {i}"))) for i in range(BITS // 64)), F.lit(0))
+    return met.where(apart <= plan.far).select("query", "cid").distinct()
+
+
+_FOUND = "query long, score double, id long, uid long"
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """(query, best): each query's k + 1 best members of classes, itself among them perhaps; best is an array of (rank, score, id, uid)."""
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id", "uid"))
+    top = found.withColumn("rank", rank).where(F.col("rank") <= k + 1)
+    return top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "score", "id", "uid"))).alias("best"))
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
+
+def reranked(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """``_best`` of the pairs by the exact cosine."""
+    own = classes.select(F.col("cid").alias("query"), F.col("v").alias("q"))
+    both = joined_split(joined_split(pairs, classes.select("cid", "v", "members"), "cid"), own, "query").select("query", "q", "v", "members")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                score = cosines(_matrix(b.column(2)), _matrix(b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), b.column(3)], names=["query", "score", "members"])
+
+    scored = both.mapInArrow(run, "query long, score double, members array<struct<id:long,uid:long>>")
+    return _best(scored.select("query", "score", F.explode("members").alias("m")).select("query", "score", "m.id", "m.uid"), k)
+
+
+def compared(classes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``_best`` of the queries ``asked`` (query) among all classes, block by block: the exact way, for queries that are left."""
+    spark = classes.sparkSession
+    rows = staged(classes.join(asked.select(F.col("query").alias("cid")), "cid", "left_semi").select("cid", "v").withColumn("n", F.monotonically_increasing_id()), "left")
+    blocks = max(1, -(-rows.count() // BLOCK_QUERIES))
+    out = None
+    for i in range(blocks):
+        block = rows.where(F.pmod(F.xxhash64("n"), F.lit(blocks)) == i).select("cid", "v").toArrow()
+        if not block.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((block["cid"].to_numpy(), _matrix(block["v"])))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for b in batches:
+                x, members = _matrix(b.column(0)), b.column(1).to_pylist()
+                for i, one in enumerate(q):
+                    score = cosines(x, one)
+                    order = np.lexsort(([m[0]["id"] for m in members], -score))[: k + 1]
+                    found = [(float(score[j]), m["id"], m["uid"]) for j in order for m in members[j]]
+                    yield pa.RecordBatch.from_pydict({"query": [int(ids[i])] * len(found), "score": [f[0] for f in found], "id": [f[1] for f in found], "uid": [f[2] for f in found]})
+
+        got = staged(_best(classes.select("v", "members").mapInArrow(run, _FOUND), k), "compared")
+        out = got if out is None else out.unionByName(got)
+    return out if out is not None else spark.createDataFrame([], "query long, best array<struct<rank:int,score:double,id:long,uid:long>>")
+
+
+def grouped(rows: DataFrame, k: int) -> DataFrame:
+    """(cid, key, v, members): distinct vectors, each with its k + 1 least members, all that can be among any k nearest."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("id", "uid"))
+    few = rows.withColumn("place", place).where(F.col("place") <= k + 1)
+    one = few.groupBy("key").agg(F.min_by("v", "place").alias("v"), F.sort_array(F.collect_list(F.struct("id", "uid"))).alias("members"))
+    return staged(one.select(F.monotonically_increasing_id().alias("cid"), "key", "v", "members"), "vectors")
+
+
+def planned(classes: DataFrame, queries: int, k: int) -> tuple[np.ndarray, Plan]:
+    """The rotation and the plan, from a bounded sample."""
+    some = sampled(classes.select("key", "v"), "key", SAMPLE).orderBy("key").select("v").toArrow()["v"]
+    sample = _matrix(some) if len(some) else np.ones((1, 1))
     sample = sample / np.sqrt((sample * sample).sum(1, keepdims=True))
-    rotation = rotations(sample)
-    radius = radius_of(sample, rotation, k)
-    shared = spark.sparkContext.broadcast(rotation)
+    n = classes.count()
+    width = min(MOST_SUB, max(LEAST_SUB, round(math.log2(max(2, n)))))
+    rotation = rotations(sample, max(BITS, width * MOST_COUNT))
+    return rotation, fitted(sample, rotation, k, n, queries, width)
+
+
+def with_codes(classes: DataFrame, rotation: np.ndarray, plan: Plan) -> DataFrame:
+    """(cid, code, subs): the first BITS bits as numbers of 64, and the substrings."""
+    shared = classes.sparkSession.sparkContext.broadcast(rotation[:, : max(BITS, plan.width * plan.count)])
 
     def make() -> Callable:
         def work(vectors: list) -> list:
             x = np.array(vectors, dtype=np.float64)
-            return [[c.tobytes() for c in coded(x, shared.value)], [v.tobytes() for v in x]]
+            bits = signs(x / np.sqrt((x * x).sum(1, keepdims=True)), shared.value)
+            return [np.packbits(bits[:, :BITS], axis=1).view(">i8").astype(np.int64).tolist(), values(bits, plan.width, plan.count).tolist()]
 
         return work
 
-    coded_rows = staged(map_columns(rows, ["v"], [("code", T.BinaryType()), ("raw", T.BinaryType())], make).drop("v"), "codes")
-    # Names of their own: where both sides of a cogroup share attributes, column pruning empties one.
-    asked = coded_rows.where(asks).select(*[F.col(c).alias(f"q_{c}") for c in coded_rows.columns])
-    n, m = coded_rows.count(), asked.count()
-    row_blocks, query_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-m // BLOCK_QUERIES))
-    every = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
-    left = coded_rows.withColumn("x", F.pmod(F.xxhash64("uid"), F.lit(row_blocks)).cast("int")).withColumn("y", every(query_blocks))
-    right = asked.withColumn("q_y", F.pmod(F.xxhash64("q_uid"), F.lit(query_blocks)).cast("int")).withColumn("q_x", every(row_blocks))
-
-    def columns(t: pa.Table, side: str = "") -> tuple:
-        ids, uids = t[f"{side}id"].to_numpy(), t[f"{side}uid"].to_numpy()
-        codes = np.frombuffer(b"".join(t[f"{side}code"].to_pylist()), np.uint16).reshape(len(ids), -1)
-        return ids, uids, codes, np.frombuffer(b"".join(t[f"{side}raw"].to_pylist()), np.float64).reshape(len(ids), -1)
-
-    def run(have: pa.Table, ask: pa.Table) -> pa.Table:
-        found: list[tuple] = []
-        if have.num_rows and ask.num_rows:
-            ids, uids, codes, vectors = columns(have)
-            index = Index(codes)
-            for qid, quid, code, q in zip(*columns(ask, "q_"), strict=True):
-                r, bits = radius, codes.shape[1] * SUB
-                while True:
-                    near = index.within(code, r)
-                    near = near[uids[near] != quid]
-                    if len(near) >= k or r >= bits:
-                        break
-                    r = min(bits, r + max(8, bits // 16))
-                score = cosines(vectors[near], q)
-                best = np.lexsort((ids[near], -score))[:k]
-                found += [(int(quid), int(qid), int(ids[near[b]]), float(score[b])) for b in best]
-        return pa.Table.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["quid", "query_id", "vec_id", "score"])
-
-    pairs = left.groupBy("x", "y").cogroup(right.groupBy("q_x", "q_y")).applyInArrow(run, "quid long, query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    longs = T.ArrayType(T.LongType())
+    return staged(map_columns(classes.select("cid", "v"), ["v"], [("code", longs), ("subs", longs)], make).drop("v"), "codes")
+
+
+def nearest(table: DataFrame, asks: Column, k: int = 5, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row for which ``asks`` (a condition on column id) holds."""
+    rows = staged(usable(table, id_, vector), "rows")
+    classes = grouped(rows, k)
+    asked = joined_split(rows.where(asks).select("uid", "id", "key"), classes.select("key", "cid"), "key")
+    asked = staged(asked.select("uid", F.col("id").alias("query_id"), F.col("cid").alias("query")), "queries")
+    left = staged(asked.select("query").distinct(), "asked")
+    rotation, plan = planned(classes, left.count(), k)
+    coded = with_codes(classes, rotation, plan)
+    done, total = None, rows.count()
+    for _ in range(1 + ROUNDS):
+        few = coded.join(left.select(F.col("query").alias("cid")), "cid", "left_semi")
+        best = staged(reranked(staged(retrieved(coded, few, plan), "pairs"), classes, k), "nearest")
+        fine = best.where(F.size("best") >= min(k + 1, total))
+        done = fine if done is None else done.unionByName(fine)
+        left = staged(left.join(fine.select("query"), "query", "left_anti"), "left")
+        if left.isEmpty():
+            break
+        plan = plan.wider()
+    else:
+        done = done.unionByName(compared(classes, left, k))
+    own = joined_split(asked, done, "query")
+    others = F.slice(F.filter("best", lambda m: m.uid != F.col("uid")), 1, k)
+    return own.select("query_id", F.posexplode(others).alias("place", "m")).select(
+        "query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("m.id").alias("vec_id"), F.col("m.score").alias("score")
+    )
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillspark.session import ready
+from quillspark.session import ready, shared_root
 
 #: Rows of one Arrow batch. Documents can be long, and a Python worker holds two batches or so.
 BATCH_ROWS = 512
@@ -29,17 +28,15 @@ def prepared(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, notebooks) gets a folder of its own.
+    Only a session of one machine that names none (tests, notebooks) gets a folder of its own.
     """
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="quillspark-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    return shared_root(spark).rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    """A new folder's name, with its filesystem: a name without one is taken as Spark takes it, by the default filesystem."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -51,7 +48,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def _place(uri: str):
-    """(filesystem, path) of a path or URI, for Python workers."""
+    """(filesystem, path) of a path or URI, for Python workers. ``new_folder`` makes only names that tell their filesystem."""
     from pyarrow import fs
 
     if "://" not in uri:
@@ -116,6 +113,26 @@ def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.join(F.broadcast(keys), key, "left_semi").dropDuplicates([key])
 
 
+#: Rows of a key that one task joins, and keys of more rows up to which these are told apart.
+SPLIT, MANY = 20_000, 10_000
+
+
+def joined_split(rows: DataFrame, own: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``own`` (one row a key). Keys of over SPLIT rows are dealt over tasks, with a copy of their row of ``own`` in each.
+
+    If more than MANY keys are so frequent, no single one of them keeps a task busy alone, and nothing is split.
+    """
+    many = rows.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > SPLIT).select(key, F.ceil(F.col("rows") / SPLIT).cast("int").alias("copies"))
+    found = [(r[key], r["copies"]) for r in many.limit(MANY + 1).collect() if r[key] is not None]
+    if not found or len(found) > MANY:
+        return rows.join(own, key)
+    copies = F.broadcast(rows.sparkSession.createDataFrame(found, T.StructType([rows.schema[key], T.StructField("copies", T.IntegerType())])))
+    copied = lambda df: df.join(copies, key, "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    dealt = copied(rows.withColumn("copy row", F.monotonically_increasing_id())).withColumn("copy", F.pmod(F.xxhash64("copy row"), F.col("copies")).cast("int"))
+    spread = copied(own).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    return dealt.drop("copies", "copy row").join(spread.drop("copies"), [key, "copy"]).drop("copy")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of ``links``: one row (node, root) per node that has a link, root the smallest node.
 

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import components, map_columns, prepared, staged
+from quillspark.llm.common import components, joined_split, map_columns, prepared, staged
 
 #: A token is indexed singly up to this many prefixes, a combination pairwise up to this many classes.
 FEW = 64
@@ -65,8 +65,8 @@ ROWS_OUT = 50_000
 KNOWN = 150_000
 #: Rows (of two numbers or so) up to which a side is broadcast; beyond, both sides are shuffled.
 SMALL = 500_000
-#: Pairs of a node that one task joins, nodes of more, and parts in which bundles too many for a broadcast are joined.
-SPLIT, MANY, SALTS = 20_000, 10_000, 32
+#: Parts in which bundles too many for a broadcast are joined.
+SALTS = 32
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -471,7 +471,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     near = pairs
     for side in "ab":
         own = per.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("sig", "n_shingles", "bitmap")])
-        near = _joined(near, own, side)
+        near = joined_split(near, own, side)
 
     def pre() -> Callable:
         return lambda x, y, n, m: [[may_link(*v, percent) for v in zip(x, y, n, m, strict=True)]]
@@ -482,7 +482,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     per = _of_each(sets, ends, "hashes")
     for side in "ab":
-        full = _joined(full, per.select(F.col("sig").alias(f"sig_{side}"), F.col("hashes").alias(f"hashes_{side}")), f"sig_{side}")
+        full = joined_split(full, per.select(F.col("sig").alias(f"sig_{side}"), F.col("hashes").alias(f"hashes_{side}")), f"sig_{side}")
 
     def exact() -> Callable:
         view = lambda b: np.frombuffer(b, dtype=np.uint64)
@@ -492,21 +492,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.where("ok").select(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b"))
 
 
-def _joined(pairs: DataFrame, own: DataFrame, key: str) -> DataFrame:
-    """``pairs`` joined to ``own`` (one row a key); keys of over SPLIT pairs are dealt over tasks, with a copy of their row in each."""
-    many = pairs.groupBy(key).agg(F.count("*").alias("pairs")).where(F.col("pairs") > SPLIT).select(key, F.ceil(F.col("pairs") / SPLIT).cast("int").alias("copies"))
-    many = {r[key]: r["copies"] for r in many.limit(MANY + 1).collect()}
-    if not many:
-        return pairs.join(own, key)
-    if len(many) > MANY:  # so many tasks are busy with them that none need be split
-        return pairs.join(own, key)
-    copies = pairs.sparkSession.createDataFrame(list(many.items()), f"{key} {pairs.schema[key].dataType.simpleString()}, copies int")
-    with_copies = lambda df: df.join(F.broadcast(copies), key, "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    dealt = with_copies(pairs).withColumn("copy", F.pmod(F.xxhash64(*pairs.columns), F.col("copies")).cast("int")).drop("copies")
-    spread = with_copies(own).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
-    return dealt.join(spread, [key, "copy"]).drop("copy")
-
-
 def _with_bundle(members: DataFrame, bundles: DataFrame) -> DataFrame:
     """``members`` joined to ``bundles`` (one row a bundle) without gathering a bundle in one task."""
     if bundles.limit(SMALL + 1).count() <= SMALL:

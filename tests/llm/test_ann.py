@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.llm import ann as A
+from quillspark.llm import common
 from quillspark.llm.common import prepared
 
 
@@ -18,8 +19,7 @@ def brute(rows: dict[int, np.ndarray], k: int) -> dict[int, list]:
 
 
 def test_recall_and_scores(spark, monkeypatch):
-    monkeypatch.setattr(A, "BLOCK_ROWS", 700)
-    monkeypatch.setattr(A, "BLOCK_QUERIES", 20)
+    monkeypatch.setattr(common, "SPLIT", 5)
     r = np.random.default_rng(1)
     x = r.standard_normal((3000, 64))
     x[1000:1400] = x[999]  # one very common vector
@@ -39,14 +39,29 @@ def test_recall_and_scores(spark, monkeypatch):
     assert hits >= 0.97 * total
 
 
-def test_probing_retrieves_every_code_within_the_radius():
+def test_probing_retrieves_every_code_within_the_radius(spark):
     r = np.random.default_rng(2)
-    codes = r.integers(0, 1 << 16, (2000, 4), dtype=np.uint16)
-    index = A.Index(codes)
-    for radius in (0, 9, 17, 24, 33, 64):
-        for q in codes[:20] ^ np.uint16(5):
-            far = np.bitwise_count(codes ^ q).sum(1)
-            assert np.array_equal(index.within(q, radius), np.flatnonzero(far <= radius))
+    bits = r.integers(0, 2, (800, A.BITS)).astype(bool)
+    bits[400:] = bits[:400] ^ (r.random((400, A.BITS)) < r.random((400, 1)) * 0.3)
+    for plan in (A.Plan(16, 4, 0, A.BITS), A.Plan(16, 4, 1, A.BITS), A.Plan(10, 6, 2, A.BITS)):
+        rows = [(i, np.packbits(b).view(">i8").astype(np.int64).tolist(), v.tolist()) for i, (b, v) in enumerate(zip(bits, A.values(bits, plan.width, plan.count), strict=True))]
+        coded = prepared(spark).createDataFrame(rows, "cid long, code array<long>, subs array<long>")
+        got = {(x.query, x.cid) for x in A.retrieved(coded, coded.where("cid < 40"), plan).collect()}
+        whole = bits[:, : plan.width * plan.count]
+        want = {(i, int(j)) for i in range(40) for j in np.flatnonzero((whole != whole[i]).sum(1) <= plan.radius)}
+        assert want <= got and len(got) < 40 * 800 and plan.visited() < 0.7
+
+
+def test_queries_that_find_too_few_are_compared_with_all(spark, monkeypatch):
+    monkeypatch.setattr(A, "planned", lambda classes, queries, k: (np.eye(64).repeat(5, 1), A.Plan(20, 1, 0, 0)))
+    monkeypatch.setattr(A, "BLOCK_QUERIES", 3)
+    x = np.random.default_rng(3).standard_normal((400, 64))
+    df = prepared(spark).createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute(dict(enumerate(x)), 5)
+    got = {}
+    for row in A.nearest(df, F.col("id") % 50 == 0).collect():
+        got.setdefault(row.query_id, []).append((row.rank, row.vec_id, row.score))
+    assert {q: [(v, s) for _, v, s in sorted(rows)] for q, rows in got.items()} == want
 
 
 def test_odd_vectors(spark):

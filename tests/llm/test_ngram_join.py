@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from quillspark.llm import common
 from quillspark.llm import ngram_join as J
 from quillspark.llm.common import prepared
 
@@ -98,8 +99,9 @@ def test_bitmap_never_drops_a_link():
 
 @pytest.mark.parametrize(("width", "percent", "few", "wide"), [(3, 90, 4, 6), (5, 80, 4, 6), (3, 90, 64, 3)])
 def test_sets_of_long_prefixes_are_joined_by_parts(spark, monkeypatch, width, percent, few, wide):
-    for name, value in (("FEW", few), ("BLOCK", 8), ("WIDE", wide), ("SPLIT", 20), ("COUNT_AT_ONCE", 100), ("COUNTS_KEPT", 200), ("FREQUENT", 3)):
+    for name, value in (("FEW", few), ("BLOCK", 8), ("WIDE", wide), ("COUNT_AT_ONCE", 100), ("COUNTS_KEPT", 200), ("FREQUENT", 3)):
         monkeypatch.setattr(J, name, value)
+    monkeypatch.setattr(common, "SPLIT", 20)
     docs = corpus(2)
     df = prepared(spark).createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_classes(df, width, percent).collect()}
