@@ -9,10 +9,10 @@ indexed: the index is one relation, keyed by the substring's number and value. C
 that radius, and others by chance. Of what is retrieved, codes farther than ``far`` in their
 first ``BITS`` bits are dropped where they are met, and the rest is reranked by the exact cosine.
 
-``fitted`` takes number, probe and ``far`` from the sample: the cheapest that retrieve a share
-of ``RECALL`` of its true neighbours, and drop at most ``MISS`` of them. Neighbours in the whole
-table are nearer than in a sample of it. Queries that find too few are asked again with wider
-probes, and what is left after ``ROUNDS`` is compared with all rows, in blocks.
+``fitted`` takes number, probe and ``far`` from ``ASKED`` vectors of the sample and their true
+neighbours among all rows: the cheapest that retrieve a share of ``RECALL`` of these, and drop at
+most ``MISS`` of them. Queries that find too few are asked again with wider probes, and what is
+left after ``ROUNDS`` is compared with all rows, in blocks.
 
 Equal vectors are one class with the few members that can be in any result, so a vector that a
 third of all rows hold is indexed, probed and compared once.
@@ -39,11 +39,11 @@ from pyspark.sql import types as T
 from quillspark.llm.common import joined_split, map_columns, prepared, sampled, staged
 
 #: Bits by which retrieved codes are compared; least and most bits of a substring; most substrings and most bits probed.
-BITS, LEAST_SUB, MOST_SUB, MOST_COUNT, MOST_PROBE = 256, 6, 24, 48, 4
+BITS, LEAST_SUB, MOST_SUB, MOST_COUNT, MOST_PROBE = 512, 6, 24, 48, 4
 #: Rows of the sample, of them those asked; shares of neighbours to retrieve and to drop by distance.
-SAMPLE, ASKED, RECALL, MISS = 4_096, 512, 0.98, 0.01
-#: Queries (of five numbers) up to which their codes are broadcast.
-SMALL = 200_000
+SAMPLE, ASKED, RECALL, MISS = 4_096, 512, 0.985, 0.005
+#: Queries (of nine numbers) up to which their codes are broadcast, and rows of a key that one task joins.
+SMALL, SPLIT = 200_000, 20_000
 #: Turns of a learned rotation, rounds of wider probes, queries compared with all rows at a time.
 TURNS, ROUNDS, BLOCK_QUERIES = 30, 2, 1_024
 
@@ -103,28 +103,20 @@ class Plan:
         return replace(self, probe=self.probe + 1, far=min(BITS, self.far + BITS // 16))
 
 
-def fitted(sample: np.ndarray, rotation: np.ndarray, k: int, rows: int, queries: int, width: int) -> Plan:
-    """The plan that costs least for so many rows and queries."""
-    near: list[np.ndarray] = []
-    for i in range(min(len(sample), ASKED) if len(sample) > 1 else 0):
-        s = sample @ sample[i]
-        s[i] = -np.inf
-        best = np.argsort(-s)[: min(k, len(sample) - 1)]
-        near.append(np.stack([np.full(len(best), i), best], 1))
-    if not near:
+def fitted(asked: np.ndarray, near: np.ndarray, rotation: np.ndarray, rows: int, queries: int, width: int) -> Plan:
+    """The plan that costs least for so many rows and queries; ``near`` are true neighbours of the vectors ``asked`` at their places."""
+    if not len(asked):
         return Plan(width, 1, 0, BITS)
-    a, b = np.concatenate(near).T
-    bits = signs(sample, rotation)
-    differ = bits[a] != bits[b]
+    differ = signs(asked, rotation) != signs(near, rotation)
     far = int(np.quantile(differ[:, :BITS].sum(1), 1 - MISS, method="higher"))
-    apart = differ[:, : width * MOST_COUNT].reshape(len(a), MOST_COUNT, width).sum(2)
+    apart = differ[:, : width * MOST_COUNT].reshape(len(asked), MOST_COUNT, width).sum(2)
     plans = []
     for probe in range(min(MOST_PROBE, width) + 1):
         found = np.logical_or.accumulate(apart <= probe, 1).mean(0)
         enough = np.flatnonzero(found >= RECALL)
         if len(enough):
             plan = Plan(width, int(enough[0]) + 1, probe, far)
-            cost = plan.count * (rows + queries * len(masks(width, probe))) + queries * rows * plan.visited()
+            cost = plan.count * (4 * rows + queries * len(masks(width, probe))) + queries * rows * plan.visited()
             plans.append((cost, plan))
     return min(plans, key=lambda x: x[0])[1] if plans else Plan(width, MOST_COUNT, min(MOST_PROBE, width), far)
 
@@ -172,14 +164,14 @@ def retrieved(coded: DataFrame, asked: DataFrame, plan: Plan) -> DataFrame:
     return met.where(apart <= plan.far).select("query", "cid").distinct()
 
 
-_FOUND = "query long, score double, id long, uid long"
+_FOUND = "query long, score double, cid long, id long, uid long"
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """(query, best): each query's k + 1 best members of classes, itself among them perhaps; best is an array of (rank, score, id, uid)."""
+    """(query, best): each query's k + 1 best members of classes, itself among them perhaps; best is an array of (rank, score, cid, id, uid)."""
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id", "uid"))
     top = found.withColumn("rank", rank).where(F.col("rank") <= k + 1)
-    return top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "score", "id", "uid"))).alias("best"))
+    return top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "score", "cid", "id", "uid"))).alias("best"))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -190,16 +182,16 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def reranked(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """``_best`` of the pairs by the exact cosine."""
     own = classes.select(F.col("cid").alias("query"), F.col("v").alias("q"))
-    both = joined_split(joined_split(pairs, classes.select("cid", "v", "members"), "cid"), own, "query").select("query", "q", "v", "members")
+    both = joined_split(joined_split(pairs, classes.select("cid", "v", "members"), "cid", SPLIT), own, "query", SPLIT).select("query", "q", "v", "members", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 score = cosines(_matrix(b.column(2)), _matrix(b.column(1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), b.column(3)], names=["query", "score", "members"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), b.column(3), b.column(4)], names=["query", "score", "members", "cid"])
 
-    scored = both.mapInArrow(run, "query long, score double, members array<struct<id:long,uid:long>>")
-    return _best(scored.select("query", "score", F.explode("members").alias("m")).select("query", "score", "m.id", "m.uid"), k)
+    scored = both.mapInArrow(run, "query long, score double, members array<struct<id:long,uid:long>>, cid long")
+    return _best(scored.select("query", "score", "cid", F.explode("members").alias("m")).select("query", "score", "cid", "m.id", "m.uid"), k)
 
 
 def compared(classes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -217,16 +209,16 @@ def compared(classes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             for b in batches:
-                x, members = _matrix(b.column(0)), b.column(1).to_pylist()
+                x, members, cids = _matrix(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()
                 for i, one in enumerate(q):
                     score = cosines(x, one)
                     order = np.lexsort(([m[0]["id"] for m in members], -score))[: k + 1]
-                    found = [(float(score[j]), m["id"], m["uid"]) for j in order for m in members[j]]
-                    yield pa.RecordBatch.from_pydict({"query": [int(ids[i])] * len(found), "score": [f[0] for f in found], "id": [f[1] for f in found], "uid": [f[2] for f in found]})
+                    found = [(float(score[j]), cids[j], m["id"], m["uid"]) for j in order for m in members[j]]
+                    yield pa.RecordBatch.from_pydict({"query": [int(ids[i])] * len(found), **{name: [f[c] for f in found] for c, name in enumerate(("score", "cid", "id", "uid"))}})
 
-        got = staged(_best(classes.select("v", "members").mapInArrow(run, _FOUND), k), "compared")
+        got = staged(_best(classes.select("v", "members", "cid").mapInArrow(run, _FOUND), k), "compared")
         out = got if out is None else out.unionByName(got)
-    return out if out is not None else spark.createDataFrame([], "query long, best array<struct<rank:int,score:double,id:long,uid:long>>")
+    return out if out is not None else spark.createDataFrame([], "query long, best array<struct<rank:int,score:double,cid:long,id:long,uid:long>>")
 
 
 def grouped(rows: DataFrame, k: int) -> DataFrame:
@@ -238,14 +230,19 @@ def grouped(rows: DataFrame, k: int) -> DataFrame:
 
 
 def planned(classes: DataFrame, queries: int, k: int) -> tuple[np.ndarray, Plan]:
-    """The rotation and the plan, from a bounded sample."""
-    some = sampled(classes.select("key", "v"), "key", SAMPLE).orderBy("key").select("v").toArrow()["v"]
-    sample = _matrix(some) if len(some) else np.ones((1, 1))
+    """The rotation, learned on a bounded sample, and the plan, from ASKED of its vectors and their true neighbours among all rows."""
+    some = sampled(classes.select("key", "cid", "v"), "key", SAMPLE).orderBy("key").select("cid", "v").toArrow()
+    sample = _matrix(some["v"]) if some.num_rows else np.ones((1, 1))
     sample = sample / np.sqrt((sample * sample).sum(1, keepdims=True))
     n = classes.count()
     width = min(MOST_SUB, max(LEAST_SUB, round(math.log2(max(2, n)))))
     rotation = rotations(sample, max(BITS, width * MOST_COUNT))
-    return rotation, fitted(sample, rotation, k, n, queries, width)
+    place = {c: i for i, c in enumerate(some["cid"].to_pylist()[:ASKED])}
+    asked = classes.sparkSession.createDataFrame([(c,) for c in place], "query long")
+    others = compared(classes, asked, k).select("query", F.explode("best").alias("m")).select("query", "m.cid").where("cid <> query").distinct()
+    pairs = others.join(classes.select("cid", "v"), "cid").orderBy("query", "cid").select("query", "v").toArrow()
+    near = _matrix(pairs["v"]) if pairs.num_rows else np.ones((0, sample.shape[1]))
+    return rotation, fitted(sample[[place[q] for q in pairs["query"].to_pylist()]], near, rotation, n, queries, width)
 
 
 def with_codes(classes: DataFrame, rotation: np.ndarray, plan: Plan) -> DataFrame:
@@ -268,7 +265,7 @@ def nearest(table: DataFrame, asks: Column, k: int = 5, id_: str = "vec_id", vec
     """query_id, rank, vec_id, score: the k nearest found of each row for which ``asks`` (a condition on column id) holds."""
     rows = staged(usable(table, id_, vector), "rows")
     classes = grouped(rows, k)
-    asked = joined_split(rows.where(asks).select("uid", "id", "key"), classes.select("key", "cid"), "key")
+    asked = joined_split(rows.where(asks).select("uid", "id", "key"), classes.select("key", "cid"), "key", SPLIT)
     asked = staged(asked.select("uid", F.col("id").alias("query_id"), F.col("cid").alias("query")), "queries")
     left = staged(asked.select("query").distinct(), "asked")
     rotation, plan = planned(classes, left.count(), k)
@@ -285,7 +282,7 @@ def nearest(table: DataFrame, asks: Column, k: int = 5, id_: str = "vec_id", vec
         plan = plan.wider()
     else:
         done = done.unionByName(compared(classes, left, k))
-    own = joined_split(asked, done, "query")
+    own = joined_split(asked, done, "query", SPLIT)
     others = F.slice(F.filter("best", lambda m: m.uid != F.col("uid")), 1, k)
     return own.select("query_id", F.posexplode(others).alias("place", "m")).select(
         "query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("m.id").alias("vec_id"), F.col("m.score").alias("score")

@@ -117,12 +117,12 @@ def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
 SPLIT, MANY = 20_000, 10_000
 
 
-def joined_split(rows: DataFrame, own: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined to ``own`` (one row a key). Keys of over SPLIT rows are dealt over tasks, with a copy of their row of ``own`` in each.
+def joined_split(rows: DataFrame, own: DataFrame, key: str, split: int = SPLIT) -> DataFrame:
+    """``rows`` joined to ``own`` (one row a key). Keys of over ``split`` rows are dealt over tasks, with a copy of their row of ``own`` in each.
 
     If more than MANY keys are so frequent, no single one of them keeps a task busy alone, and nothing is split.
     """
-    many = rows.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > SPLIT).select(key, F.ceil(F.col("rows") / SPLIT).cast("int").alias("copies"))
+    many = rows.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > split).select(key, F.ceil(F.col("rows") / split).cast("int").alias("copies"))
     found = [(r[key], r["copies"]) for r in many.limit(MANY + 1).collect() if r[key] is not None]
     if not found or len(found) > MANY:
         return rows.join(own, key)

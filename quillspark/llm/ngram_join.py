@@ -15,8 +15,8 @@ Jaccard similarity of at least ``percent`` / 100. The join finds the classes tha
    cannot link, and then an exact count of the intersection.
 5. Combinations that many classes still hold are bundles of near copies. Their classes are
    compared with one leader first; what that joins needs no further comparison.
-6. What a bundle's leader leaves open, and sets whose prefix is over ``WIDE`` shingles (they
-   would make too many combinations), are indexed by parts instead: linked sets of a size
+6. What leaders leave open, and sets with over ``WIDE`` frequent shingles in their prefix (they
+   would make too many combinations) with all that may link with them, are indexed by parts instead: linked sets of a size
    class differ in at most h shingles, so of more than h parts, into which a hash deals all
    shingles, one agrees. A set has as many parts as a fixed share of its size. Parts are of
    shingles that are not frequent first, and of all for sets that have too few such.
@@ -55,7 +55,7 @@ FREQUENT, TOP_BITS = 24, 22
 OFTEN = 16
 #: Tokens that a task counts at a time, those whose counts it keeps, and members of a block.
 COUNT_AT_ONCE, COUNTS_KEPT, BLOCK = 500_000, 500_000, 512
-#: Shingles of the longest prefix whose frequent ones are combined; larger sets are indexed by parts.
+#: Frequent shingles of a prefix that are combined; sets with more are indexed by parts, and so is what may link with them.
 WIDE = 256
 #: Rows whose pairs a task makes at a time; a row is in less than FEW pairs.
 PAIR_AT_ONCE = 50_000
@@ -65,8 +65,8 @@ ROWS_OUT = 50_000
 KNOWN = 150_000
 #: Rows (of two numbers or so) up to which a side is broadcast; beyond, both sides are shuffled.
 SMALL = 500_000
-#: Parts in which bundles too many for a broadcast are joined.
-SALTS = 32
+#: Pairs of a class that one task joins, and parts in which bundles too many for a broadcast are joined.
+SPLIT, SALTS = 512, 32
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -253,8 +253,6 @@ def prefixes(sets: DataFrame, tokens: np.ndarray, counts: np.ndarray, percent: i
             if n < 2:  # a single shingle links with nothing but its equal
                 continue
             take = prefix_of(n, percent, k)
-            if take > WIDE:  # indexed by parts
-                continue
             late = take
             if len(tok):
                 at = np.minimum(np.searchsorted(tok, h), len(tok) - 1)
@@ -283,7 +281,7 @@ def prefix_of(n: int, percent: int, k: int = 2) -> int:
 
 
 def narrow(percent: int) -> int:
-    """The largest size of a set whose prefix is of at most WIDE shingles."""
+    """The largest size of a set whose prefix is of at most WIDE shingles: no smaller one has more frequent ones."""
     lo, hi = 1, 100 * (WIDE + 1)
     while hi - lo > 1:
         mid = (lo + hi) // 2
@@ -471,7 +469,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     near = pairs
     for side in "ab":
         own = per.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("sig", "n_shingles", "bitmap")])
-        near = joined_split(near, own, side)
+        near = joined_split(near, own, side, SPLIT)
 
     def pre() -> Callable:
         return lambda x, y, n, m: [[may_link(*v, percent) for v in zip(x, y, n, m, strict=True)]]
@@ -482,7 +480,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     per = _of_each(sets, ends, "hashes")
     for side in "ab":
-        full = joined_split(full, per.select(F.col("sig").alias(f"sig_{side}"), F.col("hashes").alias(f"hashes_{side}")), f"sig_{side}")
+        full = joined_split(full, per.select(F.col("sig").alias(f"sig_{side}"), F.col("hashes").alias(f"hashes_{side}")), f"sig_{side}", SPLIT)
 
     def exact() -> Callable:
         view = lambda b: np.frombuffer(b, dtype=np.uint64)
@@ -557,30 +555,29 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
         for_one = for_one.join(holders.select(F.col("b").alias(side)), side, "left_semi")
     rare = rare.unionByName(for_one).select("a", "b")
     two = F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> xxhash64(x, y))))")
-    lists = common.groupBy(F.col("b").alias("node"), "n").agg(F.sort_array(F.collect_set("a")).alias("t")).where(F.size("t") > 1)  # WIDE at most
-    combos = staged(lists.select(F.explode(two).alias("key"), "node", "n"), "combinations")
+    lists = common.groupBy(F.col("b").alias("node"), "n").agg(F.sort_array(F.collect_set("a")).alias("t")).where(F.size("t") > 1)
+    lists = staged(lists, "frequent")
+    narrow_ = F.size("t") <= WIDE
+    combos = staged(lists.where(narrow_).select(F.explode(two).alias("key"), "node", "n"), "combinations")
     cold, hot = _by_heat(combos)
     pairs = rare.unionByName(_pairs(cold, "key", percent)).distinct()
     links = staged(verified(staged(pairs, "pairs"), sets, percent), "links")
 
-    members = None
+    by_parts = members = None
     if not hot.isEmpty():
-        links, members = _led(hot, links, sets, percent, False)
-    least = percent * (narrow(percent) + 1)  # also the largest of the others, which may link with these
-    wide = F.col("n_shingles") * 100 >= least
-    chosen = sets.where(wide)
-    if members is not None and not members.isEmpty():
-        nodes = members.select("node").distinct()
-        few = nodes.limit(SMALL + 1).count() <= SMALL
-        chosen = chosen.unionByName(sets.where(~wide).join(F.broadcast(nodes) if few else nodes, "node", "left_semi"))
-    index = staged(parts(chosen, tokens, percent).distinct(), "parts")
-    if index.isEmpty():
+        links, members = _led(hot, links, sets, percent)
+        by_parts = members.select("node")
+    if not lists.where(~narrow_).isEmpty():
+        large = lists.where(F.col("n") * 100 >= percent * (narrow(percent) + 1)).select("node")  # and whatever may link with those
+        by_parts = large if by_parts is None else by_parts.unionByName(large)
+    if by_parts is None or by_parts.isEmpty():
         return components(links)
+    index = staged(parts(_of_each(sets, staged(by_parts.distinct(), "by-parts"), "hashes"), tokens, percent), "parts")
     cold, hot = _by_heat(index)
     pairs = _pairs(cold, "key", percent).distinct()
     links = staged(links.unionByName(verified(staged(pairs, "pairs"), sets, percent)).distinct(), "links")
     if not hot.isEmpty():
-        links, members = _led(hot, links, sets, percent, True)
+        links, members = _led(hot, links, sets, percent)
         links = links.unionByName(staged(_block_links(members.drop("node"), percent), "block-links"))
     return components(links)
 
@@ -595,16 +592,16 @@ def _by_heat(index: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cold, staged(index.select("key", "node").join(F.broadcast(hot) if few else hot, "key"), "hot")
 
 
-def _led(hot: DataFrame, links: DataFrame, sets: DataFrame, percent: int, each_key: bool) -> tuple[DataFrame, DataFrame]:
-    """(links, open members): ``links`` with those of bundles' members to leaders, and the members (sig, node, bundle,
-    root, n_shingles, bitmap, hashes) of bundles that are not yet of one component. A key's first class leads, or a bundle's with most keys."""
+def _led(hot: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, open members): ``links`` with those of classes to leaders, and the members (sig, node, bundle, root,
+    n_shingles, bitmap, hashes) of bundles that are not yet of one component. A class has two leaders at most: that of
+    its bundle, which has the most keys, and the one that is first in most of its own keys."""
     bundles = components(hot.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("root", "bundle")
-    members = staged(hot.groupBy("node").agg(F.count("*").alias("keys")).join(bundles, "node"), "members")
-    if each_key:
-        to_leader = hot.select("node", F.col("first").alias("leader")).distinct().where("node <> leader")
-    else:
-        leaders = members.groupBy("bundle").agg(F.max_by("node", F.struct("keys", "node")).alias("leader"))
-        to_leader = _with_bundle(members.withColumnRenamed("node", "sig"), leaders).withColumnRenamed("sig", "node").where("node <> leader")
+    per = hot.groupBy("node", "first").agg(F.count("*").alias("keys")).groupBy("node").agg(F.sum("keys").alias("keys"), F.max_by("first", F.struct("keys", "first")).alias("own"))
+    members = staged(per.join(bundles, "node"), "members")
+    leaders = members.groupBy("bundle").agg(F.max_by("node", F.struct("keys", "node")).alias("leader"))
+    to_leader = _with_bundle(members.withColumnRenamed("node", "sig"), leaders).withColumnRenamed("sig", "node")
+    to_leader = to_leader.select("node", F.explode(F.array("leader", "own")).alias("leader")).where("node <> leader")
     to_leader = to_leader.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     links = staged(links.unionByName(verified(staged(to_leader, "leaders"), sets, percent)).distinct(), "links")
     joined = staged(components(links), "joined")

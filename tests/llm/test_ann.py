@@ -4,7 +4,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.llm import ann as A
-from quillspark.llm import common
 from quillspark.llm.common import prepared
 
 
@@ -19,7 +18,7 @@ def brute(rows: dict[int, np.ndarray], k: int) -> dict[int, list]:
 
 
 def test_recall_and_scores(spark, monkeypatch):
-    monkeypatch.setattr(common, "SPLIT", 5)
+    monkeypatch.setattr(A, "SPLIT", 5)
     r = np.random.default_rng(1)
     x = r.standard_normal((3000, 64))
     x[1000:1400] = x[999]  # one very common vector
@@ -53,7 +52,7 @@ def test_probing_retrieves_every_code_within_the_radius(spark):
 
 
 def test_queries_that_find_too_few_are_compared_with_all(spark, monkeypatch):
-    monkeypatch.setattr(A, "planned", lambda classes, queries, k: (np.eye(64).repeat(5, 1), A.Plan(20, 1, 0, 0)))
+    monkeypatch.setattr(A, "planned", lambda classes, queries, k: (np.eye(64).repeat(8, 1), A.Plan(20, 1, 0, 0)))
     monkeypatch.setattr(A, "BLOCK_QUERIES", 3)
     x = np.random.default_rng(3).standard_normal((400, 64))
     df = prepared(spark).createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
