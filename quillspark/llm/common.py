@@ -16,7 +16,7 @@ from quillspark.session import ready, shared_root
 #: Rows of one Arrow batch. Documents can be long, and a Python worker holds two batches or so.
 BATCH_ROWS = 512
 #: Bytes of a row group of a staged table; a writer holds one in memory.
-ROW_GROUP = 32 << 20
+ROW_GROUP = 8 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:

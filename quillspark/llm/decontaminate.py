@@ -6,17 +6,20 @@ A document holds an item if a stretch of its words is within ``percent`` / 100 o
 words in edit distance (insertions, deletions, replacements). It is found in three steps:
 
 1. A window within k edits of an item of n words keeps at least n - q + 1 - q * k of its word
-   q-grams. Only stretches that keep so many are windows worth embedding; no other can match.
-2. Item-sized windows from every start in such a stretch, and the items, go through the CGK
-   random walk: step t emits the word under the pointer, and a random bit for (t, word) says
-   whether the pointer moves on. Edit distance becomes Hamming distance. Several walks, and
-   of each several samples of places (bands), are compared with the item's: LSH by repeated
-   bit sampling, with enough repetitions for the target recall (``tests`` measure it).
-3. Windows that agree in a band are verified by the exact edit distance of the item to the
-   best stretch of words around them.
-
-Items are taken in blocks of at most ``WORDS_AT_ONCE`` words, so what travels to the tasks has
-a fixed bound; documents are read once a block and never shuffled.
+   q-grams. Only stretches that keep so many of some item are windows worth embedding: none
+   that matches is lost, and what is embedded is a small part of a text.
+2. Item-sized windows from every start in such a stretch go through the CGK random walk, as the
+   items did: step t emits the word under the pointer, and a random bit for (t, word) says
+   whether the pointer moves on. Edit distance becomes Hamming distance. Of each of several
+   walks, several samples of places are band keys: (words of the item, walk, band, what stands
+   at the places). Items are indexed by their band keys, and windows meet them there: LSH by
+   bit sampling, repeated as often as the target recall asks for (``tests`` measure it).
+3. Items that a window meets are verified by the exact edit distance of the item to the best
+   stretch of words around.
+
+Items are taken in blocks of at most ``WORDS_AT_ONCE`` words. One block is usual. Of more, each
+has a pass over the documents of its own, whose few matches are written before the next, so
+one block at a time is held; documents are never shuffled but for the rows that match.
 
 Defined results: a null or empty text holds nothing; items that are null or have no
 word take no part; items of under five words match exactly; of an item's matches in a text the
@@ -38,9 +41,9 @@ from quillspark.llm.common import map_columns, prepared, staged
 
 PERCENT, WORDS_AT_ONCE = 20, 1_000_000
 #: Walks, bands a walk, places a band, steps a word of the item.
-WALKS, BANDS, PLACES, STEPS = 6, 16, 2, 2
-#: Tokens that a worker remembers.
-KNOWN = 150_000
+WALKS, BANDS, PLACES, STEPS = 6, 16, 3, 2
+#: Tokens that a worker remembers, and windows embedded at a time.
+KNOWN, WINDOWS = 150_000, 16_384
 #: Fixed value: letters of scripts without blanks between words (Thai, Lao, Burmese, Khmer, Japanese, Chinese).
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003fffd"
 _WORD = re.compile(rf"[^\W_{UNSPACED}]+|(?![\W_])[{UNSPACED}]")
@@ -82,11 +85,16 @@ def places(n: int) -> np.ndarray:
     return np.random.default_rng(1_000 + n).integers(0, STEPS * n, (WALKS, BANDS, PLACES))
 
 
-def bands_agree(rows: np.ndarray, item: np.ndarray, walk: int) -> np.ndarray:
-    """Which windows agree with the item in a whole band of a walk."""
-    out = embedded(np.concatenate([item[None], rows]), walk)
-    at = places(len(item))[walk]
-    return (out[1:, at] == out[0, at]).all(2).any(1)
+def band_keys(rows: np.ndarray, walk: int) -> np.ndarray:
+    """Keys of a walk's bands (windows x bands) of equally long windows of word codes."""
+    n = rows.shape[1]
+    out = embedded(rows, walk)
+    with np.errstate(over="ignore"):
+        key = np.tile((np.uint64(n * 64 + walk) * np.uint64(1 << 10) + np.arange(BANDS, dtype=np.uint64)), (len(rows), 1))
+        for at in places(n)[walk].T:
+            key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + out[:, at].astype(np.uint64)
+            key = (key ^ (key >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return key
 
 
 def nearest(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
@@ -138,6 +146,32 @@ class Items:
             self.seeds[q] = (keys[order], own[order])
         self.n, self.k, self.r = (np.array(x, np.int64) for x in ([len(w) for w in self.words], self.edits, self.need))
         self.qs = np.array(self.q, np.int64)
+        self.bands = [self.indexed(walk) for walk in range(WALKS)]
+
+    def indexed(self, walk: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted band keys of a walk, the items that have them)."""
+        keys, own = [], []
+        for n in np.unique(self.n) if len(self.n) else ():
+            at = np.flatnonzero(self.n == n)
+            for i in range(0, len(at), 1_024):
+                k = band_keys(np.stack([self.words[j] for j in at[i : i + 1_024]]), walk)
+                keys.append(k.ravel())
+                own.append(np.repeat(at[i : i + 1_024], BANDS))
+        keys, own = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, own))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], own[order]
+
+    def met(self, rows: np.ndarray, walk: int) -> list[tuple[int, int]]:
+        """Distinct (item, window) that have a band key of a walk in common."""
+        keys, own = self.bands[walk]
+        k = band_keys(rows, walk)
+        lo, hi = np.searchsorted(keys, k.ravel(), "left"), np.searchsorted(keys, k.ravel(), "right")
+        size = hi - lo
+        if not size.any():
+            return []
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        pairs = np.stack([own[at], np.repeat(np.repeat(np.arange(len(rows)), BANDS), size)], 1)
+        return [(int(i), int(j)) for i, j in np.unique(pairs, axis=0)]
 
     def grams(self, codes: np.ndarray, q: int) -> np.ndarray:
         """q-grams as integers; -1 where a word is in no item."""
@@ -201,35 +235,42 @@ class Items:
             got = [self.code.get(x.lower(), 0) for x in _WORD.findall(text)]
         return np.array(got, np.int64)
 
+    def search(self, codes: np.ndarray, n: int, at: np.ndarray, spans_of: dict, best: dict) -> None:
+        """Put into ``best`` the nearest match of each item of n words that a window from a place of ``at`` meets."""
+        padded = np.concatenate([codes, np.full(n, _NONE, np.int64)])
+        tried: set[tuple[int, int]] = set()
+        for walk in range(WALKS):
+            for i in range(0, len(at), WINDOWS):
+                some = at[i : i + WINDOWS]
+                for it, j in self.met(padded[some[:, None] + np.arange(n)], walk):
+                    place, k = int(some[j]), int(self.k[it])
+                    # the whole stretch that has the window: the nearest match in it is wanted
+                    first, last = next((x for x in spans_of.get(it, ()) if x[0] <= place <= x[1]), (place, place))
+                    if (it, first) in tried or it in best and not best[it][0] and best[it][1] <= first:
+                        continue
+                    tried.add((it, first))
+                    lo, hi = max(0, first - k), min(len(codes), last + n + k)
+                    d, b, e = nearest(self.words[it], codes[lo:hi])
+                    if d <= k and (it not in best or (d, lo + b) < best[it][:2]):
+                        best[it] = (d, lo + b, lo + e)
+
     def found(self, text: str | None) -> list[dict]:
         """The items that ``text`` holds, each with its nearest stretch (places are characters of the text)."""
         if not text or not self.ids:
             return []
         codes = self.codes(text)
         best: dict[int, tuple[int, int, int]] = {}
+        spans_of: dict[int, list[tuple[int, int]]] = {}
+        starts: dict[int, list[np.ndarray]] = {}
         for it, first, last in self.stretches(codes):
-            n, k = int(self.n[it]), int(self.k[it])
-            if it in best and not best[it][0]:
-                continue  # stretches come in order: the first exact match stands
-            if not k and n == self.q[it]:  # the seed is the whole item
-                best[it] = (0, first, first + n)
+            n = int(self.n[it])
+            if not self.k[it] and n == self.q[it]:  # the seed is the whole item
+                best.setdefault(it, (0, first, first + n))
                 continue
-            padded = np.concatenate([codes[first : last + n], np.full(max(0, last + n - len(codes)), _NONE, np.int64)])
-            rows = np.lib.stride_tricks.sliding_window_view(padded, n)
-            tried = None
-            for walk in range(WALKS):  # a verified match needs no further walk
-                hit = np.flatnonzero(bands_agree(rows, self.words[it], walk))
-                if not len(hit):
-                    continue
-                lo, hi = max(0, first + int(hit[0]) - k), min(len(codes), first + int(hit[-1]) + n + k)
-                if tried and tried[0] <= lo and hi <= tried[1]:
-                    continue
-                tried = (lo, hi)
-                d, b, e = nearest(self.words[it], codes[lo:hi])
-                if d <= k:
-                    if it not in best or (d, lo + b) < best[it][:2]:
-                        best[it] = (d, lo + b, lo + e)
-                    break
+            spans_of.setdefault(it, []).append((first, last))
+            starts.setdefault(n, []).append(np.arange(first, last + 1))
+        for n, lists in starts.items():
+            self.search(codes, n, np.unique(np.concatenate(lists)), spans_of, best)
         if not best:
             return []
         spans = [m.span() for m in _WORD.finditer(text)]
@@ -251,20 +292,29 @@ def blocks(benchmark: DataFrame) -> list[DataFrame]:
 
 def matched(docs: DataFrame, benchmark: DataFrame, out: str = "held", percent: int = PERCENT) -> DataFrame:
     """Append ``out``: the benchmark items that each text holds, as an array of (item_id, begin, end, distance, words)."""
-    parts = []
-    for i, block in enumerate(blocks(benchmark)):
-        rows = sorted((r["item_id"], r["text"]) for r in block.collect())
-        shared = docs.sparkSession.sparkContext.broadcast(rows)
-
-        def make(shared=shared) -> Callable:
-            items = Items(shared.value, percent)
-            return lambda texts: [[items.found(t) for t in texts]]
-
-        name = f"{out} {i}"
-        docs = map_columns(docs, ["text"], [(name, SPAN)], make)
-        parts.append(name)
-    both = F.concat(*[F.col(f"`{p}`") for p in parts])
-    return docs.drop(out).withColumn(out, both).drop(*parts)
+    parts = blocks(benchmark)
+    if len(parts) == 1:
+        return _held(docs, parts[0], out, percent)
+    docs = staged(docs.withColumn("matched row", F.monotonically_increasing_id()), "documents")
+    found = None
+    for block in parts:
+        rows = _held(docs.select("matched row", "text"), block, "h", percent).where(F.size("h") > 0).select("matched row", "h")
+        rows = staged(rows, "matched")
+        found = rows if found is None else found.unionByName(rows)
+    found = found.groupBy("matched row").agg(F.array_sort(F.flatten(F.collect_list("h"))).alias(out))
+    rest = docs.drop(out).join(found, "matched row", "left")
+    return rest.withColumn(out, F.coalesce(out, F.array().cast(SPAN))).drop("matched row")
+
+
+def _held(docs: DataFrame, block: DataFrame, out: str, percent: int) -> DataFrame:
+    rows = sorted((r["item_id"], r["text"]) for r in block.collect())  # bounded by WORDS_AT_ONCE
+    shared = docs.sparkSession.sparkContext.broadcast(rows)
+
+    def make() -> Callable:
+        items = Items(shared.value, percent)
+        return lambda texts: [[items.found(t) for t in texts]]
+
+    return map_columns(docs, ["text"], [(out, SPAN)], make)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

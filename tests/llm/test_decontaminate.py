@@ -107,3 +107,37 @@ def test_odd_rows(spark):
     assert D.clean(df, bench).columns == df.columns
     assert D.matched(df.limit(0), bench).count() == 0
     assert D.clean(df, bench.limit(0)).count() == 4
+
+
+def test_windows_meet_items_by_band_keys():
+    r = random.Random(12)
+    items = [[f"w{r.randrange(500)}" for _ in range(20)] for _ in range(40)]
+    found = D.Items([(i, " ".join(w)) for i, w in enumerate(items)])
+    near = [edited(r, w, 2) for w in items]
+    near = [(w + ["zz"] * 20)[:20] for w in near]
+    rows = np.array([[found.code.get(x, 0) for x in w] for w in near], np.int64)
+    met = {p for walk in range(D.WALKS) for p in found.met(rows, walk)}
+    assert sum((i, i) in met for i in range(40)) >= 38 and len(met) < 40 * 40 / 4
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    r = random.Random(14)
+    items = [(i, " ".join(f"w{r.randrange(3000)}" for _ in range(12))) for i in range(30)]
+    docs = [(d, f"before {items[d % 30][1]} between {items[(d * 7) % 30][1]} after", "x") for d in range(60)] + [(60, None, "x"), (61, "nothing", "x"), (61, "nothing", "x")]
+    df = prepared(spark).createDataFrame(docs, "doc_id long, text string, held string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted((r.doc_id, str(r.held)) for r in D.matched(df, bench).collect())
+    monkeypatch.setattr(D, "WORDS_AT_ONCE", 100)
+    assert len(D.blocks(bench)) > 3
+    several = D.matched(df, bench)
+    assert several.columns == ["doc_id", "text", "held"] and sorted((r.doc_id, str(r.held)) for r in several.collect()) == one
+    assert {r.doc_id for r in D.clean(df, bench).collect()} == {60, 61} and D.clean(df, bench).count() == 3
+
+
+def test_the_nearest_match_of_a_stretch_is_given():
+    r = random.Random(15)
+    for _ in range(40):
+        item = [f"w{r.randrange(3000)}" for _ in range(20)]
+        text = [*edited(r, item, 3), *edited(r, item, 1), *edited(r, item, 4)]
+        (one,) = D.Items([(1, " ".join(item))]).found(" ".join(text))
+        assert one["distance"] == D.nearest(np.array([hash(w) for w in item]), np.array([hash(w) for w in text]))[0]
