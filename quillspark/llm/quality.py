@@ -5,29 +5,35 @@ run over each chunk, each filter's greatest response in a chunk is kept, and mea
 and minimum of these over the chunks of a document make one probability by a small dense
 head. The minimum shows chunks in which few filters find anything: one word again and again.
 
-The network is fitted on the driver from a bounded sample of labelled rows (``PER_CLASS``
-rows a class, ``FIT_CHUNKS`` chunks spread evenly over each text); scoring reads every byte.
+The network is fitted on the driver from a bounded sample of labelled rows (``PER_CLASS`` rows
+a class and ``FIT_BYTES`` of text in all, whole texts, in hash order of doc_id); scoring reads
+every byte. Scores do not depend on what is scored beside: vectors and filters are rounded to
+integers so small that every sum of their products is exact, in whatever order it is taken.
 
 Defined results: a null or empty text is one chunk of padding and gets a score like any other;
 a text of any length is scored whole; equal texts get equal scores; without labels of both
 classes every score is the share of label 1 (1.0 without any label); rows with a null label or
-null doc_id teach nothing; of several labels of one doc_id the smallest counts.
+null doc_id teach nothing; of several labels of one doc_id the smallest counts, and of several
+texts of one doc_id that of the least hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import zip_longest
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import map_columns, prepared
+from quillspark.llm.common import map_columns, prepared, staged
 
-#: Labelled rows of each class that the fit sees, and chunks of each of their texts.
-PER_CLASS, FIT_CHUNKS = 1200, 16
+#: The sample of the fit: labelled rows of each class, and bytes of their texts in all.
+PER_CLASS, FIT_BYTES = 1200, 32 << 20
+#: Largest integers of a symbol's vector and of a filter: WIDTH * DIM products of them add up to less than 2**24.
+TOP_EMB, TOP_KER = 255, 1023
 #: Bytes of a chunk and from one chunk's start to the next.
 CHUNK, STEP = 512, 448
 #: Size of a byte's vector, bytes under a filter, from one place of a filter to the next, filters, hidden units.
@@ -55,6 +61,7 @@ class Network:
     w2: np.ndarray
     b2: np.ndarray
     shift: float = 0.0
+    scale: float = 1.0
 
     @staticmethod
     def fresh(seed: int = 7) -> Network:
@@ -76,20 +83,31 @@ class Network:
         view = np.lib.stride_tricks.as_strided(e, (len(x), places, WIDTH * DIM), (s[0], s[1] * HOP, s[2]))
         return np.ascontiguousarray(view)
 
+    def rounded(self) -> Network:
+        """The network on integers: what its filters see and weigh is rounded, and their scale goes into the head."""
+        e, k = TOP_EMB / np.abs(self.emb).max(), TOP_KER / np.abs(self.ker).max()
+        net = replace(self, emb=np.round(self.emb * e).astype(np.float32), ker=np.round(self.ker * k).astype(np.float32))
+        net.scale = float(e * k)
+        net.bias = np.round(self.bias * net.scale).astype(np.int64)
+        net.w1, net.b1, net.w2, net.b2 = (w.astype(np.float64) for w in (self.w1, self.b1, self.w2, self.b2))
+        return net
+
     def pooled(self, x: np.ndarray, block: int = 48) -> np.ndarray:
-        """Greatest response of each filter in each chunk."""
+        """Greatest response of each filter in each chunk, an integer."""
         out = np.empty((len(x), FILTERS), np.float32)
         for i in range(0, len(x), block):
             w = self.windows(x[i : i + block])
             h = w.reshape(-1, WIDTH * DIM) @ self.ker
             out[i : i + block] = h.reshape(w.shape[0], w.shape[1], FILTERS).max(1)
-        return np.maximum(out + self.bias, 0)
+        return np.maximum(out.astype(np.int64) + self.bias, 0)
 
     def head(self, v: np.ndarray) -> np.ndarray:
-        z = np.maximum(v @ self.w1 + self.b1, 0) @ self.w2 + self.b2[0]
-        return z
+        """One number a row; products are added row by row, so no other row counts."""
+        hidden = np.maximum((v[:, :, None] * self.w1[None]).sum(1) + self.b1, 0)
+        return (hidden * self.w2).sum(1) + self.b2[0]
 
     def scores(self, texts: list) -> list[float]:
+        """Scores of a rounded network."""
         parts, sizes = [], []
         for t in texts:
             c = chunks((t or "").encode("utf-8", "replace"))
@@ -103,9 +121,9 @@ class Network:
                 to += 1
             p = np.concatenate([self.pooled(c) for c in parts[at:to]]) if n > 4096 else self.pooled(np.concatenate(parts[at:to]))
             starts = np.cumsum([0, *sizes[at : to - 1]])
-            mean = np.add.reduceat(p, starts) / np.array(sizes[at:to], np.float32)[:, None]
-            z = self.head(np.concatenate([mean, np.maximum.reduceat(p, starts), np.minimum.reduceat(p, starts)], 1)).astype(np.float64) + self.shift
-            out += (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
+            mean = np.add.reduceat(p, starts) / np.array(sizes[at:to], np.float64)[:, None]
+            v = np.concatenate([mean, np.maximum.reduceat(p, starts), np.minimum.reduceat(p, starts)], 1) / self.scale
+            out += (1 / (1 + np.exp(-np.clip(self.head(v) + self.shift, -30, 30)))).tolist()
             at = to
         return out
 
@@ -164,11 +182,11 @@ def fitted(samples: list[tuple[np.ndarray, int]], share: float, seed: int = 7) -
                 ws[j] -= (rate * (m1[j] / (1 - 0.9**step)) / (np.sqrt(m2[j] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
     level = min(max(share, 1e-3), 1 - 1e-3)
     net.shift = float(np.log(level / (1 - level)))
-    return net
+    return net.rounded()
 
 
 def taught(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Network | float:
-    """Fit on labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most ``per_class`` of each class."""
+    """Fit on labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most ``per_class`` of each class and FIT_BYTES of text."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
         .groupBy("doc_id")
@@ -182,22 +200,20 @@ def taught(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class
     for y in sorted(count):
         own = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         some = own if some is None else some.unionByName(own)
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-
-    def make() -> Callable:
-        def work(values: list) -> list:
-            out = []
-            for t in values:
-                c = chunks((t or "").encode("utf-8", "replace"))
-                keep = np.unique(np.linspace(0, len(c) - 1, FIT_CHUNKS).round().astype(int)) if len(c) > FIT_CHUNKS else slice(None)
-                out.append(np.ascontiguousarray(c[keep]).astype("<i2").tobytes())
-            return [out]
-
-        return work
-
-    got = map_columns(texts, ["text"], [("part", T.BinaryType())], make).select("doc_id", "y", "part").collect()
-    rows = sorted((r["doc_id"], r["y"], bytes(r["part"])) for r in got)[: 4 * per_class]
-    return fitted([(np.frombuffer(p, dtype="<i2").reshape(-1, CHUNK).copy(), y) for _, y, p in rows], share)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    texts = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    texts = staged(texts.withColumn("size", F.octet_length("text")), "labelled")
+    picked, size, left = [], 0, {y: [] for y in count}
+    for r in texts.select("doc_id", "y", "size", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect():
+        left[r["y"]].append((r["doc_id"], r["size"]))
+    for rows in zip_longest(*left.values()):  # classes in turn, so that the bound falls on both alike
+        for r in rows:
+            if r and size + r[1] <= FIT_BYTES:
+                size += r[1]
+                picked.append(r[0])
+    got = texts.where(F.col("doc_id").isin(picked)).select("doc_id", "y", "text").collect() if picked else []
+    rows = sorted((r["doc_id"], r["y"], r["text"]) for r in got)
+    return fitted([(chunks(t.encode("utf-8", "replace")), y) for _, y, t in rows], share)
 
 
 def score(docs: DataFrame, model: Network | float, text: str = "text") -> DataFrame:

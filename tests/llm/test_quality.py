@@ -59,3 +59,26 @@ def test_odd_tables(spark):
     s = [r.score for r in Q.score(df, net).collect()]
     assert s[0] == s[1] and s[2] == s[3]
     assert Q.score(df.limit(0), net).count() == 0
+
+
+def test_a_score_does_not_depend_on_the_batch():
+    r = random.Random(9)
+    net = Q.Network.fresh().rounded()
+    texts = [good(r) * r.choice([1, 1, 20]) if i % 2 else bad(r) for i in range(300)]
+    whole = net.scores(texts)
+    assert whole == [net.scores([t])[0] for t in texts] and whole == net.scores(texts[::-1])[::-1]
+    assert len(set(whole)) > 250
+
+
+def test_whole_texts_teach_and_repeated_doc_ids_count_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q, "fitted", lambda samples, share: seen.append(samples) or share)
+    docs = [(i, "x" * 20_000 + str(i)) for i in range(40)] + [(1, "again")] * 500
+    df = prepared(spark).createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    Q.taught(df, labels)
+    taught = sum(__import__("zlib").crc32(str(i).encode()) % 5 != 0 for i in range(40))
+    assert len(seen[0]) == taught and sorted({len(c) for c, _ in seen[0]})[-1] == len(Q.chunks(b"x" * 20_002))
+    monkeypatch.setattr(Q, "FIT_BYTES", 100_000)
+    Q.taught(df, labels)
+    assert 4 <= len(seen[1]) <= 6 and {y for _, y in seen[1]} == {0, 1}
