@@ -25,8 +25,8 @@ from quillspark.llm.common import prepared, staged
 SHARDS, ROUNDS, LAW = 16, 16, "rows"
 #: Parts of the order in which requests of one shard are granted: by group, then by member.
 GROUP_PARTS, MEMBER_PARTS = 256, 1024
-#: Rows of one window when ranks are taken, on average, and rows up to which a side is broadcast.
-RANK_ROWS, SMALL = 20_000, 500_000
+#: Rows of one window when ranks are taken, on average, and bytes up to which a side is broadcast.
+RANK_ROWS, SMALL_BYTES = 20_000, 16 << 20
 
 
 def quotas(rows: int, shards: int) -> list[int]:
@@ -34,16 +34,19 @@ def quotas(rows: int, shards: int) -> list[int]:
 
 
 def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+    """``df``, of numbers alone, to be broadcast if its rows are few enough, else as it is."""
+    rows = SMALL_BYTES // (8 * (len(df.columns) + 2))
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def ranked(df: DataFrame, rows: int, id_: str, out: str, *by: str) -> DataFrame:
     """Append a gapless rank from 0 within each ``by``, in two levels: offsets of hash parts, then places in a part.
 
-    ``id_`` is unique; no window holds more rows than one part of one ``by``.
+    ``id_`` is unique; no window holds more rows than one part of one ``by``. Parts are cut by a hash of
+    their own for each ``out``: ``by`` may stem from ranks taken before.
     """
     parts = max(16, -(-rows // RANK_ROWS))
-    dealt = df.withColumn("rank part", F.pmod(F.xxhash64(id_), F.lit(parts)))
+    dealt = df.withColumn("rank part", F.pmod(F.xxhash64(F.lit(out), id_), F.lit(parts)))
     keys = [*by, "rank part"]
     counts = dealt.groupBy(*keys).agg(F.count("*").alias("n"))
     before = Window.partitionBy(*by).orderBy("rank part").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,10 +123,13 @@ def _by_rank(rank: str, sizes: list[int]) -> str:
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; equal texts are linked."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; equal texts are linked.
+
+    Texts of one hash of 64 bits count as equal: a collision would link two groups, and change no size, slot or law.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     raw = text.cast("binary")
-    own = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.sha2(raw, 256).alias("group"))
+    own = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("group"))
     own = staged(own.withColumn("node", F.monotonically_increasing_id()), "rows")
     n = own.count()
     limits = quotas(n, shards)

@@ -54,3 +54,28 @@ def test_nodes_of_several_groups(spark):
     got = {r.node: r.shard for r in S.propagated(links, [120, 120]).collect()}
     assert len(got) == 200 and max(Counter(got.values()).values()) <= 120
     assert sum(len({got[i] for i in range(g, 200, 10)}) > 1 for g in range(10)) <= 4
+
+
+def test_cut_groups_against_hashing_and_even_slots(spark):
+    """Brute force over the links: how many pairs of equal neighbours (in doc_id order) of a group part, by label propagation and by hash."""
+    docs = [(i, f"text {i}") for i in range(2_000)] + [(10_000 + i, f"group {i % 400}") for i in range(2_400)]
+    df = prepared(spark).createDataFrame(docs, "doc_id long, text string").repartition(6)
+    rows = rows_of(S.sharded(df))
+    holds(rows, len(docs), 16)
+    text, groups = dict(docs), defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        groups[text[r["doc_id"]]].append(r)
+    pairs = [(a, b) for g in groups.values() for a, b in zip(g, g[1:])]  # noqa: B905
+    cut = sum(a["shard"] != b["shard"] for a, b in pairs)
+    by_hash = sum(zlib.crc32(str(a["doc_id"]).encode()) % 16 != zlib.crc32(str(b["doc_id"]).encode()) % 16 for a, b in pairs)
+    assert cut <= 0.1 * by_hash
+
+
+def test_ranks_are_dealt_evenly_within_shards(spark):
+    df = prepared(spark).range(40_000).withColumnRenamed("id", "node")
+    ranks = S.ranked(df, 40_000, "node", "rank").withColumn("shard", (F.col("rank") / 2_500).cast("int"))
+    part = F.pmod(F.xxhash64(F.lit("slot"), "node"), F.lit(16))
+    sizes = [r["count"] for r in ranks.groupBy("shard", part.alias("p")).count().collect()]
+    assert len(sizes) == 256 and max(sizes) < 260
+    slots = S.ranked(ranks, 40_000, "node", "slot", "shard").groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert {(r.n, r.d, r.m) for r in slots} == {(2_500, 2_500, 2_499)}
