@@ -1,13 +1,17 @@
 """Main text of web pages by two passes of block rules.
 
 A page is read tag by tag into blocks: what stands between two block-level tags. The first pass
-decides blocks by themselves. Bad are blocks in menus, headers, footers, sidebars, forms and
-the like (by tag, or by the words of class and id), and blocks that are mostly links. Good are
-long blocks of few links with enough stop words, or very long ones. All others, mostly short,
-stay open. The second pass gives these the label of the nearest decided block, first within
-the same article; a heading looks ahead before it looks back; an article or main element in
-which nothing is decided is good as a whole, and so are, on a page without a good block and
-without open ones in an article, all open blocks.
+decides blocks by themselves. Bad are blocks in menus, footers, sidebars, forms and the like by
+their tags, and blocks that are mostly links. Good are long blocks of few links with enough stop
+words, and very long ones with a few, or with sentences. All others, mostly short, stay open.
+
+Names of classes only tilt: an element so named as if it were no part of the text is bad with
+all in it, unless it holds ``MOST`` of the page's good text; then it is around the text.
+
+The second pass gives open blocks the label of the nearest decided block, first within the same
+article; a heading looks ahead before it looks back; an article or main element in which nothing
+is decided is good as a whole, and so are, on a page without a good block and without open ones
+in an article, all open blocks.
 
 Text of a block has its character references decoded and its white space made single; blocks
 are joined by one space in page order. Nothing else is dropped or cut.
@@ -31,6 +35,8 @@ from quillspark.llm.common import map_columns, prepared
 
 #: Length of a long block and of one that needs few stop words, share of stop words, shares of linked characters.
 LONG, VERY_LONG, STOP_SHARE, STOP_SHARE_LOW, LINKS_BAD, LINKS_GOOD = 70, 200, 0.2, 0.05, 0.5, 0.25
+#: Ends of sentences in a very long block that make it text in any language, and the share of good text that no box beside the text has.
+SENTENCES, MOST = 2, 0.8
 
 # Common words of four languages, and HTML element names.
 STOP_WORDS = frozenset(
@@ -57,68 +63,148 @@ BAD_TAGS = frozenset("nav aside footer form menu button select option fieldset d
 RAW_TAGS = frozenset("script style textarea title xmp noembed noframes".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN_TAGS = frozenset(("article", "main"))
+#: Start tags that end an open element of the same kind, and the elements beyond which they do not look.
+SIBLINGS = {
+    **dict.fromkeys(("li",), (("li",), ("ul", "ol", "menu"))), **dict.fromkeys(("dt", "dd"), (("dt", "dd"), ("dl",))),
+    **dict.fromkeys(("td", "th"), (("td", "th"), ("tr", "table"))), **dict.fromkeys(("tr",), (("tr",), ("table",))),
+}
 BAD_NAMES = frozenset(
     """
-    ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent
-    cookie cookies copyright disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter
+    ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary
+    consent contentinfo cookie cookies copyright disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter
     notice overlay pager pagination popup promo promoted promotion recommended related respond search share
     sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget
     """.split()
 )
 
+#: Words before a name that say something of the page and not of the element, and words that name no kind.
+STATES = frozenset("has no not with without is hide show".split())
+PLAIN_NAMES = frozenset("area bar block box container content group inner item items list outer panel section unit wrap wrapper".split())
+
 _TOKEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|[!?][^>]*+>)")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT, _CAMEL = re.compile(r"[^a-z]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 _ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
 _HEADING = re.compile("h[1-6]$")
+# Ends of sentences, and signs of scripts without blanks between words.
+_SENTENCE_END = re.compile(r"[.!?\u0964\u06d4](?:\s|$)|[\u3002\uff01\uff1f\uff0e]")
+_WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3\U00020000-\U0003fffd]")
 
 
 class Block:
-    __slots__ = ("text", "linked", "bad", "main", "heading")
+    __slots__ = ("text", "linked", "bad", "main", "heading", "box")
 
-    def __init__(self, text: str, linked: int, bad: bool, main: int, heading: bool):
-        self.text, self.linked, self.bad, self.main, self.heading = text, linked, bad, main, heading
+    def __init__(self, text: str, linked: int, bad: bool, main: int, heading: bool, box: int = 0):
+        self.text, self.linked, self.bad, self.main, self.heading, self.box = text, linked, bad, main, heading, box
 
 
-def named_bad(attributes: str) -> bool:
+def suspect(attributes: str) -> bool:
+    """Whether a class, id or role names something beside the text: by its first or last word that names a kind."""
     for m in _NAMES.finditer(attributes):
-        value = m.group(1) or m.group(2) or m.group(3) or ""
-        if not BAD_NAMES.isdisjoint(w for v in (value, _CAMEL.sub(" ", value)) for w in _SPLIT.split(v.lower())):
-            return True
-    return bool(_HIDDEN.search(attributes)) if "hidden" in attributes or "display" in attributes else False
-
-
-def blocks(html: str) -> list[Block]:
-    """The blocks of a page in order, those without visible text left out."""
-    out: list[Block] = []
-    text: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements that may matter: tag, bad, number of the article
-    linked = in_link = articles = 0
-    heading = False
-    at, end = 0, len(html)
-
-    def close() -> None:
-        nonlocal text, linked
-        if text:
-            one = " ".join(unescape("".join(text)).split())
-            if one:
-                out.append(Block(one, linked, bool(stack) and stack[-1][1], stack[-1][2] if stack else 0, heading))
-        text, linked = [], 0
-
-    def put(piece: str) -> None:
-        nonlocal linked
+        for name in (m.group(1) or m.group(2) or m.group(3) or "").split():
+            words = [w for w in _SPLIT.split(_CAMEL.sub(" ", name).lower()) if w]
+            if not words or words[0] in STATES:
+                continue
+            whole = "".join(words)
+            while len(words) > 1 and words[-1] in PLAIN_NAMES:
+                words.pop()
+            if whole in BAD_NAMES or words[0] in BAD_NAMES or words[-1] in BAD_NAMES:
+                return True
+    return False
+
+
+def hidden(attributes: str) -> bool:
+    return ("hidden" in attributes or "display" in attributes) and bool(_HIDDEN.search(attributes))
+
+
+class Page:
+    """The open elements while a page is read. Each is left once and found by its tag, so all work is linear."""
+
+    def __init__(self):
+        self.out: list[Block] = []
+        self.text: list[str] = []
+        self.stack: list[tuple[str, bool, int, int, bool]] = []  # tag, bad, number of the article, box, block-level
+        self.places: dict[str, list[int]] = {}  # of open elements by tag
+        self.levels: list[int] = []  # of open block-level elements
+        self.above: list[int] = [0]  # the box around each box
+        self.linked = self.articles = 0
+        self.link: int | None = None  # how many elements were open when the link began
+        self.heading = False
+
+    def put(self, piece: str) -> None:
         if piece:
-            text.append(piece)
-            if in_link:
-                linked += len(piece.strip())
+            self.text.append(piece)
+            if self.link is not None:
+                self.linked += len(piece.strip())
 
+    def close(self) -> None:
+        if self.text:
+            one = " ".join(unescape("".join(self.text)).split())
+            if one:
+                _, bad, main, box, _ = self.stack[-1] if self.stack else ("", False, 0, 0, False)
+                self.out.append(Block(one, self.linked, bad, main, self.heading, box))
+        self.text, self.linked = [], 0
+
+    def last(self, *tags: str) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def leave(self, place: int) -> None:
+        """End the element at a place and all within."""
+        around = self.stack[place - 1] if place else ("", False, 0, 0, False)
+        if self.stack[-1][1:4] != around[1:4]:
+            self.close()
+        while len(self.stack) > place:
+            tag, _, _, _, level = self.stack.pop()
+            self.places[tag].pop()
+            if level:
+                self.levels.pop()
+        if self.link is not None and self.link > len(self.stack):
+            self.link = None
+
+    def end(self, tag: str) -> None:
+        place = self.last(tag)
+        if place >= 0 and (tag in BLOCK_TAGS or not self.levels or place > self.levels[-1]):  # no inline end tag ends a block
+            self.leave(place)
+
+    def start(self, tag: str, attributes: str) -> None:
+        level = tag in BLOCK_TAGS
+        if level and self.levels and self.stack[self.levels[-1]][0] == "p":
+            self.leave(self.levels[-1])
+        if tag in SIBLINGS:
+            same, within = SIBLINGS[tag]
+            if (place := self.last(*same)) > self.last(*within):
+                self.leave(place)
+        if tag in VOID_TAGS:
+            return
+        _, bad, main, box, _ = around = self.stack[-1] if self.stack else ("", False, 0, 0, False)
+        if tag in MAIN_TAGS and not main:
+            self.articles += 1
+            main = self.articles
+        bad = bad or tag in BAD_TAGS and not (tag == "header" and main)
+        if attributes and tag not in ("body", "html"):
+            bad = bad or hidden(attributes)
+            if not bad and suspect(attributes) and not (tag in MAIN_TAGS and not around[2] and not box):
+                self.above.append(box)
+                box = len(self.above) - 1
+        if (bad, main, box) != around[1:4]:
+            self.close()
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if level:
+            self.levels.append(len(self.stack))
+        self.stack.append((tag, bad, main, box, level))
+
+
+def read(html: str) -> Page:
+    """The page with its blocks in order, those without visible text left out."""
+    page = Page()
+    at, end = 0, len(html)
     while at < end:
         lt = html.find("<", at)
         if lt < 0:
-            put(html[at:])
+            page.put(html[at:])
             break
-        put(html[at:lt])
+        page.put(html[at:lt])
         m = _TOKEN.match(html, lt)
         if not m:
             rest = html[lt + 1 : lt + 2]
@@ -126,7 +212,7 @@ def blocks(html: str) -> list[Block]:
                 gt = html.find(">", lt)
                 at = end if gt < 0 else gt + 1
             else:
-                put("<")
+                page.put("<")
                 at = lt + 1
             continue
         at = m.end()
@@ -136,61 +222,73 @@ def blocks(html: str) -> list[Block]:
                 at = end if to < 0 else to + 3
             continue
         tag, closing = m.group(2).lower(), bool(m.group(1))
-        if tag in RAW_TAGS and not closing:
-            found = _ENDS[tag].search(html, at)
-            at = found.end() if found else end
-            continue
-        if tag == "a":
-            in_link = 0 if closing else 1
+        if tag in RAW_TAGS:
+            if not closing:
+                found = _ENDS[tag].search(html, at)
+                at = found.end() if found else end
             continue
         if tag in BLOCK_TAGS:
-            close()
+            page.close()
             if _HEADING.match(tag):
-                heading = not closing
+                page.heading = not closing
             elif tag != "br":
-                heading = False
-        if tag in VOID_TAGS or tag == "p" and not m.group(3):
-            continue
+                page.heading = False
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-        elif tag in BLOCK_TAGS or tag in BAD_TAGS or "class" in m.group(3) or "id=" in m.group(3):
-            above = stack[-1] if stack else ("", False, 0)
-            main = above[2]
-            if tag in MAIN_TAGS and not main:
-                articles += 1
-                main = articles
-            tag_bad = tag in BAD_TAGS and not (tag == "header" and main)
-            if tag == "p":
-                while stack and stack[-1][0] == "p":
-                    stack.pop()
-                above = stack[-1] if stack else ("", False, 0)
-            if tag not in ("body", "html"):
-                stack.append((tag, above[1] or tag_bad or (bool(m.group(3)) and named_bad(m.group(3))), main))
-    close()
-    return out
+            page.end(tag)
+            if tag == "a":
+                page.link = None
+        else:
+            page.start(tag, m.group(3))
+            if tag == "a":
+                page.link = len(page.stack)
+    page.close()
+    return page
+
+
+def blocks(html: str) -> list[Block]:
+    return read(html).out
 
 
 def label(b: Block) -> bool | None:
     """First pass: True for good, False for bad, None for open."""
     n = len(b.text)
     links = min(1.0, b.linked / n)
-    if b.bad or links > LINKS_BAD or (n < LONG and b.text[0] == "©"):
+    if b.bad or links > LINKS_BAD or (n < LONG and b.text[0] == "©" and not b.main):
         return False
+    n += len(_WIDE.findall(b.text))  # a sign of these says as much as several letters
     if n < LONG or links > LINKS_GOOD or b.heading:
         return None
     words = b.text.lower().split()
     share = sum(w.strip(".,;:!?()\"'*$%&#") in STOP_WORDS for w in words) / len(words)
-    if share >= STOP_SHARE or (n >= VERY_LONG and (share >= STOP_SHARE_LOW or b.main)):
+    if share >= STOP_SHARE or (n >= VERY_LONG and (share >= STOP_SHARE_LOW or b.main or len(_SENTENCE_END.findall(b.text)) >= SENTENCES)):
         return True
     return None
 
 
-def decided(page: list[Block]) -> list[bool]:
+def beside(page: Page, first: list[bool | None]) -> list[bool]:
+    """Which boxes are beside the text, with all within: those that do not hold most of the good text."""
+    held = [0] * len(page.above)
+    scope = any(b.main and x is not False for b, x in zip(page.out, first, strict=True))  # an article, if there is one, is where the text is
+    for b, x in zip(page.out, first, strict=True):
+        if x and (b.main or not scope):
+            held[b.box] += len(b.text)
+    for i in range(len(held) - 1, 0, -1):  # a box comes after the one around it
+        held[page.above[i]] += held[i]
+    out = [False] * len(held)
+    for i in range(1, len(held)):
+        out[i] = out[page.above[i]] or held[i] < MOST * held[0] or not held[0]
+    if all(x is False or out[b.box] for b, x in zip(page.out, first, strict=True)):
+        return [False] * len(held)  # nothing would be left
+    return out
+
+
+def decided(page: Page) -> list[bool]:
     """Both passes."""
-    first = [label(b) for b in page]
+    first = [label(b) for b in page.out]
+    if len(page.above) > 1:
+        aside = beside(page, first)
+        first = [False if aside[b.box] else x for b, x in zip(page.out, first, strict=True)]
+    page = page.out
     if True not in first and not any(b.main and x is None for b, x in zip(page, first, strict=True)):
         return [x is None for x in first]  # menus and footers say nothing of a text in which nothing is decided
     n = len(page)
@@ -228,8 +326,8 @@ def decided(page: list[Block]) -> list[bool]:
 
 
 def main_text(html: str | None) -> str:
-    page = blocks(html or "")
-    return " ".join(b.text for b, good in zip(page, decided(page), strict=True) if good)
+    page = read(html or "")
+    return " ".join(b.text for b, good in zip(page.out, decided(page), strict=True) if good)
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
