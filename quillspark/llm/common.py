@@ -33,10 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_root(spark).rstrip("/")
 
 
+_own: set[str] = set()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's name, with its filesystem: a name without one is taken as Spark takes it, by the default filesystem."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    """A new folder's name in the application's folder, which is deleted when the application ends.
+
+    It tells its filesystem: a name without one is taken as Spark takes it, by the default filesystem.
+    """
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillspark-{sc.applicationId}")
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    whole = path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+    if whole not in _own:
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _own.add(whole)
+    return f"{whole}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ notice counts alike alone, in long prose or beside others. Only windows are skip
 weights themselves let no family reach the threshold. Of windows that overlap the clearest
 stands. A paragraph yields its clearest family and every other one that is confirmed; of over
 ``LONG`` characters, it yields a finding for every place with a notice. Scores are calibrated by a temperature, and a
-prediction under a threshold, both set on held-out examples, is unknown. A prediction of a
+prediction under a threshold, both set on templates and paragraphs held out whole, is unknown. A prediction of a
 family is confirmed if enough n-grams of one of its templates stand in the paragraph.
 
 The model is trained on the driver: licence notices are the templates below, cut and disturbed
@@ -38,6 +38,8 @@ FEATURES, NGRAMS = 1 << 15, 3
 #: The corpus in the unknown class: documents, paragraphs of each, characters of a paragraph. Training only; scans have no bound.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS, SAMPLE_CHARS = 400, 4, 2_000
 COPIES, EPOCHS, RATE, L2, CONFIRM, FALSE_SHARE, PIECES = 36, 60, 0.15, 2e-4, 0.5, 0.002, 10
+#: Parts of the templates, near misses and sampled paragraphs, each held out whole from a model that the others train.
+FOLDS = 3
 UNKNOWN = "unknown"
 #: Words of a window; characters above which a paragraph's findings have places of their own; words around such a place that may confirm it.
 WINDOWS, LONG, NEAR = (3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 48, 64), 1_800, 32
@@ -280,17 +282,16 @@ def trained(others: list[str], seed: int = 5) -> Model:
     r = random.Random(seed)
     noise = [w for p in others for w in p.split()[:40]] or ["word"]
     others = [p for p in others if not any(similarity(p, f) >= CONFIRM for f in TEMPLATES)]
-    rows = [(f, disturbed(r, t, noise)) for f, ts in TEMPLATES.items() for t in ts for _ in range(COPIES)]
-    rows += [(UNKNOWN, p) for p in others] + [(UNKNOWN, piece(r, p)) for p in others for _ in range(PIECES)]
-    rows += [(UNKNOWN, disturbed(r, t, noise)) for t in NEAR_MISSES for _ in range(COPIES)]
+    rows = [(f, disturbed(r, t, noise), i % FOLDS) for f, ts in TEMPLATES.items() for i, t in enumerate(ts) for _ in range(COPIES)]
+    rows += [(UNKNOWN, q, i % FOLDS) for i, p in enumerate(others) for q in (p, *(piece(r, p) for _ in range(PIECES)))]
+    rows += [(UNKNOWN, disturbed(r, t, noise), i % FOLDS) for i, t in enumerate(NEAR_MISSES) for _ in range(COPIES)]
     r.shuffle(rows)
-    return fitted(rows)
+    return calibrated(rows)
 
 
 def fitted(rows: list[tuple[str, str]]) -> Model:
+    """The weights; a family without rows is never the likeliest."""
     families = [*TEMPLATES, UNKNOWN]
-    held = rows[: len(rows) // 5]
-    rows = rows[len(rows) // 5 :]
     model = Model(families, np.zeros((FEATURES, len(families))), np.zeros(len(families)))
     x = [features(t) for _, t in rows]
     x = [f if len(f) else np.zeros(1, np.int64) for f in x]
@@ -319,8 +320,21 @@ def fitted(rows: list[tuple[str, str]]) -> Model:
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         model.bias -= RATE * (bm / (1 - 0.9**step)) / (np.sqrt(bv / (1 - 0.99**step)) + 1e-9)
     model.weights[used] = w
-    z = np.array([model.logits(t) for _, t in held])
-    label = np.array([families.index(f) for f, _ in held])
+    return model
+
+
+def calibrated(rows: list[tuple[str, str, int]]) -> Model:
+    """Fit on all rows; temperature and threshold from what models say of rows of templates and paragraphs they have not seen."""
+    model = fitted([x[:2] for x in rows])
+    families, z, label = model.families, [], []
+    for fold in range(FOLDS):
+        held = [x for x in rows if x[2] == fold]
+        if not held or len(held) == len(rows):
+            continue
+        part = fitted([x[:2] for x in rows if x[2] != fold])
+        z += [part.logits(t) for _, t, _ in held]
+        label += [families.index(f) for f, _, _ in held]
+    z, label = np.array(z), np.array(label)
 
     def spread(temperature: float) -> np.ndarray:
         e = np.exp((z - z.max(1, keepdims=True)) / temperature)
