@@ -42,8 +42,8 @@ from quillspark.llm.common import joined_split, map_columns, prepared, sampled,
 BITS, LEAST_SUB, MOST_SUB, MOST_COUNT, MOST_PROBE = 512, 6, 24, 48, 4
 #: Rows of the sample, of them those asked; shares of neighbours to retrieve and to drop by distance.
 SAMPLE, ASKED, RECALL, MISS = 4_096, 512, 0.985, 0.005
-#: Queries (of nine numbers) up to which their codes are broadcast, and rows of a key that one task joins.
-SMALL, SPLIT = 200_000, 20_000
+#: Rows of a key that one task joins.
+SPLIT = 20_000
 #: Turns of a learned rotation, rounds of wider probes, queries compared with all rows at a time.
 TURNS, ROUNDS, BLOCK_QUERIES = 30, 2, 1_024
 
@@ -132,15 +132,15 @@ def usable(table: DataFrame, id_: str, vector: str) -> DataFrame:
 
 
 def index(coded: DataFrame, plan: Plan) -> DataFrame:
-    """(bucket, cid, code 0 to 3): a row for each substring of each code. A bucket is a substring's number and value."""
+    """(bucket, cid, code 0 to 7): a row for each substring of each code. A bucket is a substring's number and value."""
     return coded.select("cid", *_code("code"), F.posexplode(F.slice("subs", 1, plan.count)).alias("s", "value")).withColumn("bucket", _bucket(plan, F.col("value"))).drop("s", "value")
 
 
 def probes(coded: DataFrame, plan: Plan) -> DataFrame:
-    """(bucket, query): the buckets that each query's code visits."""
+    """(bucket, query, asked 0 to 7): the buckets that each query's code visits."""
     flips = F.explode(F.array(*[F.lit(m).cast("long") for m in masks(plan.width, plan.probe)]))
-    rows = coded.select(F.col("cid").alias("query"), F.posexplode(F.slice("subs", 1, plan.count)).alias("s", "value")).withColumn("flip", flips)
-    return rows.select(_bucket(plan, F.col("value").bitwiseXOR(F.col("flip"))).alias("bucket"), "query")
+    rows = coded.select(F.col("cid").alias("query"), *_code("asked"), F.posexplode(F.slice("subs", 1, plan.count)).alias("s", "value")).withColumn("flip", flips)
+    return rows.select(_bucket(plan, F.col("value").bitwiseXOR(F.col("flip"))).alias("bucket"), "query", *[f"asked {i}" for i in range(BITS // 64)])
 
 
 def _code(name: str) -> list[Column]:
@@ -153,15 +153,10 @@ def _bucket(plan: Plan, value: Column) -> Column:
 
 def retrieved(coded: DataFrame, asked: DataFrame, plan: Plan) -> DataFrame:
     """Distinct (query, cid) whose codes meet in a bucket and are not too far apart."""
-    own = asked.select(F.col("cid").alias("query"), *_code("asked"))
-    few = own.limit(SMALL + 1).count() <= SMALL
     visits = probes(asked, plan)
-    if few:  # what is probed is wide; queries' codes come to the pairs
-        met = index(coded, plan).join(visits, "bucket").join(F.broadcast(own), "query")
-    else:
-        met = index(coded, plan).join(visits.join(own, "query"), "bucket")
     apart = sum((F.bit_count(F.col(f"code {i}").bitwiseXOR(F.col(f"asked {i}"))) for i in range(BITS // 64)), F.lit(0))
-    return met.where(apart <= plan.far).select("query", "cid").distinct()
+    own = index(coded, plan).withColumnRenamed("bucket", "own bucket")
+    return own.join(visits, (F.col("own bucket") == F.col("bucket")) & (apart <= plan.far)).select("query", "cid").distinct()
 
 
 _FOUND = "query long, score double, cid long, id long, uid long"
