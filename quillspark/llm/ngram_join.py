@@ -15,14 +15,14 @@ Jaccard similarity of at least ``percent`` / 100. The join finds the classes tha
    cannot link, and then an exact count of the intersection.
 5. Combinations that many classes still hold are bundles of near copies. Their classes are
    compared with one leader first; what that joins needs no further comparison.
-6. What leaders leave open, and sets with over ``WIDE`` frequent shingles in their prefix (they
-   would make too many combinations) with all that may link with them, are indexed by parts instead: linked sets of a size
+6. What leaders leave open of a bundle is compared in blocks of bounded size, each pair of
+   blocks in a task of its own; a task returns no more links than it has members. If that is
+   over ``BLOCKS`` blocks, it is indexed by parts instead, and so are sets with over ``WIDE`` frequent shingles in their prefix (they
+   would make too many combinations) with all that may link with them: linked sets of a size
    class differ in at most h shingles, so of more than h parts, into which a hash deals all
    shingles, one agrees. A set has as many parts as a fixed share of its size. Parts are of
    shingles that are not frequent first, and of all for sets that have too few such.
-7. Parts that many classes hold get leaders as well, and the rest of these is compared in
-   blocks of bounded size, each pair of blocks in a task of its own; a task returns no more
-   links than it has members.
+7. Parts that many classes hold get leaders as well, and the rest of these goes into blocks.
 
 No step holds an unbounded group in one task, and nothing is dropped: every linked pair is
 compared or already joined through others.
@@ -53,6 +53,8 @@ FEW = 64
 FREQUENT, TOP_BITS = 24, 22
 #: A token seen more than OFTEN * FEW times in the corpus is known to be too frequent for the single index.
 OFTEN = 16
+#: A part is paired up to this many classes; open bundles of up to so many blocks are compared without parts.
+FEW_PARTS, BLOCKS = 8, 8
 #: Tokens that a task counts at a time, those whose counts it keeps, and members of a block.
 COUNT_AT_ONCE, COUNTS_KEPT, BLOCK = 500_000, 500_000, 512
 #: Frequent shingles of a prefix that are combined; sets with more are indexed by parts, and so is what may link with them.
@@ -563,17 +565,21 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     pairs = rare.unionByName(_pairs(cold, "key", percent)).distinct()
     links = staged(verified(staged(pairs, "pairs"), sets, percent), "links")
 
-    by_parts = members = None
+    by_parts = None
     if not hot.isEmpty():
         links, members = _led(hot, links, sets, percent)
-        by_parts = members.select("node")
+        sizes = members.groupBy("bundle").agg(F.count("*").alias("open"))
+        members = staged(_with_bundle(members, sizes), "open-sizes")
+        some = members.where(F.col("open") <= BLOCK * BLOCKS)
+        links = staged(links.unionByName(_block_links(some.drop("node", "open"), percent)), "links")
+        by_parts = members.where(F.col("open") > BLOCK * BLOCKS).select("node")
     if not lists.where(~narrow_).isEmpty():
         large = lists.where(F.col("n") * 100 >= percent * (narrow(percent) + 1)).select("node")  # and whatever may link with those
         by_parts = large if by_parts is None else by_parts.unionByName(large)
     if by_parts is None or by_parts.isEmpty():
         return components(links)
     index = staged(parts(_of_each(sets, staged(by_parts.distinct(), "by-parts"), "hashes"), tokens, percent), "parts")
-    cold, hot = _by_heat(index)
+    cold, hot = _by_heat(index, FEW_PARTS)
     pairs = _pairs(cold, "key", percent).distinct()
     links = staged(links.unionByName(verified(staged(pairs, "pairs"), sets, percent)).distinct(), "links")
     if not hot.isEmpty():
@@ -582,12 +588,13 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     return components(links)
 
 
-def _by_heat(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _by_heat(index: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (key, node, n) of keys that few have, and (key, node, first) of those that many have; first is the key's least node."""
+    limit = limit or FEW
     by_key = index.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("first")).where("held > 1")
     by_key = staged(by_key, "keys")
-    cold = index.join(by_key.where(F.col("held") <= FEW).select("key"), "key")
-    hot = by_key.where(F.col("held") > FEW).select("key", "first")
+    cold = index.join(by_key.where(F.col("held") <= limit).select("key"), "key")
+    hot = by_key.where(F.col("held") > limit).select("key", "first")
     few = hot.limit(SMALL + 1).count() <= SMALL
     return cold, staged(index.select("key", "node").join(F.broadcast(hot) if few else hot, "key"), "hot")
 

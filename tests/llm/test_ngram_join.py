@@ -98,7 +98,7 @@ def test_bitmap_never_drops_a_link():
 
 @pytest.mark.parametrize(("width", "percent", "few", "wide"), [(3, 90, 4, 6), (5, 80, 4, 6), (3, 90, 64, 3)])
 def test_sets_of_long_prefixes_are_joined_by_parts(spark, monkeypatch, width, percent, few, wide):
-    for name, value in (("FEW", few), ("BLOCK", 8), ("WIDE", wide), ("SPLIT", 20), ("COUNT_AT_ONCE", 100), ("COUNTS_KEPT", 200), ("FREQUENT", 3)):
+    for name, value in (("FEW", few), ("BLOCK", 8), ("WIDE", wide), ("SPLIT", 20), ("FEW_PARTS", 3), ("BLOCKS", 1), ("COUNT_AT_ONCE", 100), ("COUNTS_KEPT", 200), ("FREQUENT", 3)):
         monkeypatch.setattr(J, name, value)
     docs = corpus(2)
     df = prepared(spark).createDataFrame(docs, "doc_id long, text string").repartition(3)
