@@ -58,10 +58,10 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text or "")
 
 
-def coins(step: int, symbols: np.ndarray, walk: int) -> np.ndarray:
-    """A fair bit for each symbol at a step of a walk."""
+def coins(steps: np.ndarray, symbols: np.ndarray, walk: int) -> np.ndarray:
+    """A fair bit for each step of a walk (rows) and symbol (columns)."""
     with np.errstate(over="ignore"):
-        h = symbols.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step * 1_000_003 + walk * 7_919 + 1)
+        h = symbols.astype(np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15) + (steps.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(walk * 7_919 + 1))[:, None]
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
         return ((h >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
@@ -70,14 +70,16 @@ def coins(step: int, symbols: np.ndarray, walk: int) -> np.ndarray:
 def embedded(rows: np.ndarray, walk: int) -> np.ndarray:
     """CGK outputs (windows x steps) of equally long windows of word codes; past the end the output is padding."""
     m, n = rows.shape
-    padded = np.concatenate([rows, np.full((m, 1), _NONE, rows.dtype)], 1)
-    out = np.empty((m, STEPS * n), rows.dtype)
-    at, every = np.zeros(m, np.int64), np.arange(m)
+    symbols, at_symbol = np.unique(np.concatenate([rows, np.full((m, 1), _NONE, rows.dtype)], 1), return_inverse=True)
+    flat, width = at_symbol.reshape(-1), n + 1
+    bits = coins(np.arange(STEPS * n), symbols, walk)
+    out = np.empty((STEPS * n, m), np.int64)
+    at, first = np.zeros(m, np.int64), np.arange(m) * width
     for t in range(STEPS * n):
-        s = padded[every, at]
-        out[:, t] = s
-        at = np.minimum(at + coins(t, s, walk), n)
-    return out
+        s = flat[first + at]
+        out[t] = s
+        at = np.minimum(at + bits[t, s], n)
+    return symbols[out.T]
 
 
 def places(n: int) -> np.ndarray:
@@ -240,6 +242,9 @@ class Items:
         padded = np.concatenate([codes, np.full(n, _NONE, np.int64)])
         tried: set[tuple[int, int]] = set()
         for walk in range(WALKS):
+            if walk:  # windows of which every stretch has been verified need no further walk
+                rest = [np.arange(x[0], x[1] + 1) for it, spans in spans_of.items() if self.n[it] == n for x in spans if (it, x[0]) not in tried]
+                at = np.unique(np.concatenate(rest)) if rest else at[:0]
             for i in range(0, len(at), WINDOWS):
                 some = at[i : i + WINDOWS]
                 for it, j in self.met(padded[some[:, None] + np.arange(n)], walk):
