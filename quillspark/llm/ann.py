@@ -3,7 +3,7 @@
 Vectors become binary codes: signs after rotations that are learned on a bounded sample (each
 starts at random and is turned so that vectors lie near corners of the cube). A code is split
 into substrings of about as many bits as the number of vectors has, and each substring is
-indexed: the index is one relation, keyed by the substring's number and value. Codes within
+indexed: the index is one relation, keyed by the substring's number and value and dealt by its leading bits. Codes within
 ``count * (probe + 1) - 1`` bits of each other agree in some of ``count`` substrings to within
 ``probe`` bits, so probing all values that near, in each substring, retrieves every code within
 that radius, and others by chance. Of what is retrieved, codes farther than ``far`` in their
@@ -42,8 +42,8 @@ from quillspark.llm.common import joined_split, map_columns, prepared, sampled,
 BITS, LEAST_SUB, MOST_SUB, MOST_COUNT, MOST_PROBE = 512, 6, 24, 48, 4
 #: Rows of the sample, of them those asked; shares of neighbours to retrieve and to drop by distance.
 SAMPLE, ASKED, RECALL, MISS = 4_096, 512, 0.985, 0.005
-#: Rows of a key that one task joins.
-SPLIT = 20_000
+#: Rows of a key that one task joins, and codes of a deal of buckets.
+SPLIT, BLOCK_ROWS = 20_000, 16_384
 #: Turns of a learned rotation, rounds of wider probes, queries compared with all rows at a time.
 TURNS, ROUNDS, BLOCK_QUERIES = 30, 2, 1_024
 
@@ -131,32 +131,55 @@ def usable(table: DataFrame, id_: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (sizes["d"] if sizes else 0)).select(F.monotonically_increasing_id().alias("uid"), "id", "v", key.alias("key"))
 
 
-def index(coded: DataFrame, plan: Plan) -> DataFrame:
-    """(bucket, cid, code 0 to 7): a row for each substring of each code. A bucket is a substring's number and value."""
-    return coded.select("cid", *_code("code"), F.posexplode(F.slice("subs", 1, plan.count)).alias("s", "value")).withColumn("bucket", _bucket(plan, F.col("value"))).drop("s", "value")
-
-
-def probes(coded: DataFrame, plan: Plan) -> DataFrame:
-    """(bucket, query, asked 0 to 7): the buckets that each query's code visits."""
-    flips = F.explode(F.array(*[F.lit(m).cast("long") for m in masks(plan.width, plan.probe)]))
-    rows = coded.select(F.col("cid").alias("query"), *_code("asked"), F.posexplode(F.slice("subs", 1, plan.count)).alias("s", "value")).withColumn("flip", flips)
-    return rows.select(_bucket(plan, F.col("value").bitwiseXOR(F.col("flip"))).alias("bucket"), "query", *[f"asked {i}" for i in range(BITS // 64)])
-
-
-def _code(name: str) -> list[Column]:
-    return [F.col("code")[i].alias(f"{name} {i}") for i in range(BITS // 64)]
-
-
-def _bucket(plan: Plan, value: Column) -> Column:
-    return F.shiftleft(F.col("s").cast("long"), plan.width) + value
-
-
 def retrieved(coded: DataFrame, asked: DataFrame, plan: Plan) -> DataFrame:
-    """Distinct (query, cid) whose codes meet in a bucket and are not too far apart."""
-    visits = probes(asked, plan)
-    apart = sum((F.bit_count(F.col(f"code {i}").bitwiseXOR(F.col(f"asked {i}"))) for i in range(BITS // 64)), F.lit(0))
-    own = index(coded, plan).withColumnRenamed("bucket", "own bucket")
-    return own.join(visits, (F.col("own bucket") == F.col("bucket")) & (apart <= plan.far)).select("query", "cid").distinct()
+    """Distinct (query, cid) whose codes meet in a bucket and are not too far apart.
+
+    Buckets are dealt by the substring's number and the leading bits of its value, so many that a
+    deal has about BLOCK_ROWS codes; a query goes to each deal that has a bucket it visits.
+    Larger deals are split, and a task probes one block of codes for one block of queries.
+    """
+    lead = min(plan.width, max(0, math.ceil(math.log2(max(1, coded.count()) / BLOCK_ROWS))))
+    deal = lambda value: (F.shiftleft(F.col("s").cast("long"), lead) + F.shiftright(value, plan.width - lead)).alias("deal")
+    subs = F.posexplode(F.slice("subs", 1, plan.count)).alias("s", "value")
+    index = coded.select("cid", "code", subs).select("cid", "code", "value", deal(F.col("value")))
+    flips = F.explode(F.array(*[F.lit(m << plan.width - lead).cast("long") for m in masks(lead, plan.probe)])).alias("flip")
+    visits = asked.select("cid", "code", subs).select("*", flips)
+    visits = visits.select(*[F.col(c).alias(f"q_{c}") for c in ("cid", "code", "value")], deal(F.col("value").bitwiseXOR(F.col("flip"))).alias("q_deal"))
+    # Names of their own: where both sides of a cogroup share attributes, column pruning empties one.
+    large = lambda df, deal, most, out: df.groupBy(F.col(deal).alias("big")).agg(F.ceil(F.count("*") / (2 * most)).cast("int").alias(out)).where(F.col(out) > 1)
+    grid = large(index, "deal", BLOCK_ROWS, "rows").join(large(visits, "q_deal", BLOCK_ROWS, "queries"), "big", "full")
+    grid = staged(grid.select("big", F.coalesce("rows", F.lit(1)).alias("rows"), F.coalesce("queries", F.lit(1)).alias("queries")), "deals")
+    if grid.isEmpty():
+        left, right = index.withColumns({"x": F.lit(0), "y": F.lit(0)}), visits.withColumns({"q_x": F.lit(0), "q_y": F.lit(0)})
+    else:
+        split = lambda df, deal: df.join(F.broadcast(grid), F.col(deal) == F.col("big"), "left").fillna(1, ["rows", "queries"]).drop("big")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = split(index, "deal").withColumn("x", F.pmod(F.xxhash64("cid"), F.col("rows")).cast("int")).withColumn("y", every("queries")).drop("rows", "queries")
+        right = split(visits, "q_deal").withColumn("q_y", F.pmod(F.xxhash64("q_cid"), F.col("queries")).cast("int")).withColumn("q_x", every("rows")).drop("rows", "queries")
+
+    def columns(t: pa.Table, side: str = "") -> tuple[np.ndarray, ...]:
+        code = np.frombuffer(b"".join(t[f"{side}code"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        return t[f"{side}cid"].to_numpy(), t[f"{side}value"].to_numpy(), code
+
+    def run(have: pa.Table, ask: pa.Table) -> pa.Table:
+        query, cid = [], []
+        if have.num_rows and ask.num_rows:
+            ids, value, code = columns(have)
+            order = np.argsort(value, kind="stable")
+            ids, code = ids[order], code[order]
+            buckets, start = np.unique(value[order], return_index=True)
+            size = np.diff(start, append=len(ids))
+            for q, v, c in zip(*columns(ask, "q_"), strict=True):
+                hit = np.flatnonzero(np.bitwise_count(buckets ^ v) <= plan.probe)
+                n = size[hit]
+                rows = np.repeat(start[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(hit) else hit
+                rows = rows[np.bitwise_count(code[rows] ^ c).sum(1) <= plan.far]
+                query.append(np.full(len(rows), q))
+                cid.append(ids[rows])
+        query, cid = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (query, cid))
+        return pa.table({"query": query, "cid": cid})
+
+    return left.groupBy("deal", "x", "y").cogroup(right.groupBy("q_deal", "q_x", "q_y")).applyInArrow(run, "query long, cid long").distinct()
 
 
 _FOUND = "query long, score double, cid long, id long, uid long"
@@ -241,19 +264,18 @@ def planned(classes: DataFrame, queries: int, k: int) -> tuple[np.ndarray, Plan]
 
 
 def with_codes(classes: DataFrame, rotation: np.ndarray, plan: Plan) -> DataFrame:
-    """(cid, code, subs): the first BITS bits as numbers of 64, and the substrings."""
+    """(cid, code, subs): the first BITS bits, and the substrings as numbers."""
     shared = classes.sparkSession.sparkContext.broadcast(rotation[:, : max(BITS, plan.width * plan.count)])
 
     def make() -> Callable:
         def work(vectors: list) -> list:
             x = np.array(vectors, dtype=np.float64)
             bits = signs(x / np.sqrt((x * x).sum(1, keepdims=True)), shared.value)
-            return [np.packbits(bits[:, :BITS], axis=1).view(">i8").astype(np.int64).tolist(), values(bits, plan.width, plan.count).tolist()]
+            return [[row.tobytes() for row in np.packbits(bits[:, :BITS], axis=1)], values(bits, plan.width, plan.count).tolist()]
 
         return work
 
-    longs = T.ArrayType(T.LongType())
-    return staged(map_columns(classes.select("cid", "v"), ["v"], [("code", longs), ("subs", longs)], make).drop("v"), "codes")
+    return staged(map_columns(classes.select("cid", "v"), ["v"], [("code", T.BinaryType()), ("subs", T.ArrayType(T.LongType()))], make).drop("v"), "codes")
 
 
 def nearest(table: DataFrame, asks: Column, k: int = 5, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:

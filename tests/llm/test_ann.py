@@ -1,6 +1,7 @@
 """Recall against brute force, exactness of the probing, and odd vectors."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import ann as A
@@ -38,13 +39,15 @@ def test_recall_and_scores(spark, monkeypatch):
     assert hits >= 0.97 * total
 
 
-def test_probing_retrieves_every_code_within_the_radius(spark):
+@pytest.mark.parametrize("block", [16_384, 100, 7])
+def test_probing_retrieves_every_code_within_the_radius(spark, monkeypatch, block):
+    monkeypatch.setattr(A, "BLOCK_ROWS", block)
     r = np.random.default_rng(2)
     bits = r.integers(0, 2, (800, A.BITS)).astype(bool)
     bits[400:] = bits[:400] ^ (r.random((400, A.BITS)) < r.random((400, 1)) * 0.3)
     for plan in (A.Plan(16, 4, 0, A.BITS), A.Plan(16, 4, 1, A.BITS), A.Plan(10, 6, 2, A.BITS)):
-        rows = [(i, np.packbits(b).view(">i8").astype(np.int64).tolist(), v.tolist()) for i, (b, v) in enumerate(zip(bits, A.values(bits, plan.width, plan.count), strict=True))]
-        coded = prepared(spark).createDataFrame(rows, "cid long, code array<long>, subs array<long>")
+        rows = [(i, np.packbits(b).tobytes(), v.tolist()) for i, (b, v) in enumerate(zip(bits, A.values(bits, plan.width, plan.count), strict=True))]
+        coded = prepared(spark).createDataFrame(rows, "cid long, code binary, subs array<long>")
         got = {(x.query, x.cid) for x in A.retrieved(coded, coded.where("cid < 40"), plan).collect()}
         whole = bits[:, : plan.width * plan.count]
         want = {(i, int(j)) for i in range(40) for j in np.flatnonzero((whole != whole[i]).sum(1) <= plan.radius)}
