@@ -578,7 +578,10 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
         by_parts = large if by_parts is None else by_parts.unionByName(large)
     if by_parts is None or by_parts.isEmpty():
         return components(links)
-    index = staged(parts(_of_each(sets, staged(by_parts.distinct(), "by-parts"), "hashes"), tokens, percent), "parts")
+    nodes = staged(by_parts.distinct(), "by-parts")
+    few = nodes.limit(SMALL + 1).count() <= SMALL
+    chosen = sets.where("sig is not null").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+    index = staged(parts(chosen, tokens, percent), "parts")  # a class may come from several tasks
     cold, hot = _by_heat(index, FEW_PARTS)
     pairs = _pairs(cold, "key", percent).distinct()
     links = staged(links.unionByName(verified(staged(pairs, "pairs"), sets, percent)).distinct(), "links")
@@ -591,7 +594,7 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
 def _by_heat(index: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (key, node, n) of keys that few have, and (key, node, first) of those that many have; first is the key's least node."""
     limit = limit or FEW
-    by_key = index.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("first")).where("held > 1")
+    by_key = index.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
     by_key = staged(by_key, "keys")
     cold = index.join(by_key.where(F.col("held") <= limit).select("key"), "key")
     hot = by_key.where(F.col("held") > limit).select("key", "first")
