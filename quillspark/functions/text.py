@@ -183,10 +183,7 @@ def response_text(raw: Column) -> Column:
 
 def split_grouped_handles(text: Column) -> Column:
     """``[C1, C2]`` becomes ``[C1][C2]``."""
-    once = lambda t: F.regexp_replace(t, r"\[\s*([Cc]\d+)\s*[,;]\s*(?=[Cc]\d+(?:\s*[,;]\s*[Cc]\d+)*\s*\])", "[$1][")
-    for _ in range(6):  # each pass doubles the handles that a group may have
-        text = once(text)
-    return text
+    return F.regexp_replace(text, r"(\[\s*|\G(?!^))([Cc]\d+)\s*[,;]\s*(?=[Cc]\d+(?:\s*[,;]\s*[Cc]\d+)*\s*\])", "$1$2][")
 
 
 def tool_call(text: Column) -> Column:

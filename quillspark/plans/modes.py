@@ -14,7 +14,9 @@ from quillspark.functions.models import TextGen, hashed_embedding, token_count
 from quillspark.operators import cite, context, entity, fusion, graph, keyword, rerank, select, vector
 from quillspark.operators.small import settled, small
 from quillspark.plans.params import QueryParam
+from quillspark.sources.sinks import Trace
 
+PICKS = ("ENTITY_OVERLAP", "WEIGHT", "VECTOR")
 MODES = ("naive", "local", "global", "hybrid", "mix", "bypass")
 
 
@@ -49,8 +51,15 @@ def shown_stages(stages: dict, tables: dict, ids: DataFrame, queries: DataFrame,
     return stages
 
 
-def ask(spark: SparkSession, tables: dict, question: str, p: QueryParam | None = None, gen: TextGen | None = None) -> dict[str, DataFrame]:
-    """The stages of a question by name; ``shown`` and ``references`` are what an answer is made from."""
+def ask(spark: SparkSession, tables: dict, question: str, p: QueryParam | None = None, gen: TextGen | None = None, trace: Trace | None = None) -> dict[str, DataFrame]:
+    """The stages of a question by name; ``shown`` and ``references`` are what an answer is made from. A trace is given each of them."""
+    stages = _ask(spark, tables, question, p, gen)
+    for name, df in stages.items() if trace else ():
+        trace.log(name, df)
+    return stages
+
+
+def _ask(spark: SparkSession, tables: dict, question: str, p: QueryParam | None, gen: TextGen | None) -> dict[str, DataFrame]:
     p, gen = p or QueryParam(), gen or TextGen()
     if p.mode not in MODES:
         raise ValueError(f"unknown mode {p.mode!r}")
@@ -77,7 +86,7 @@ def ask(spark: SparkSession, tables: dict, question: str, p: QueryParam | None =
     if p.entities_only:
         return stages
     stages["edges"] = settled(graph.edges_of(tables["edges"], stages["entities"], p.top_k))
-    kg = overlap_or_weight(tables, stages["entities"], p)
+    kg = own_passages(tables, stages["entities"], p, stages["question"], vec)
     if p.mode in ("global", "hybrid"):
         ends = graph.entities_of(stages["edges"], p.top_k)
         more = select.relation_sources(stages["edges"], tables["entity_sources"]).groupBy("chunk_id").agg(F.count("*").cast("double").alias("score"))
@@ -93,8 +102,16 @@ def ask(spark: SparkSession, tables: dict, question: str, p: QueryParam | None =
     return shown_stages(stages, tables, stages["selected"], judged, p)
 
 
-def overlap_or_weight(tables: dict, entities: DataFrame, p: QueryParam) -> DataFrame:
-    """chunk_id, score of the entities' passages by the chosen method."""
+def own_passages(tables: dict, entities: DataFrame, p: QueryParam, question: DataFrame, hits: DataFrame | None) -> DataFrame:
+    """chunk_id, score of the entities' passages by the chosen method; ``hits`` of a vector search narrow down what VECTOR compares."""
+    if p.kg_pick_method not in PICKS:
+        raise ValueError(f"unknown way to pick passages {p.kg_pick_method!r}")
+    if p.kg_pick_method == "VECTOR":
+        own = tables["entity_sources"].join(small(entities.select("entity_id")), "entity_id", "left_semi").select(F.col("chunk_id").alias("id"))
+        asked = question.select(hashed_embedding(F.col("text")).alias("query_vector"))
+        near = hits.select(F.col("chunk_id").alias("id"), "score") if hits is not None else None
+        picked = select.vector_pick(own, tables["chunk_vectors"], asked, near, p.kg_chunk_top_k, p.high_similarity_threshold, p.min_intersection_size)
+        return picked.select(F.col("id").alias("chunk_id"), "score")
     if p.kg_pick_method == "WEIGHT":
         order = entities.select("entity_id", (F.row_number().over(Window.orderBy(F.desc("degree"), "entity_id")) - 1).alias("entity_pos"))
         lists = tables["entity_sources"].join(F.broadcast(order), "entity_id").withColumn("chunk_pos", F.row_number().over(Window.partitionBy("entity_id").orderBy("chunk_id")))

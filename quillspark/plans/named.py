@@ -723,6 +723,70 @@ def naive_end_to_end(spark, d):
     return modes.ask(spark, tables(spark, d), question, p)["references"].select("id", "source_id", "handle", r6("rerank_score").alias("rerank_score"))
 
 
+# ---- stores, labels and small text functions ------------------------------------------------
+
+
+@query("SELECT o_custkey AS key, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS value FROM orders GROUP BY o_custkey")
+def store_set_members(spark, d):
+    return stores.set_members(tb.read(spark, d, "orders"), "o_custkey", "o_orderpriority").select(F.col("o_custkey").alias("key"), F.array_join("value", ",").alias("value"))
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, paper_id, chunk_no, content FROM chunks WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'de') ORDER BY chunk_id LIMIT 10000")
+def store_scan_of_papers(spark, d):
+    papers = tb.read(spark, d, "documents").where("lang = 'de'").select(F.sha1(F.col("doc_id").cast("string")).alias("paper_id"))
+    return stores.scan_of_papers(tb.chunks(spark, d), papers).select("chunk_id", "paper_id", "chunk_no", "content")
+
+
+@query("SELECT p_partkey - 1 AS pos, p_name AS name, round(s_acctbal / 10000, 6) AS score FROM part JOIN supplier ON p_partkey - 1 = s_suppkey * 3 WHERE s_acctbal / 10000 >= 0.25")
+def rerank_from_positions(spark, d):
+    docs = tb.read(spark, d, "part").select((F.col("p_partkey") - 1).alias("pos"), F.col("p_name").alias("name"))
+    results = tb.read(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("index"), (F.col("s_acctbal") / 10000).alias("relevance_score"))
+    return rerank.from_positions(docs, results, 0.25).select("pos", "name", r6("score").alias("score"))
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey AS id, list_sort(list(DISTINCT CASE l_returnflag WHEN 'A' THEN 'entity' WHEN 'R' THEN 'relation' ELSE 'milvus' END)) AS s FROM lineitem GROUP BY l_orderkey)
+SELECT id, array_to_string(CASE WHEN list_contains(s, 'entity') OR list_contains(s, 'relation') THEN list_sort(list_append(list_filter(s, lambda x: x = 'milvus'), 'kg')) ELSE s END, ',') AS sources FROM s"""
+)
+def sources_relabelled(spark, d):
+    source = F.when(F.col("l_returnflag") == "A", "entity").when(F.col("l_returnflag") == "R", "relation").otherwise("milvus")
+    sets = tb.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set(source)).alias("s"))
+    return sets.select("id", F.array_join(fusion.relabelled(F.col("s")), ",").alias("sources"))
+
+
+@query(f"WITH {EDGES} SELECT entity_id, '- '||entity_id||' ('||entity_type||', degree: '||coalesce(degree, 0)||'): '||coalesce(description, '') AS line FROM nodes LEFT JOIN deg USING (entity_id)")
+def prompt_entity_lines(spark, d):
+    n = tb.nodes(spark, d)
+    return context.entity_lines(n.join(graph.degrees(tb.edges(spark, d), n), "entity_id"))
+
+
+@query("SELECT conv_id, turn, array_to_string(CASE WHEN list_contains(string_split(text, ' '), 'the') THEN string_split(text, ' ') ELSE list_prepend('the', string_split(text, ' ')) END, '|') AS queries FROM conversations")
+def queries_with_original(spark, d):
+    return tb.read(spark, d, "conversations").select("conv_id", "turn", F.array_join(X.with_original(F.split("text", " "), F.lit("the")), "|").alias("queries"))
+
+
+@query(
+    """WITH x AS (SELECT conv_id, turn, role||': '||replace(text, ' ', ', ') AS x FROM conversations)
+SELECT conv_id, turn, CASE WHEN length(x) <= 40 THEN x WHEN regexp_matches(x, '^[^:]*:.*,', 's') THEN regexp_extract(x, '^([^:]*):', 1, 's')||': '||array_to_string(list_slice(list_transform(string_split(regexp_extract(x, '^[^:]*:(.*)$', 1, 's'), ','), lambda y: trim(y)), 1, 10), ', ') ELSE substr(x, 1, 40) END AS question FROM x"""
+)
+def question_shortened(spark, d):
+    x = F.concat("role", F.lit(": "), F.replace(F.col("text"), F.lit(" "), F.lit(", ")))
+    return tb.read(spark, d, "conversations").select("conv_id", "turn", X.shortened_question(x, 500, 40).alias("question"))
+
+
+@query("SELECT conv_id, turn, 'a '||role||'  c '||turn AS text FROM conversations")
+def think_blocks_strip(spark, d):
+    x = F.concat(F.lit(" <think one>x\ny</think>a "), "role", F.lit(" <think>"), "text", F.lit("</think > c "), F.col("turn").cast("string"), F.lit("\n"))
+    return tb.read(spark, d, "conversations").select("conv_id", "turn", X.without_think_blocks(x).alias("text"))
+
+
+@query("SELECT p_partkey AS id, regexp_full_match(x, '[-+]?[0-9]*[.]?[0-9]+') AS is_number FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN '-'||p_size||'.5' WHEN 2 THEN p_size||'.' ELSE '+.'||p_size END AS x FROM part)")
+def text_is_float(spark, d):
+    size, kind = F.col("p_size").cast("string"), F.col("p_size") % 4
+    x = F.when(kind == 0, F.col("p_name")).when(kind == 1, F.concat(F.lit("-"), size, F.lit(".5"))).when(kind == 2, F.concat(size, F.lit("."))).otherwise(F.concat(F.lit("+."), size))
+    return tb.read(spark, d, "part").select(F.col("p_partkey").alias("id"), X.is_float(x).alias("is_number"))
+
+
 def queries() -> dict[str, Callable]:
     return dict(QUERIES)
 

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.small import small
+
 #: Ids of one frame that are broadcast; longer ones are joined by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -26,10 +28,10 @@ def by_id(df: DataFrame, key: str, value) -> DataFrame:
     return df.where(F.col(key) == F.lit(value)).limit(1)
 
 
-def by_ids(df: DataFrame, key: str, ids: DataFrame, columns: Sequence[str] | None = None, checked_small: bool = True) -> DataFrame:
+def by_ids(df: DataFrame, key: str, ids: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows whose key is in ``ids``; order not kept, misses absent."""
     want = ids.select(F.col("id").alias(key)).distinct()
-    out = df.join(F.broadcast(want) if checked_small else want, key, "left_semi")
+    out = df.join(small(want, BROADCAST_IDS), key, "left_semi")
     return out.select(*columns) if columns else out
 
 

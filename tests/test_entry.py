@@ -18,7 +18,9 @@ def rows(df):
             return None
         if isinstance(v, (list, np.ndarray)):
             return list(v)
-        return float(v) if isinstance(v, (float, np.floating)) else int(v) if isinstance(v, (int, np.integer)) else v
+        if isinstance(v, (float, np.floating)):  # pandas widens whole numbers that may be null
+            return int(v) if float(v).is_integer() else float(v)
+        return int(v) if isinstance(v, (int, np.integer)) and not isinstance(v, bool) else v
 
     return sorted(repr(tuple(plain(r[k]) for k in sorted(df.columns))) for r in df.to_dict("records"))
 

@@ -220,3 +220,27 @@ def test_modes(spark):
     assert modes.respond(spark, t, "red fox", p, gen).first().text.startswith("It runs [^1].\n\n[^1]: A (2020). T. *J*")
     with pytest.raises(ValueError, match="unknown mode"):
         modes.ask(spark, t, "q", modes.QueryParam(mode="nope"))
+
+
+def test_passages_by_vector_and_traces(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quillspark.functions.models import hashed_embedding
+    from quillspark.plans import modes
+    from quillspark.plans.params import QueryParam
+    from quillspark.sources.sinks import Trace
+
+    texts = [("a", "river stone"), ("b", "window letter"), ("c", "river letter"), ("d", "far away")]
+    vectors = spark.createDataFrame(texts, "id string, t string").select("id", hashed_embedding(F.col("t")).alias("vector"))
+    tables = {"chunk_vectors": vectors, "entity_sources": spark.createDataFrame([("E", "a"), ("E", "b"), ("E", "c"), ("F", "d")], "entity_id string, chunk_id string")}
+    entities = spark.createDataFrame([("E", 3)], "entity_id string, degree int")
+    question = spark.createDataFrame([(0, "river stone")], "query_idx int, text string")
+    p = QueryParam(kg_pick_method="VECTOR", kg_chunk_top_k=2)
+    got = [r.chunk_id for r in modes.own_passages(tables, entities, p, question, None).orderBy(F.desc("score")).collect()]
+    assert got[0] == "a" and len(got) == 2 and "d" not in got
+    with pytest.raises(ValueError, match="pick"):
+        modes.own_passages(tables, entities, QueryParam(kg_pick_method="none"), question, None)
+    trace = Trace("q1")
+    modes.ask(spark, tables, "What?", QueryParam(mode="bypass"), trace=trace)
+    trace.write(str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/query_id=q1/question").count() == 1
