@@ -462,16 +462,17 @@ def _of_each(sets: DataFrame, wanted: DataFrame, *cols: str) -> DataFrame:
     return some.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("node", *cols)])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, led: bool = False) -> DataFrame:
     """Links (a, b), as sig, of the distinct node ``pairs``: first by bitmap, then by the exact intersection.
 
-    A node of many pairs, a leader, is joined to them in several parts.
+    With ``led``, a node may be in very many pairs, and is joined to them in several parts.
     """
+    joined = (lambda rows, own, key: joined_split(rows, own, key, SPLIT)) if led else (lambda rows, own, key: rows.join(own, key))
     per = _of_each(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "n_shingles", "bitmap")
     near = pairs
     for side in "ab":
         own = per.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("sig", "n_shingles", "bitmap")])
-        near = joined_split(near, own, side, SPLIT)
+        near = joined(near, own, side)
 
     def pre() -> Callable:
         return lambda x, y, n, m: [[may_link(*v, percent) for v in zip(x, y, n, m, strict=True)]]
@@ -482,7 +483,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     per = _of_each(sets, ends, "hashes")
     for side in "ab":
-        full = joined_split(full, per.select(F.col("sig").alias(f"sig_{side}"), F.col("hashes").alias(f"hashes_{side}")), f"sig_{side}", SPLIT)
+        full = joined(full, per.select(F.col("sig").alias(f"sig_{side}"), F.col("hashes").alias(f"hashes_{side}")), f"sig_{side}")
 
     def exact() -> Callable:
         view = lambda b: np.frombuffer(b, dtype=np.uint64)
@@ -613,7 +614,7 @@ def _led(hot: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> tup
     to_leader = _with_bundle(members.withColumnRenamed("node", "sig"), leaders).withColumnRenamed("sig", "node")
     to_leader = to_leader.select("node", F.explode(F.array("leader", "own")).alias("leader")).where("node <> leader")
     to_leader = to_leader.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    links = staged(links.unionByName(verified(staged(to_leader, "leaders"), sets, percent)).distinct(), "links")
+    links = staged(links.unionByName(verified(staged(to_leader, "leaders"), sets, percent, led=True)).distinct(), "links")
     joined = staged(components(links), "joined")
     full = _of_each(sets, members.select("node"), "n_shingles", "bitmap", "hashes").join(members.select("node", "bundle"), "node")
     full = staged(full.join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "bundles")
