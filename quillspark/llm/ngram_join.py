@@ -56,7 +56,7 @@ OFTEN = 16
 #: A part is paired up to this many classes; open bundles of up to so many blocks are compared without parts.
 FEW_PARTS, BLOCKS = 8, 8
 #: Tokens that a task counts at a time, those whose counts it keeps, and members of a block.
-COUNT_AT_ONCE, COUNTS_KEPT, BLOCK = 500_000, 500_000, 512
+COUNT_AT_ONCE, COUNTS_KEPT, BLOCK = 1_000_000, 2_500_000, 512
 #: Frequent shingles of a prefix that are combined; sets with more are indexed by parts, and so is what may link with them.
 WIDE = 256
 #: Rows whose pairs a task makes at a time; a row is in less than FEW pairs.
