@@ -10,7 +10,9 @@ Jaccard similarity of at least ``percent`` / 100. The join finds the classes tha
    combinations of two are. A linked pair has two common shingles there: two rare ones, a rare
    and a frequent one, or a combination of two frequent ones. In the first case the single
    index has it twice, in the second once and both have frequent shingles, in the third the
-   index of combinations has it; other pairs are dropped.
+   index of combinations has it; other pairs are dropped. A shingle counts for a pair only where
+   it may be one of the first two common ones: with c common shingles needed, at most n - c + 1
+   of a set's n come before it, in both sets. ``n`` and so c differ by pair, and most chance meetings end here.
 4. Candidates pass a size test and a parity bitmap test, both of which only drop pairs that
    cannot link, and then an exact count of the intersection.
 5. Combinations that many classes still hold are bundles of near copies. Their classes are
@@ -61,6 +63,8 @@ COUNT_AT_ONCE, COUNTS_KEPT, BLOCK = 1_000_000, 2_500_000, 512
 WIDE = 256
 #: Rows whose pairs a task makes at a time; a row is in less than FEW pairs.
 PAIR_AT_ONCE = 50_000
+#: Steps in which a prefix row tells its token's place; the last value marks common tokens.
+STEPS = 63
 #: Rows of a batch that a task returns.
 ROWS_OUT = 50_000
 #: Words that a worker remembers.
@@ -231,9 +235,10 @@ def frequent_tokens(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(sets: DataFrame, tokens: np.ndarray, counts: np.ndarray, percent: int, k: int = 2) -> DataFrame:
-    """(token, node, n, common): the extended prefix of each set, rare tokens first.
+    """(token, node, at): the extended prefix of each set, rare tokens first.
 
-    ``node`` is a 64-bit digest of sig; ``common`` marks tokens known to be too frequent for the single index.
+    ``node`` is a 64-bit digest of sig. ``at`` is n * (STEPS + 1) + the token's place in the set's order, in
+    steps of a STEPS-th of the prefix, or STEPS where the token is known to be too frequent for the single index.
     """
     shared = sets.sparkSession.sparkContext.broadcast((tokens, counts))
     often = OFTEN * FEW
@@ -245,10 +250,11 @@ def prefixes(sets: DataFrame, tokens: np.ndarray, counts: np.ndarray, percent: i
 
         def flush() -> pa.RecordBatch:
             size = np.array([len(p) for p, *_ in out])
-            node, n, late = (np.repeat(np.array([o[i] for o in out]), size) for i in (1, 2, 3))
+            node, n, late, take = (np.repeat(np.array(x), size) for x in ([o[1] for o in out], [o[2] for o in out], [o[3] for o in out], size))
             place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             t = np.concatenate([p for p, *_ in out]).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(t), pa.array(node), pa.array(n.astype(np.int32)), pa.array(place >= late)], names=["token", "node", "n", "common"])
+            at = n * (STEPS + 1) + np.where(place >= late, STEPS, place * STEPS // take)
+            return pa.RecordBatch.from_arrays([pa.array(t), pa.array(node), pa.array(at)], names=["token", "node", "at"])
 
         for sig, h in _each_set(batches):
             n = len(h)
@@ -275,7 +281,7 @@ def prefixes(sets: DataFrame, tokens: np.ndarray, counts: np.ndarray, percent: i
         if out:
             yield flush()
 
-    return sets.select("sig", "hashes").mapInArrow(run, "token long, node long, n int, common boolean")
+    return sets.select("sig", "hashes").mapInArrow(run, "token long, node long, at long")
 
 
 def prefix_of(n: int, percent: int, k: int = 2) -> int:
@@ -374,7 +380,7 @@ def parts(sets: DataFrame, tokens: np.ndarray, percent: int) -> DataFrame:
 
 
 def _candidates(index: DataFrame, percent: int) -> DataFrame:
-    """From (token, node, n, common): pairs (a, b) that share rare tokens and whose sizes allow a link,
+    """From (token, node, at): pairs (a, b) that share rare tokens at places and with sizes that allow a link,
     with n = minus the number of these tokens, and rows (a = token, b = node, n) of frequent tokens.
 
     Rows are dealt by token, those of tokens known to be common by node. A task streams
@@ -382,19 +388,27 @@ def _candidates(index: DataFrame, percent: int) -> DataFrame:
     """
     few = FEW
 
+    def prefix_of_each(n: np.ndarray) -> np.ndarray:
+        return np.minimum(n, n + (-percent * n) // 100 + 2)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "b", "n"]
 
         def made(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(n.astype(np.int32))], names=names)
 
-        def closed(t: np.ndarray, v: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def first_two(n: np.ndarray, p: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Whether the token of rows i and j, n[i] <= n[j], may be one of the first two that linked sets have in common."""
+            need = -(-percent * (n[i] + n[j]) // (100 + percent))
+            return (100 * n[i] >= percent * n[j]) & (p[i] <= n[i] - need + 1) & (p[j] <= n[j] - need + 1)
+
+        def closed(t: np.ndarray, v: np.ndarray, n: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Whole groups: equal (token, node) rows once, then pairs of small groups."""
             order = np.lexsort((v, n, t))
-            t, v, n = t[order], v[order], n[order]
+            t, v, n, p = t[order], v[order], n[order], p[order]
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])
-            t, v, n = t[new], v[new], n[new]
+            t, v, n, p = t[new], v[new], n[new], p[new]
             start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             size = np.diff(np.concatenate([start, [len(t)]]))
             each = np.repeat(size, size)
@@ -407,7 +421,7 @@ def _candidates(index: DataFrame, percent: int) -> DataFrame:
                 i = np.flatnonzero(~big & (np.arange(len(t)) + step < left))
                 if not len(i):
                     break
-                i = i[100 * n[i] >= percent * n[i + step]]
+                i = i[first_two(n, p, i, i + step)]
                 a.append(np.minimum(v[i], v[i + step]))
                 b.append(np.maximum(v[i], v[i + step]))
             if a and sum(map(len, a)):
@@ -417,17 +431,19 @@ def _candidates(index: DataFrame, percent: int) -> DataFrame:
                 start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
                 yield made(a[start], b[start], -np.diff(np.concatenate([start, [len(a)]])))
 
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)]
+        held = [np.empty(0, np.int64) for _ in range(4)]
         large = None  # a token that is known to have too many rows
         for batch in batches:
-            t, v, n = (batch.column(i).to_numpy() for i in range(3))
-            known = batch.column(3).to_numpy(zero_copy_only=False)
+            t, v, at = (batch.column(i).to_numpy() for i in range(3))
+            n, step = np.divmod(at, STEPS + 1)
+            known = step == STEPS
+            p = -(-step * prefix_of_each(n) // STEPS)  # the first place of the step
             if large is not None:
                 known = known | (t == large)
             if known.any():
                 yield made(t[known], v[known], n[known])
-                t, v, n = t[~known], v[~known], n[~known]
-            held = [np.concatenate(x) for x in zip(held, (t, v, n.astype(np.int64)), strict=True)]
+                t, v, n, p = t[~known], v[~known], n[~known], p[~known]
+            held = [np.concatenate(x) for x in zip(held, (t, v, n, p), strict=True)]
             if len(held[0]) < PAIR_AT_ONCE:
                 continue
             cut = int(np.searchsorted(held[0], held[0][-1]))  # the last token may go on
@@ -436,12 +452,12 @@ def _candidates(index: DataFrame, percent: int) -> DataFrame:
                 held = [x[cut:] for x in held]
             elif len(np.unique(held[1])) > few:
                 large = held[0][0]
-                yield made(*held)
+                yield made(*held[:3])
                 held = [x[:0] for x in held]
         if len(held[0]):
             yield from closed(*held)
 
-    dealt = index.repartition(F.when(F.col("common"), F.col("node")).otherwise(F.col("token"))).sortWithinPartitions("token")
+    dealt = index.repartition(F.when(F.col("at") % (STEPS + 1) == STEPS, F.col("node")).otherwise(F.col("token"))).sortWithinPartitions("token")
     return dealt.mapInArrow(run, "a long, b long, n int")
 
 
