@@ -58,8 +58,16 @@ def vector_pick(
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-def relation_sources(pairs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Passages of a relation: those both of its ends have."""
+def relation_sources(pairs: DataFrame | None, sources: DataFrame) -> DataFrame:
+    """Passages of a relation: those both of its ends have.
+
+    Without ``pairs``, of every two entities that share a passage (src < dst). Sources are then dealt by
+    passage once, and rows meet there: nothing larger than ``sources`` is shuffled. Repeated sources count once.
+    """
+    if pairs is None:
+        own = sources.select("chunk_id", "entity_id").where("chunk_id is not null and entity_id is not null").repartition("chunk_id").distinct()
+        a, b = own.withColumnRenamed("entity_id", "src"), own.withColumnRenamed("entity_id", "dst")
+        return a.join(b, "chunk_id").where("src < dst").select("src", "dst", "chunk_id")
     a = sources.select(F.col("entity_id").alias("src"), "chunk_id")
     b = sources.select(F.col("entity_id").alias("dst"), "chunk_id")
     return pairs.select("src", "dst").distinct().join(a, "src").join(b, ["dst", "chunk_id"]).select("src", "dst", "chunk_id")

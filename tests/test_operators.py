@@ -244,3 +244,24 @@ def test_passages_by_vector_and_traces(spark, tmp_path):
     modes.ask(spark, tables, "What?", QueryParam(mode="bypass"), trace=trace)
     trace.write(str(tmp_path))
     assert spark.read.json(f"{tmp_path}/query_id=q1/question").count() == 1
+
+
+def test_relation_passages_shuffles_its_sources_once(spark, tmp_path):
+    """Wide hubs: each part is in every order, so pairs times passages of an end would be many rows."""
+    import re
+
+    from quillspark.operators import select
+    from quillspark.plans import named
+
+    lines = [(o, p) for o in range(4) for p in range(8, 13)] + [(0, 9), (7, 9), (7, 10), (8, None), (None, 9), (None, 10)]  # 9 twice; null keys
+    rows = spark.createDataFrame(lines, "l_orderkey long, l_partkey long")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = named.queries()["relation_passages"](spark, str(tmp_path))
+    own = {(f"PART:{p}", f"ORDER:{o}") for o, p in lines if o is not None and p is not None}
+    want = sorted((a, b, o) for a, o in own for b, q in own if o == q and a < b)  # PART:10 comes before PART:9
+    assert sorted(tuple(r) for r in df.select("src", "dst", "chunk_id").collect()) == want
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert not re.search(r"hashpartitioning\((src|dst)", plan), plan  # no pair is shuffled
+    pairs = spark.createDataFrame([("PART:9", "PART:8"), ("PART:9", "PART:8")], "src string, dst string")
+    sources = spark.createDataFrame(sorted(own), "entity_id string, chunk_id string")
+    assert sorted(r.chunk_id for r in select.relation_sources(pairs, sources).collect()) == [f"ORDER:{o}" for o in range(4)]
