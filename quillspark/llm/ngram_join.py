@@ -29,6 +29,10 @@ Jaccard similarity of at least ``percent`` / 100. The join finds the classes tha
 No step holds an unbounded group in one task, and nothing is dropped: every linked pair is
 compared or already joined through others.
 
+Shingles take more room than texts, so no table holds all of them: one pass over the texts
+counts them, one indexes prefixes, and those of compared sets are made again from their texts.
+``docs`` is read several times and has to hold the same rows each time.
+
 Defined results: a null text, or one without words, has the empty set and links with nothing;
 fewer words than a shingle needs make one shingle of all of them; equal rows are one class;
 an empty table gives an empty table; a null doc_id never names a component unless all of its
@@ -46,6 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillspark.llm.common import components, joined_split, map_columns, prepared, staged
 
@@ -67,8 +72,6 @@ PAIR_AT_ONCE = 50_000
 STEPS = 63
 #: Rows of a batch that a task returns.
 ROWS_OUT = 50_000
-#: Words that a worker remembers.
-KNOWN = 150_000
 #: Rows (of two numbers or so) up to which a side is broadcast; beyond, both sides are shuffled.
 SMALL = 500_000
 #: Pairs of a class that one task joins, and parts in which bundles too many for a broadcast are joined.
@@ -86,28 +89,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def shingler(width: int) -> Callable[[str | None], np.ndarray]:
     """A function from a text to its sorted distinct shingle hashes; words are lower-cased in A-Z only."""
-    known: dict[bytes, int] = {}
 
     def work(text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.empty(0, np.uint64)
-        if len(known) > KNOWN:
-            known.clear()
-        codes = list(map(known.get, words))
-        if None in codes:
-            for i, c in enumerate(codes):
-                if c is None:
-                    w = words[i]
-                    codes[i] = known[w] = xxhash.xxh3_64_intdigest(w)
-        w = np.fromiter(codes, np.uint64, len(codes))
+        w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         n = min(width, len(w))
         with np.errstate(over="ignore"):
             h = np.full(len(w) - n + 1, n, np.uint64)
             for i in range(n):
                 h = (h + w[i : len(w) - n + 1 + i]) * _ODD[i % len(_ODD)]
                 h ^= h >> np.uint64(29)
-            return np.unique(mixed(h))
+            h = mixed(h)
+        h.sort()
+        return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
     return work
 
@@ -144,107 +140,166 @@ def link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def shingled(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, sig (digest of the set, null if empty), node (its first 64 bits), bitmap, hashes (sorted, 8 bytes each)."""
-    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+#: What is known of a set besides its shingles: size, digest (null if empty), the digest's first 64 bits, bitmap.
+SET = [("n_shingles", T.LongType()), ("sig", T.BinaryType()), ("node", T.LongType()), ("bitmap", T.BinaryType())]
+
+
+def _columns(sets: list[np.ndarray]) -> list[list]:
+    sig = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets]
+    return [[len(h) for h in sets], sig, [node_of(x) if x else None for x in sig], [parity(h) if len(h) else None for h in sets]]
+
+
+def shingled(texts: DataFrame, width: int) -> DataFrame:
+    """n_shingles, sig, node, bitmap, hashes (sorted, 8 bytes each) of each text."""
 
     def make() -> Callable:
         of = shingler(width)
 
         def work(texts: list) -> list:
-            n, sig, node, bits, sets = [], [], [], [], []
-            for t in texts:
-                h = of(t)
-                b = h.tobytes()
-                n.append(len(h))
-                sig.append(xxhash.xxh3_128_digest(b) if len(h) else None)
-                node.append(node_of(sig[-1]) if len(h) else None)
-                bits.append(parity(h) if len(h) else None)
-                sets.append(b)
-            return [n, sig, node, bits, sets]
+            sets = [of(t) for t in texts]
+            return [*_columns(sets), [h.tobytes() for h in sets]]
 
         return work
 
-    out = [("n_shingles", T.LongType()), ("sig", T.BinaryType()), ("node", T.LongType()), ("bitmap", T.BinaryType()), ("hashes", T.BinaryType())]
-    return map_columns(own, ["text"], out, make).drop("text")
+    return map_columns(texts.select("text"), ["text"], [*SET, ("hashes", T.BinaryType())], make).drop("text")
 
 
-def _each_set(batches: Iterator[pa.RecordBatch], seen_limit: int = 500_000) -> Iterator[tuple[bytes, np.ndarray]]:
-    """(sig, hashes) of a task's rows, equal sets once as far as memory of the task goes."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        for sig, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if sig is None or sig in seen:
-                continue
-            if len(seen) < seen_limit:
-                seen.add(sig)
-            yield sig, np.frombuffer(raw, dtype=np.uint64)
+class Once:
+    """Tells a task's sets that it has not seen yet, as far as its memory goes."""
 
+    def __init__(self, limit: int = 500_000) -> None:
+        self.seen, self.limit = set(), limit
 
-def frequent_tokens(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that sort last, and their counts; at most 2**TOP_BITS of them, whatever the corpus.
+    def __call__(self, sig: bytes | None) -> bool:
+        if sig is None or sig in self.seen:
+            return False
+        if len(self.seen) < self.limit:
+            self.seen.add(sig)
+        return True
 
-    Each task counts COUNT_AT_ONCE tokens at a time, keeps the COUNTS_KEPT most frequent counts
-    and reports repeated ones at its end. The counts only set an order, the same for all sets,
-    so a missed sighting loses no link.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def merged(t: np.ndarray, c: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            new = np.concatenate(parts)
-            parts.clear()
-            new.sort()
-            start = np.flatnonzero(np.concatenate([[True], new[1:] != new[:-1]]))
-            seen, times = new[start], np.diff(start, append=len(new)).astype(np.int32)
-            at = np.minimum(np.searchsorted(t, seen), max(0, len(t) - 1))
-            old = t[at] == seen if len(t) else np.zeros(len(seen), bool)
-            np.add.at(c, at[old], times[old])
-            seen, times = np.concatenate([t, seen[~old]]), np.concatenate([c, times[~old]])
-            if len(seen) > COUNTS_KEPT:
-                keep = np.argpartition(-times, COUNTS_KEPT)[:COUNTS_KEPT]
-                seen, times = seen[keep], times[keep]
-            order = np.argsort(seen)
-            return seen[order], times[order]
-
-        t, c = np.empty(0, np.uint64), np.empty(0, np.int32)
-        parts, n = [], 0
-        for _, h in _each_set(batches):
-            for i in range(0, len(h), COUNT_AT_ONCE):
-                parts.append(h[i : i + COUNT_AT_ONCE])
-                n += len(parts[-1])
-                if n >= COUNT_AT_ONCE:
-                    t, c = merged(t, c, parts)
-                    n = 0
-        if parts:
-            t, c = merged(t, c, parts)
-        keep = c >= 3
-        t, c = t[keep].view(np.int64), c[keep].astype(np.int64)
+def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, np.ndarray]]:
+    """(sig, hashes) of a task's rows, equal sets once."""
+    once = Once()
+    for batch in batches:
+        for sig, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if once(sig):
+                yield sig, np.frombuffer(raw, dtype=np.uint64)
+
+
+class Counts:
+    """Counts tokens, COUNT_AT_ONCE at a time, and keeps the COUNTS_KEPT most frequent counts."""
+
+    def __init__(self) -> None:
+        self.t, self.c = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.parts, self.n = [], 0
+
+    def add(self, h: np.ndarray) -> None:
+        for i in range(0, len(h), COUNT_AT_ONCE):
+            self.parts.append(h[i : i + COUNT_AT_ONCE])
+            self.n += len(self.parts[-1])
+            if self.n >= COUNT_AT_ONCE:
+                self._merge()
+
+    def _merge(self) -> None:
+        t, c = self.t, self.c
+        new = np.concatenate(self.parts)
+        self.parts, self.n = [], 0
+        new.sort()
+        start = np.flatnonzero(np.concatenate([[True], new[1:] != new[:-1]]))
+        seen, times = new[start], np.diff(start, append=len(new)).astype(np.int32)
+        at = np.minimum(np.searchsorted(t, seen), max(0, len(t) - 1))
+        old = t[at] == seen if len(t) else np.zeros(len(seen), bool)
+        np.add.at(c, at[old], times[old])
+        seen, times = np.concatenate([t, seen[~old]]), np.concatenate([c, times[~old]])
+        if len(seen) > COUNTS_KEPT:
+            keep = np.argpartition(-times, COUNTS_KEPT)[:COUNTS_KEPT]
+            seen, times = seen[keep], times[keep]
+        order = np.argsort(seen)
+        self.t, self.c = seen[order], times[order]
+
+    def repeated(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(tokens, counts) of what was counted three times or more, ROWS_OUT at a time."""
+        if self.parts:
+            self._merge()
+        keep = self.c >= 3
+        t, c = self.t[keep].view(np.int64), self.c[keep].astype(np.int64)
         for i in range(0, len(t), ROWS_OUT):
-            yield pa.RecordBatch.from_arrays([pa.array(t[i : i + ROWS_OUT]), pa.array(c[i : i + ROWS_OUT])], names=["token", "c"])
+            yield t[i : i + ROWS_OUT], c[i : i + ROWS_OUT]
+
+
+class Sets:
+    """The sets of ``docs`` (doc_id, text). ``rows`` is a staged table: doc_id, text_hash and SET of each document."""
+
+    def __init__(self, docs: DataFrame, width: int) -> None:
+        self.texts, self.width = docs.select(F.xxhash64("text").alias("text_hash"), "text"), width
+        own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+        schema = T.StructType([*own.drop("text").schema, *[T.StructField(n, t) for n, t in SET], T.StructField("token", T.LongType()), T.StructField("c", T.LongType())])
+        schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
+        arrow = to_arrow_schema(schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, once, counts = shingler(width), Once(), Counts()
+            for batch in batches:
+                sets = [of(t) for t in batch.column(2).to_pylist()]
+                cols = _columns(sets)
+                for sig, h in zip(cols[1], sets, strict=True):
+                    if once(sig):
+                        counts.add(h)
+                cols = [batch.column(0), batch.column(1), *cols, None, None]
+                yield pa.RecordBatch.from_arrays([_as(x, f.type, batch.num_rows) for x, f in zip(cols, arrow, strict=True)], schema=arrow)
+            for t, c in counts.repeated():
+                cols = [*[None] * (len(arrow) - 2), t, c]
+                yield pa.RecordBatch.from_arrays([_as(x, f.type, len(t)) for x, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+        found = staged(own.mapInArrow(run, schema), "sets")
+        self.counted = found.where("token is not null").select("token", "c")
+        self.rows = found.where("token is null").drop("token", "c")
+
+    def of_each(self, wanted: DataFrame, *cols: str) -> DataFrame:
+        """sig, node and ``cols``, one row for each sig whose node is in ``wanted`` (distinct)."""
+        few = wanted.limit(SMALL + 1).count() <= SMALL
+        some = self.rows.where("sig is not null").join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+        if "hashes" in cols:  # of one text of each
+            texts = some.groupBy("sig").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
+            some = shingled(self.texts.join(F.broadcast(texts) if few else texts, "text_hash", "left_semi"), self.width)
+        return some.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("node", *cols)])
+
+
+def _as(column: object, kind: pa.DataType, n: int) -> pa.Array:
+    if column is None:
+        return pa.nulls(n, kind)
+    if isinstance(column, pa.Array):
+        return column if column.type == kind else column.cast(kind)
+    return pa.array(column, type=kind)
+
+
+def frequent_tokens(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that sort last, and their counts; at most 2**TOP_BITS of them, whatever the corpus.
 
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    The counts only set an order, the same for all sets, so a missed sighting loses no link.
+    """
+    total = sets.rows.agg(F.sum("n_shingles")).first()[0] or 0
     least = max(FREQUENT, total >> TOP_BITS)
-    found = (
-        sets.select("sig", "hashes").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    )
-    table = found.toArrow()
+    table = sets.counted.groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toArrow()
     t = table.column("token").to_numpy().view(np.uint64)
     c = table.column("c").to_numpy()
     order = np.argsort(t)
     return t[order], c[order]
 
 
-def prefixes(sets: DataFrame, tokens: np.ndarray, counts: np.ndarray, percent: int, k: int = 2) -> DataFrame:
+def prefixes(sets: Sets, tokens: np.ndarray, counts: np.ndarray, percent: int, k: int = 2) -> DataFrame:
     """(token, node, at): the extended prefix of each set, rare tokens first.
 
     ``node`` is a 64-bit digest of sig. ``at`` is n * (STEPS + 1) + the token's place in the set's order, in
     steps of a STEPS-th of the prefix, or STEPS where the token is known to be too frequent for the single index.
     """
-    shared = sets.sparkSession.sparkContext.broadcast((tokens, counts))
-    often = OFTEN * FEW
+    shared = sets.texts.sparkSession.sparkContext.broadcast((tokens, counts))
+    often, width = OFTEN * FEW, sets.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, cnt = shared.value
+        of, once = shingler(width), Once()
         out: list[tuple[np.ndarray, int, int, int]] = []
         rows = 0
 
@@ -256,9 +311,9 @@ def prefixes(sets: DataFrame, tokens: np.ndarray, counts: np.ndarray, percent: i
             at = n * (STEPS + 1) + np.where(place >= late, STEPS, place * STEPS // take)
             return pa.RecordBatch.from_arrays([pa.array(t), pa.array(node), pa.array(at)], names=["token", "node", "at"])
 
-        for sig, h in _each_set(batches):
+        for h in (of(t) for batch in batches for t in batch.column(0).to_pylist()):
             n = len(h)
-            if n < 2:  # a single shingle links with nothing but its equal
+            if n < 2 or not once(sig := xxhash.xxh3_128_digest(h.tobytes())):  # a single shingle links with nothing but its equal
                 continue
             take = prefix_of(n, percent, k)
             late = take
@@ -281,7 +336,7 @@ def prefixes(sets: DataFrame, tokens: np.ndarray, counts: np.ndarray, percent: i
         if out:
             yield flush()
 
-    return sets.select("sig", "hashes").mapInArrow(run, "token long, node long, at long")
+    return sets.texts.select("text").mapInArrow(run, "token long, node long, at long")
 
 
 def prefix_of(n: int, percent: int, k: int = 2) -> int:
@@ -471,20 +526,13 @@ def _pairs(index: DataFrame, key: str, percent: int) -> DataFrame:
     return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
-def _of_each(sets: DataFrame, wanted: DataFrame, *cols: str) -> DataFrame:
-    """sig, node and ``cols``, one row for each sig whose node is in ``wanted`` (distinct)."""
-    few = wanted.limit(SMALL + 1).count() <= SMALL
-    some = sets.where("sig is not null").select("sig", "node", *cols).join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
-    return some.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("node", *cols)])
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, led: bool = False) -> DataFrame:
+def verified(pairs: DataFrame, sets: Sets, percent: int, led: bool = False) -> DataFrame:
     """Links (a, b), as sig, of the distinct node ``pairs``: first by bitmap, then by the exact intersection.
 
     With ``led``, a node may be in very many pairs, and is joined to them in several parts.
     """
     joined = (lambda rows, own, key: joined_split(rows, own, key, SPLIT)) if led else (lambda rows, own, key: rows.join(own, key))
-    per = _of_each(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "n_shingles", "bitmap")
+    per = sets.of_each(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "n_shingles", "bitmap")
     near = pairs
     for side in "ab":
         own = per.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("sig", "n_shingles", "bitmap")])
@@ -497,7 +545,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, led: bool = False)
     near = staged(near.where("ok").select("a", "b", "sig_a", "sig_b"), "near")
     full = near
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    per = _of_each(sets, ends, "hashes")
+    per = sets.of_each(ends, "hashes")
     for side in "ab":
         full = joined(full, per.select(F.col("sig").alias(f"sig_{side}"), F.col("hashes").alias(f"hashes_{side}")), f"sig_{side}")
 
@@ -555,11 +603,8 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("bundle", "x", "y").applyInArrow(run, "a binary, b binary")
 
 
-def linked(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root): every class (sig) that links with another, and the smallest sig of its component.
-
-    ``sets`` is a staged table as of ``shingled``.
-    """
+def linked(sets: Sets, percent: int) -> DataFrame:
+    """(node, root): every class (sig) that links with another, and the smallest sig of its component."""
     if percent <= 50:
         raise ValueError("a similarity over 0.5 is needed")
     tokens, counts = frequent_tokens(sets)
@@ -596,9 +641,7 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     if by_parts is None or by_parts.isEmpty():
         return components(links)
     nodes = staged(by_parts.distinct(), "by-parts")
-    few = nodes.limit(SMALL + 1).count() <= SMALL
-    chosen = sets.where("sig is not null").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
-    index = staged(parts(chosen, tokens, percent), "parts")  # a class may come from several tasks
+    index = staged(parts(sets.of_each(nodes, "hashes"), tokens, percent), "parts")
     cold, hot = _by_heat(index, FEW_PARTS)
     pairs = _pairs(cold, "key", percent).distinct()
     links = staged(links.unionByName(verified(staged(pairs, "pairs"), sets, percent)).distinct(), "links")
@@ -619,7 +662,7 @@ def _by_heat(index: DataFrame, limit: int | None = None) -> tuple[DataFrame, Dat
     return cold, staged(index.select("key", "node").join(F.broadcast(hot) if few else hot, "key"), "hot")
 
 
-def _led(hot: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _led(hot: DataFrame, links: DataFrame, sets: Sets, percent: int) -> tuple[DataFrame, DataFrame]:
     """(links, open members): ``links`` with those of classes to leaders, and the members (sig, node, bundle, root,
     n_shingles, bitmap, hashes) of bundles that are not yet of one component. A class has two leaders at most: that of
     its bundle, which has the most keys, and the one that is first in most of its own keys."""
@@ -632,7 +675,7 @@ def _led(hot: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> tup
     to_leader = to_leader.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     links = staged(links.unionByName(verified(staged(to_leader, "leaders"), sets, percent, led=True)).distinct(), "links")
     joined = staged(components(links), "joined")
-    full = _of_each(sets, members.select("node"), "n_shingles", "bitmap", "hashes").join(members.select("node", "bundle"), "node")
+    full = sets.of_each(members.select("node"), "n_shingles", "bitmap", "hashes").join(members.select("node", "bundle"), "node")
     full = staged(full.join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "bundles")
     open_ = full.groupBy("bundle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bundle")
     return links, staged(_with_bundle(full, open_), "open")
@@ -640,8 +683,8 @@ def _led(hot: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> tup
 
 def near_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id for every row of ``docs``."""
-    sets = staged(shingled(docs, width), "shingles")
-    classes = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first_id"))
+    sets = Sets(docs, width)
+    classes = sets.rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first_id"))
     comps = staged(linked(sets, percent), "components")
     named = classes.join(comps, classes["sig"] == comps["node"], "left").select("sig", "first_id", "root")
     named = staged(named, "classes")
@@ -649,7 +692,7 @@ def near_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     least = inside.groupBy("root").agg(F.min("first_id").alias("component_id"))
     alone = named.where("root is null").select("sig", F.col("first_id").alias("component_id"))
     found = alone.unionByName(inside.join(least, "root").select("sig", "component_id"))
-    own = sets.select("doc_id", "text_hash", "n_shingles", "sig")
+    own = sets.rows.select("doc_id", "text_hash", "n_shingles", "sig")
     return own.join(found, "sig", "left").select(
         "doc_id", "text_hash", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )

@@ -161,3 +161,24 @@ def test_rows_that_repeat_a_key_become_the_least_of_them(spark):
     for part in (df, df.union(spark.createDataFrame([(9, "one row of its own", "o", None)], df.schema))):
         got = sorted(str((r.doc_id, r.source)) for r in J.one_of_each(part).collect())
         assert got[:3] == ["(1, 'x')", "(2, 'm')", "(3, None)"]
+
+
+def test_no_table_holds_the_shingles_of_all_sets(spark, monkeypatch):
+    import os
+    from urllib.parse import urlparse
+
+    size, plain = [], J.staged
+
+    def counted(df, name):
+        out = plain(df, name)
+        size.append(sum(os.path.getsize(urlparse(f).path) for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(J, "staged", counted)
+    r = random.Random(6)
+    docs = [(i, " ".join(r.choices(WORDS, k=1000))) for i in range(300)]
+    docs += [(1000 + i, docs[i][1] + " more") for i in range(5)]  # the only sets that are compared
+    df = prepared(spark).createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = {x.doc_id: x.component_id for x in J.near_classes(df, 3, 90).collect()}
+    assert got == {i: i % 1000 for i, _ in docs}
+    assert size and sum(size) < 8 * 998 * 300 / 4  # a shingle takes 8 bytes, and there are 998 a text
