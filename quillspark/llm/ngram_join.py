@@ -219,10 +219,10 @@ class Counts:
         self.t, self.c = seen[order], times[order]
 
     def repeated(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(tokens, counts) of what was counted three times or more, ROWS_OUT at a time."""
+        """(tokens, counts) of what was counted twice or more, ROWS_OUT at a time."""
         if self.parts:
             self._merge()
-        keep = self.c >= 3
+        keep = self.c >= 2
         t, c = self.t[keep].view(np.int64), self.c[keep].astype(np.int64)
         for i in range(0, len(t), ROWS_OUT):
             yield t[i : i + ROWS_OUT], c[i : i + ROWS_OUT]
